@@ -46,6 +46,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Hand Python a few hundred texts at a time, unless the session says otherwise: workers hold a batch several times."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def input_bytes(df: DataFrame, *columns: str) -> int:
     """Bytes of UTF-8 in string columns, summed over all rows."""
     total = sum((F.coalesce(F.octet_length(c).cast("long"), F.lit(0)) for c in columns), F.lit(0))

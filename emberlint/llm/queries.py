@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from emberlint.llm import counts, packing, pii, tokens
+from emberlint.llm import counts, decontam, htmltext, neardup, packing, pii, tokens, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1,
+    "op2_decontamination": decontam.op2,
     "op3_token_files": tokens.op3,
+    "op4_html_text": htmltext.op4,
     "op6_best_fit_packing": packing.op6,
+    "op7_near_duplicates": neardup.op7,
     "op9_token_counts": counts.op9,
     "op10_pii": pii.op10,
 }
