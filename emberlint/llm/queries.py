@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from emberlint.llm import counts, decontam, htmltext, neardup, packing, pii, tokens, toxicity
+from emberlint.llm import counts, decontam, htmltext, neardup, packing, pii, quality, tokens, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
     "op2_decontamination": decontam.op2,
     "op3_token_files": tokens.op3,
     "op4_html_text": htmltext.op4,
+    "op5_quality": quality.op5,
     "op6_best_fit_packing": packing.op6,
     "op7_near_duplicates": neardup.op7,
     "op9_token_counts": counts.op9,
     "op10_pii": pii.op10,
 }
-ORACLE_SQL = {"op9_token_counts": counts.OP9_SQL}
+ORACLE_SQL = {"op5_quality": quality.OP5_SQL, "op9_token_counts": counts.OP9_SQL}
