@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from emberlint.llm import counts, decontam, htmltext, neardup, packing, pii, quality, tokens, toxicity
+from emberlint.llm import counts, decontam, htmltext, neardup, packing, pii, quality, substring, tokens, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality": quality.op5,
     "op6_best_fit_packing": packing.op6,
     "op7_near_duplicates": neardup.op7,
+    "op8_substring_dedup": substring.op8,
     "op9_token_counts": counts.op9,
     "op10_pii": pii.op10,
 }
