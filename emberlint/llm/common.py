@@ -166,3 +166,17 @@ def bloom_of(keys: DataFrame, most_bytes: int = 8 << 20) -> Bloom:
     for row in parts.toLocalIterator():
         merged[np.frombuffer(row["at"], np.uint32)] |= np.frombuffer(row["bits"], np.uint8)
     return Bloom(merged.tobytes())
+
+
+def perhaps_in(docs: DataFrame, wanted: DataFrame, inverse: bool = False) -> DataFrame:
+    """Rows of ``docs`` whose doc_id may be among those of ``wanted`` (null ids always may), or with ``inverse`` the others."""
+    bloom = docs.sparkSession.sparkContext.broadcast(bloom_of(wanted.select("doc_id")))
+
+    def run(batches):
+        for b in batches:
+            ids = b.column("doc_id").cast(pa.int64())
+            null = ids.is_null().to_numpy(zero_copy_only=False)
+            ok = null | bloom.value.passing(ids.fill_null(0).to_numpy().view(np.uint64))
+            yield b.filter(pa.array(ok != inverse))
+
+    return docs.mapInArrow(run, docs.schema)

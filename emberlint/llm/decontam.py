@@ -200,12 +200,12 @@ def merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int
 
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-_ADDED = (T.StructField("n_words", T.LongType()), T.StructField("hit_spans", _SPANS), T.StructField("hit_items", T.ArrayType(T.StringType())))
+_ADDED = (T.StructField("leak_n_words", T.LongType()), T.StructField("leak_hit_spans", _SPANS), T.StructField("leak_hit_items", T.ArrayType(T.StringType())))
 _SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All rows and columns of ``docs`` with n_words, hit_spans (in words, merged) and hit_items (distinct ids, sorted as strings).
+    """All rows and columns of ``docs`` with leak_n_words, leak_hit_spans (in words, merged) and leak_hit_items (distinct ids, sorted as strings).
 
     Null texts have no words; benchmark rows without words have no windows; items without an id mark words but
     aren't listed. Columns of ``docs`` named like the added ones are replaced.
@@ -232,7 +232,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
                     spans += s
                     owners += o
                 if not first:
-                    before = zip(b.column("hit_spans").to_pylist(), b.column("hit_items").to_pylist(), strict=True)
+                    before = zip(b.column("leak_hit_spans").to_pylist(), b.column("leak_hit_items").to_pylist(), strict=True)
                     for j, (s, o) in enumerate(before):
                         spans[j] = merged(spans[j], [(x["start"], x["end"]) for x in s])
                         owners[j] |= set(o)
@@ -241,7 +241,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
                     pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], _SPAN_TYPE),
                     pa.array([sorted(o - {None}) for o in owners], pa.list_(pa.string())),
                 ]
-                old = [b.column(c) for c in b.schema.names if first or c not in ("n_words", "hit_spans", "hit_items")]
+                old = [b.column(c) for c in b.schema.names if first or c not in ("leak_n_words", "leak_hit_spans", "leak_hit_items")]
                 yield pa.RecordBatch.from_arrays([*old, *added], names=[f.name for f in schema.fields])
 
         docs = docs.mapInArrow(run, schema)
@@ -268,9 +268,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for b in batches:
             texts = [
                 cut_words(t, [(x["start"], x["end"]) for x in s]) if s else t
-                for t, s in zip(b.column("text").to_pylist(), b.column("hit_spans").to_pylist(), strict=True)
+                for t, s in zip(b.column("text").to_pylist(), b.column("leak_hit_spans").to_pylist(), strict=True)
             ]
-            keep = [not s or bool(words_of(t.encode())) for t, s in zip(texts, b.column("hit_spans").to_pylist(), strict=True)]
+            keep = [not s or bool(words_of(t.encode())) for t, s in zip(texts, b.column("leak_hit_spans").to_pylist(), strict=True)]
             k = fields.fieldNames().index("text")
             b = b.select(fields.fieldNames()).set_column(k, "text", pa.array(texts, pa.string()))
             yield b.filter(pa.array(keep, pa.bool_()))
@@ -280,12 +280,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
-    hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, x: n + (x["end"] - x["start"]))
+    hit = F.aggregate("leak_hit_spans", F.lit(0).cast("long"), lambda n, x: n + (x["end"] - x["start"]))
     return found.select(
         "doc_id",
-        "n_words",
+        F.col("leak_n_words").alias("n_words"),
         hit.alias("n_hit"),
-        F.size("hit_items").cast("long").alias("n_items"),
-        F.sha2(F.encode(F.array_join("hit_items", ","), "UTF-8"), 256).alias("items_sha256"),
+        F.size("leak_hit_items").cast("long").alias("n_items"),
+        F.sha2(F.encode(F.array_join("leak_hit_items", ","), "UTF-8"), 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
     )

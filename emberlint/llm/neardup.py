@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlint.llm.common import WordHash, bloom_of, bounded_batches, hash_words, materialise, raw_texts, table, window_hashes
+from emberlint.llm.common import WordHash, bloom_of, bounded_batches, hash_words, materialise, perhaps_in, raw_texts, table, window_hashes
 from emberlint.llm.graph import Forest, components
 
 SHINGLE = 5
@@ -90,11 +90,11 @@ def plausible(larger, smaller, n_a, n_b, threshold: float = PERCENT / 100) -> np
     return ok
 
 
-_SKETCHED = "doc_id long, node binary, n_shingles long, registers binary"
+_SKETCHED = "doc_id long, crc long, node binary, n_shingles long, registers binary"
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, n_shingles, registers) of each document; node and registers are null without words."""
+    """(doc_id, crc of the text, node, n_shingles, registers) of each document; node and registers are null without words."""
     bounded_batches(docs.sparkSession)
 
     def run(batches):
@@ -108,11 +108,16 @@ def sketches(docs: DataFrame) -> DataFrame:
                 nodes.append(node_of(words) if words else None)
                 registers.append(sketch(found).tobytes() if words else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(registers, pa.binary())],
-                names=["doc_id", "node", "n_shingles", "registers"],
+                [b.column("doc_id"), b.column("crc"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(registers, pa.binary())],
+                names=["doc_id", "crc", "node", "n_shingles", "registers"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SKETCHED)
+    return docs.select(F.col("doc_id").cast("long"), checksum("text").alias("crc"), F.col("text").cast("string")).mapInArrow(run, _SKETCHED)
+
+
+def checksum(text: str):
+    """CRC-32 of a text column; null is as empty."""
+    return F.crc32(F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8"))
 
 
 def node_of(words: list[bytes]) -> bytes:
@@ -262,7 +267,7 @@ def verified_links(clustered: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text); other columns are ignored.
+    """(doc_id, crc, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text); other columns are ignored.
 
     Null and empty texts have no shingles and are linked with nothing: their component is their own id. Rows
     with a null id get the least id of their component, or null if it has none, and are kept only then.
@@ -304,10 +309,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of_linked = materialise(named.join(least, "root").select("node", "component_id"), "linked")
     resolved = nodes.select("node", "doc_id").join(of_linked, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
     resolved = materialise(resolved, "resolved")
-    out = drawn.select("doc_id", "n_shingles", "node").join(resolved, "node", "left")
+    out = drawn.select("doc_id", "crc", "n_shingles", "node").join(resolved, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    return out.select("doc_id", "crc", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text and any others), one document of each group of near-duplicates.
+
+    Rows that repeat id and text count once; other rows with the id of a document that stays are that document's.
+    Only rows that may have to go are moved; the filter that tells them apart has a fixed size.
+    """
+    judged = materialise(near_duplicates(docs), "near-duplicates")
+    gone = judged.where("not kept").select("doc_id", "crc")
+    twice = judged.groupBy("doc_id", "crc").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id", "crc")
+    gone = materialise(gone.distinct(), "dropped")
+    some = materialise(gone.unionByName(twice).distinct(), "dropped-or-repeated")
+    keyed = perhaps_in(docs, some).alias("d").withColumn("crc_of_text", checksum("text"))
+    out = keyed.join(gone.alias("g"), F.expr("d.doc_id <=> g.doc_id and crc_of_text = g.crc"), "left_anti").dropDuplicates(["doc_id", "crc_of_text"])
+    return out.drop("crc_of_text").unionByName(perhaps_in(docs, some, inverse=True))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text")).drop("crc")

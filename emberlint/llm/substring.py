@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlint.llm.common import SLICE_BYTES, WordHash, bloom_of, bounded_batches, hash_words, input_bytes, materialise, mix, raw_texts, table
+from emberlint.llm.common import SLICE_BYTES, WordHash, bounded_batches, hash_words, input_bytes, materialise, mix, perhaps_in, raw_texts, table
 
 WINDOW = 20
 ROUNDS = 4
@@ -312,7 +312,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = materialise(_dealt(docs.mapInArrow(cut, _SENT)), "repeats")
     mixed = found.where("mixed").groupBy("doc_id", "crc").agg(F.collect_list("ranges").alias("ranges"))
     mixed = materialise(mixed, "mixed")
-    some = _passing(docs, mixed).alias("d")
+    some = perhaps_in(docs, mixed).alias("d")
     same = F.expr("d.doc_id <=> m.doc_id and d.crc = m.crc")
     asked = some.join(mixed.alias("m"), same).select("d.doc_id", "d.crc", "d.text", "m.ranges")
 
@@ -346,20 +346,6 @@ def _once(send, start, many, key, stretch, ids, crcs, first, buckets):
     return send(start, many, key, stretch, ids, crcs, first, buckets)
 
 
-def _passing(docs: DataFrame, wanted: DataFrame, inverse: bool = False) -> DataFrame:
-    """Rows of ``docs`` whose doc_id may be among ``wanted`` (null ids always may), or with ``inverse`` the others."""
-    bloom = docs.sparkSession.sparkContext.broadcast(bloom_of(wanted.select("doc_id")))
-
-    def run(batches):
-        for b in batches:
-            ids = b.column("doc_id")
-            null = ids.is_null().to_numpy(zero_copy_only=False)
-            ok = null | bloom.value.passing(ids.fill_null(0).to_numpy().view(np.uint64))
-            yield b.filter(pa.array(ok != inverse))
-
-    return docs.mapInArrow(run, docs.schema)
-
-
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept binary) for every row of ``docs`` (doc_id, text): kept words joined by one space.
 
@@ -393,8 +379,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             )
 
     same = F.expr("d.doc_id <=> r.doc_id and d.crc = r.crc")
-    hit = _passing(docs, ranges).alias("d").join(ranges.alias("r"), same, "left").select("d.doc_id", "d.text", "r.ranges")
-    whole = _passing(docs, ranges, inverse=True)
+    hit = perhaps_in(docs, ranges).alias("d").join(ranges.alias("r"), same, "left").select("d.doc_id", "d.text", "r.ranges")
+    whole = perhaps_in(docs, ranges, inverse=True)
     return hit.mapInArrow(cut, fields).unionByName(whole.mapInArrow(cut, fields))
 
 

@@ -279,6 +279,21 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxicity_score", T.DoubleType())]))
 
 
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``docs`` that score below ``threshold``, with all their columns."""
+    import pickle
+
+    bounded_batches(docs.sparkSession)
+    data = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+
+    def run(batches):
+        m = _model(data.value)
+        for b in batches:
+            yield b.filter(pa.array([m.score(t) < threshold for t in b.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
