@@ -1,8 +1,8 @@
-"""Connected components of a large graph by alternating stars."""
+"""Connected components of a large graph by minima and jumps."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from emberlint.llm.common import materialise
@@ -30,33 +30,38 @@ class Forest:
         self.up[max(a, b)] = min(a, b)
         return True
 
+    def stars(self) -> tuple[list, list]:
+        """Each node that isn't its tree's least, and the least."""
+        nodes = list(self.up)
+        return nodes, [self.root(x) for x in nodes]
 
-def _signature(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+def _kept(edges: DataFrame, label: str) -> tuple[DataFrame, tuple]:
+    """The distinct edges, written, with their number and a sum that tells whether they changed."""
+    seen = Observation()
+    edges = edges.where("a != b").distinct()
+    edges = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
+    return materialise(edges, label), (seen.get["n"], seen.get["sum"])
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
     """(node, root) of every node with a link, root being its component's least node.
 
     ``edges`` has two columns a and b of one orderable type; links may repeat, point either way or be loops;
-    rows with nulls are left out. Each round hangs neighbours on the least node seen; rounds follow the
-    logarithm of the longest path. Nothing but a count and a sum reaches the driver; a node's links are
-    reduced to a minimum before they move, and joins on a node with many links can be split.
+    rows with nulls are left out. In each round a node keeps its least neighbour below it and hands the others
+    to that one, then all hang on their neighbour's neighbour; rounds follow the logarithm of the longest path.
+    Nothing but a count and a sum reaches the driver. A node has few links to lesser nodes, the tasks that made the
+    links being stars already; a node that many hang on is only joined with, and such joins can be split.
     """
-    now = edges.select("a", "b").where("a is not null and b is not null and a != b").distinct()
-    now = materialise(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
-    before = _signature(now)
+    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null")
+    now, before = _kept(now, label)
     while before[0]:
-        # Large star: what is larger than a node goes to the least of its neighbourhood.
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), label)
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        large = materialise(large, label)
-        # Small star: a node and its smaller neighbours go to the least of these.
-        least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), label)
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = materialise(small.where("a != b").distinct(), label)
-        if (after := _signature(now)) == before:
+        least = now.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+        pairs = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        hung, _ = _kept(least.select(F.explode(pairs).alias("e")).select("e.a", "e.b"), label)
+        above = hung.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "b")
+        now, after = _kept(hung.join(above, "b", "left").select("a", F.coalesce("m", "b").alias("b")), label)
+        if after == before:
             break
         before = after
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))

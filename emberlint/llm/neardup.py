@@ -10,7 +10,7 @@
 3. All pairs of a cluster are compared on their full sets of shingles; links that hold give the components.
 
 Meetings and clusters of any size are cut into blocks, and a task compares one pair of blocks, so no task and
-no message holds a whole group. Tasks emit spanning forests of their links, never all pairs.
+no message holds a whole group. Tasks emit spanning stars of their links, never all pairs.
 """
 
 from __future__ import annotations
@@ -145,9 +145,9 @@ def _grouped(batches, keys: list[str]):
         yield rest, np.array([0, rest.num_rows])
 
 
-def _edges(found: list[tuple[bytes, bytes]]):
-    a, b = zip(*found, strict=True) if found else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+def _stars(forest: Forest) -> pa.RecordBatch:
+    nodes, roots = forest.stars()
+    return pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(roots, pa.binary())], names=["a", "b"])
 
 
 def _fixed(column: pa.ChunkedArray, dtype) -> np.ndarray:
@@ -178,7 +178,7 @@ def plausible_links(nodes: DataFrame) -> DataFrame:
             names, sizes, own = t.column("node").to_pylist(), t.column("n_shingles").to_numpy(), t.column("own").to_numpy()
             low, registers = t.column("low").to_numpy(), _fixed(t.column("registers"), np.uint16)
             high = t.column("high").to_numpy()
-            found, twos = [], []
+            twos = []
             first = np.append(first[first < t.num_rows], t.num_rows)
             for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                 if e - s == 2:
@@ -193,25 +193,23 @@ def plausible_links(nodes: DataFrame) -> DataFrame:
                             js = js[own[js] == high[s]]
                         js = js[[forest.root(names[j]) != forest.root(names[i]) for j in js]] if len(js) else js
                         if len(js):
-                            found += _plausible_pairs(np.full(len(js), i), js, names, sizes, registers, forest)
+                            _join_plausible(np.full(len(js), i), js, names, sizes, registers, forest)
             if twos:
                 i = np.array(twos)
                 i = i[(low[i] == high[i]) | (own[i] != own[i + 1])]
-                found += _plausible_pairs(i, i + 1, names, sizes, registers, forest)
-            yield _edges(found)
+                _join_plausible(i, i + 1, names, sizes, registers, forest)
+        yield _stars(forest)
 
     placed = met.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "node")
     return placed.select("bucket", "low", "high", "own", "node", "n_shingles", "registers").mapInArrow(run, "a binary, b binary")
 
 
-def _plausible_pairs(i, j, names, sizes, registers, forest) -> list[tuple[bytes, bytes]]:
-    if not len(i):
-        return []
+def _join_plausible(i, j, names, sizes, registers, forest: Forest) -> None:
     larger = (registers[i] > registers[j]).sum(1)
     smaller = (registers[i] < registers[j]).sum(1)
     ok = plausible(larger, smaller, sizes[i], sizes[j])
-    pairs = ((names[a], names[b]) for a, b in zip(i[ok].tolist(), j[ok].tolist(), strict=True))
-    return [p for p in pairs if forest.join(*p)]
+    for a, b in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
+        forest.join(names[a], names[b])
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -235,7 +233,7 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def verified_links(clustered: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): links that hold on full sets, as forests; from (cluster, node, size, total, shingles)."""
+    """(a, b): links that hold on full sets, as stars; from (cluster, node, size, total, shingles)."""
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES), F.lit(1))
     dealt = _in_blocks(clustered, "cluster", blocks).select("cluster", "low", "high", "own", "node", "shingles")
 
@@ -244,7 +242,6 @@ def verified_links(clustered: DataFrame, percent: int = PERCENT) -> DataFrame:
         for t, first in _grouped(batches, ["cluster", "low", "high"]):
             names, raw = t.column("node").to_pylist(), t.column("shingles").to_pylist()
             own, low, high = (t.column(c).to_numpy() for c in ("own", "low", "high"))
-            found = []
             first = np.append(first[first < t.num_rows], t.num_rows)
             for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                 at = {names[k]: k for k in range(s, e)}  # a node that came twice counts once
@@ -259,9 +256,9 @@ def verified_links(clustered: DataFrame, percent: int = PERCENT) -> DataFrame:
                 n = np.array([len(x) for x in sets])
                 holds = 100 * both >= percent * (n[:, None] + n - both)
                 for i, j in np.argwhere(np.triu(holds, 1)).tolist():
-                    if (low[s] == high[s] or own[who[i]] != own[who[j]]) and forest.join(names[who[i]], names[who[j]]):
-                        found.append((names[who[i]], names[who[j]]))
-            yield _edges(found)
+                    if low[s] == high[s] or own[who[i]] != own[who[j]]:
+                        forest.join(names[who[i]], names[who[j]])
+        yield _stars(forest)
 
     return dealt.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "node").mapInArrow(run, "a binary, b binary")
 
@@ -279,10 +276,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")
     )
     nodes = materialise(nodes, "nodes")
-    clusters = materialise(components(plausible_links(nodes), "clusters"), "clusters")
+    clusters = components(plausible_links(nodes), "clusters")
     clusters = clusters.join(nodes.select("node", "doc_id", "n_shingles"), "node").withColumnRenamed("root", "cluster")
     clusters = materialise(clusters, "clustered")
-    sizes = materialise(clusters.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("total")), "cluster-sizes")
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("total"))
     wanted = bloom_of(clusters.select("doc_id"))
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
 
@@ -303,12 +300,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = docs.mapInArrow(sets_of, "doc_id long, node binary, shingles binary")
     same = (F.col("c.node") == F.col("s.node")) & F.col("c.doc_id").eqNullSafe(F.col("s.doc_id"))
     clustered = clusters.alias("c").join(sets.alias("s"), same).select("c.cluster", "c.node", "s.shingles").join(sizes, "cluster")
-    linked = materialise(components(verified_links(clustered), "links"), "components")
+    linked = components(verified_links(clustered), "links")
     named = linked.join(nodes.select("node", "doc_id"), "node")
-    least = materialise(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "component-ids")
-    of_linked = materialise(named.join(least, "root").select("node", "component_id"), "linked")
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    of_linked = named.join(least, "root").select("node", "component_id")
     resolved = nodes.select("node", "doc_id").join(of_linked, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
-    resolved = materialise(resolved, "resolved")
+    resolved = materialise(resolved, "resolved")  # so that the join below, on nodes with many copies, can be split
     out = drawn.select("doc_id", "crc", "n_shingles", "node").join(resolved, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "crc", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
