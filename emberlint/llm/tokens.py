@@ -12,17 +12,23 @@ so readers can take single columns, single documents or ranges of documents.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberlint.llm.common import CACHE_WORDS, scratch
+from emberlint.llm.common import bounded_batches, scratch
 
 END_ID = 2
+#: Words whose ids a worker remembers (about 100 bytes each); a full cache is emptied and fills again.
+CACHE_WORDS = 400_000
 FORMAT = "doc_id long, part int, local_start long, n_tokens int, token_ids array<int>"
 #: Writer options: sizes in bytes and rows.
 WRITER = {
@@ -43,20 +49,55 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Words that need neither normalisation nor case rules beyond one letter at a time: printable ASCII and Latin letters.
+_PLAIN = re.compile(r"[!-~\xa1-\xac\xae-\u012f\u0131-\u024f]+")
+
+#: In lower-case Latin-1 text: runs of letters, and what begins with something else up to the next space.
+_RUNS = re.compile(r"[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[^ \na-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff][^ \n]*").findall
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, the others from 256 on."""
+    keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(keep)]
+    return {b: chr(b) for b in keep} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class _Ids(dict):
-    """Word to its ids as little-endian uint32 bytes."""
+    """Word to its ids as little-endian uint32 bytes.
+
+    Plain words are lower-cased and cut by the tokenizer's own pattern, and each piece goes to the library's model
+    once; all other words go through the library's whole pipeline. Other makes of tokenizers are refused.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's name in a text is ordinary text
+        self.model, self.letters, self.cut = self.tokenizer.model, _byte_letters(), None
+        made = json.loads(self.tokenizer.to_str())
+        pre, norm = made["pre_tokenizer"] or {}, made["normalizer"] or {}
+        if [x.get("type") for x in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
+            cuts, level = (pre.get("pretokenizers", []) + [{}, {}])[:2]
+            if cuts.get("type") == "Split" and cuts.get("invert") and level.get("type") == "ByteLevel" and made["model"]["type"] == "BPE":
+                self.cut = regex.compile(cuts["pattern"]["Regex"]).findall
+        if self.cut is None:
+            raise ValueError(f"{path}: not a tokenizer that works word by word")
 
     def __missing__(self, word: str) -> bytes:
+        if not _PLAIN.fullmatch(word):
+            out = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        elif (low := word.lower()) != word:
+            return self[low]
+        elif not word.isalpha() and len(pieces := self.cut(word)) > 1:
+            return b"".join(map(self.__getitem__, pieces))
+        else:
+            said = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+            out = array("I", [t.id for t in self.model.tokenize(said)]).tobytes()
         if len(self) >= CACHE_WORDS:
             self.clear()
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        self[word] = out = np.array(ids, "<u4").tobytes()
+        self[word] = out
         return out
 
 
@@ -69,11 +110,17 @@ def encode(text: str | None, path: str) -> bytes:
     """Ids of a whole text as little-endian uint32 bytes; null has none.
 
     The tokenizer drops white space and works word by word, so a text's ids are its words' ids one after
-    another; each distinct word is encoded by the library once in a worker.
+    another; a worker remembers the ids of the words it meets.
     """
     if not text:
         return b""
-    return b"".join(map(_ids(path).__getitem__, text.replace("\n", " ").split(" ")))
+    ids = _ids(path).__getitem__
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return b"".join(map(ids, text.replace("\n", " ").split(" ")))
+    # Here lower case goes letter by letter, as in the tokenizer, and a run of letters is one of its pieces.
+    return b"".join(map(ids, _RUNS(text.lower())))
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
@@ -84,6 +131,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     texts, are made after it and only written.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
 
     def run(batches):
         from pyspark import TaskContext
