@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberlint.llm.common import materialise
+from emberlint.llm.common import bounded_batches, materialise
 from emberlint.llm.tokens import default_tokenizer, encode
 
 CAPACITY = 4096
@@ -35,6 +35,8 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None
     the frame must be written before its ranks are used, as a second run may deal tasks differently.
     """
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches):
         from pyspark import TaskContext
 
