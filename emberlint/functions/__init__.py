@@ -1 +1 @@
-"""."""
+"""Column functions over program texts, diagnostics and type spellings."""

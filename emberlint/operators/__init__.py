@@ -1 +1 @@
-"""."""
+"""Relational operators over submissions and their diagnostics."""

@@ -1 +1 @@
-"""."""
+"""Whole plans: building training data, serving recommendations, training."""

@@ -1 +1 @@
-"""."""
+"""Readers and writers: Parquet, JSON lines, tables and views."""

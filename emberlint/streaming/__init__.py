@@ -1 +1 @@
-"""."""
+"""Streams of submissions and of events."""
