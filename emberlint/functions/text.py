@@ -44,9 +44,13 @@ def unescape_source(code: Column) -> Column:
     return F.replace(F.coalesce(code, F.lit("")), F.lit("\\n"), F.lit("\n"))
 
 
+_HIGH = bytes(range(128, 256))
+
+
 def decode_output(raw: Column) -> Column:
     """Compiler output in bytes: UTF-8, else code page 866."""
-    return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(F.decode(raw, "IBM866"))
+    by_byte = F.translate(F.decode(raw, "ISO-8859-1"), _HIGH.decode("latin-1"), _HIGH.decode("cp866"))
+    return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(by_byte)
 
 
 def valid_utf8(x: Column) -> Column:

@@ -61,7 +61,7 @@ def merge_contexts(*frames: DataFrame) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f)
     bad = F.when(F.col("row_id").isNull() | F.col("ctx").isNull(), "a field is missing").when(F.count("*").over(Window.partitionBy("row_id")) > 1, "repeated row_id")
-    return out.withColumn("_bad", bad).where(F.when(F.col("_bad").isNotNull(), F.raise_error("_bad").cast("boolean")).otherwise(F.lit(True))).drop("_bad")
+    return out.withColumn("_bad", bad).where(F.when(F.col("_bad").isNotNull(), F.raise_error(F.col("_bad")).cast("boolean")).otherwise(F.lit(True))).drop("_bad")
 
 
 def first_per_group(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:

@@ -10,19 +10,28 @@ from pyspark.sql import types as T
 
 from emberlint.functions import values as V
 
+_TEXT, _INT, _LONG, _BOOL = T.StringType(), T.IntegerType(), T.LongType(), T.BooleanType()
+_TEXTS, _COUNTS = T.ArrayType(_TEXT), T.MapType(_TEXT, _LONG)
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
 #: Syntactic context of a submission. Counts are maps, as their keys are open.
-CTX_SCHEMA = T.StructType.fromDDL("""
-  line INT,
-  core_info STRUCT<kind STRING, spelling STRING, displayname STRING, line INT, is_decl BOOLEAN, is_expr BOOLEAN, is_stmt BOOLEAN, type STRING, result_type STRING>,
-  cursor_meta STRUCT<op_spelling STRING, lhs_type STRING, rhs_type STRING, lhs_kind STRING, rhs_kind STRING, num_args INT, arg_types ARRAY<STRING>,
-    result_type STRING, is_type_ref BOOLEAN, ref_kind STRING, ref_type STRING>,
-  parent_chain ARRAY<STRING>,
-  local_tokens_norm ARRAY<STRING>,
-  includes ARRAY<STRING>,
-  macros ARRAY<STRUCT<kind STRING, name STRING, spelling STRING, line INT>>,
-  aliases_ns STRUCT<using_directives ARRAY<STRING>, using_decls ARRAY<STRING>, typedefs ARRAY<STRUCT<name STRING, underlying STRING, kind STRING>>, namespaces ARRAY<STRING>>,
-  decls STRUCT<type_kind_counts MAP<STRING,BIGINT>, var_kind_counts MAP<STRING,BIGINT>, var_type_counts MAP<STRING,BIGINT>, func_kind_counts MAP<STRING,BIGINT>>
-""")
+CTX_SCHEMA = _struct(
+    line=_INT,
+    core_info=_struct(kind=_TEXT, spelling=_TEXT, displayname=_TEXT, line=_INT, is_decl=_BOOL, is_expr=_BOOL, is_stmt=_BOOL, type=_TEXT, result_type=_TEXT),
+    cursor_meta=_struct(
+        op_spelling=_TEXT, lhs_type=_TEXT, rhs_type=_TEXT, lhs_kind=_TEXT, rhs_kind=_TEXT, num_args=_INT, arg_types=_TEXTS, result_type=_TEXT, is_type_ref=_BOOL, ref_kind=_TEXT, ref_type=_TEXT
+    ),
+    parent_chain=_TEXTS,
+    local_tokens_norm=_TEXTS,
+    includes=_TEXTS,
+    macros=T.ArrayType(_struct(kind=_TEXT, name=_TEXT, spelling=_TEXT, line=_INT)),
+    aliases_ns=_struct(using_directives=_TEXTS, using_decls=_TEXTS, typedefs=T.ArrayType(_struct(name=_TEXT, underlying=_TEXT, kind=_TEXT)), namespaces=_TEXTS),
+    decls=_struct(type_kind_counts=_COUNTS, var_kind_counts=_COUNTS, var_type_counts=_COUNTS, func_kind_counts=_COUNTS),
+)
 CTX_FILE = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("ctx", CTX_SCHEMA)])
 TRAINING_SCHEMA = (
     "label int, error_text string, error_text_tokens string, error_code string, error_line int, source_code string, ctx_tokens string, ctx_numeric string, is_in_train int"
