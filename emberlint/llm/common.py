@@ -131,8 +131,10 @@ class Bloom:
         a = mix(keys.astype(np.uint64) * _M1)
         return a & mask, (a >> np.uint64(32)) * _M1 >> np.uint64(20) & mask
 
-    def __contains__(self, key: int) -> bool:
-        return bool(self.passing(np.array([key], np.uint64))[0])
+    def holding(self, ids: pa.Array) -> np.ndarray:
+        """Whether each of a column of integers may be held; nulls always may."""
+        ids = ids.cast(pa.int64())
+        return ids.is_null().to_numpy(zero_copy_only=False) | self.passing(ids.fill_null(0).to_numpy().view(np.uint64))
 
     def passing(self, keys: np.ndarray) -> np.ndarray:
         out = np.ones(len(keys), bool)
@@ -168,15 +170,11 @@ def bloom_of(keys: DataFrame, most_bytes: int = 8 << 20) -> Bloom:
     return Bloom(merged.tobytes())
 
 
-def perhaps_in(docs: DataFrame, wanted: DataFrame, inverse: bool = False) -> DataFrame:
-    """Rows of ``docs`` whose doc_id may be among those of ``wanted`` (null ids always may), or with ``inverse`` the others."""
-    bloom = docs.sparkSession.sparkContext.broadcast(bloom_of(wanted.select("doc_id")))
+def perhaps_in(docs: DataFrame, bloom, inverse: bool = False) -> DataFrame:
+    """Rows of ``docs`` whose doc_id a broadcast filter may hold, or with ``inverse`` the others."""
 
     def run(batches):
         for b in batches:
-            ids = b.column("doc_id").cast(pa.int64())
-            null = ids.is_null().to_numpy(zero_copy_only=False)
-            ok = null | bloom.value.passing(ids.fill_null(0).to_numpy().view(np.uint64))
-            yield b.filter(pa.array(ok != inverse))
+            yield b.filter(pa.array(bloom.value.holding(b.column("doc_id")) != inverse))
 
     return docs.mapInArrow(run, docs.schema)

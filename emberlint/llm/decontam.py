@@ -204,11 +204,12 @@ _ADDED = (T.StructField("leak_n_words", T.LongType()), T.StructField("leak_hit_s
 _SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, cut: bool = False) -> DataFrame:
     """All rows and columns of ``docs`` with leak_n_words, leak_hit_spans (in words, merged) and leak_hit_items (distinct ids, sorted as strings).
 
     Null texts have no words; benchmark rows without words have no windows; items without an id mark words but
-    aren't listed. Columns of ``docs`` named like the added ones are replaced.
+    aren't listed. Columns of ``docs`` named like the added ones are replaced. With ``cut``, instead of adding columns,
+    the spans are cut out of ``text``, and documents of which no word is left are dropped.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -216,13 +217,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
     total = input_bytes(items, "text")
     blocks = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
     docs = docs.drop(*(f.name for f in _ADDED))
-    schema = T.StructType([*docs.schema.fields, *_ADDED])
+    names, schema = docs.columns, T.StructType([*docs.schema.fields, *_ADDED])
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k) if blocks > 1 else items
         found = Phrases([(r["item_id"], r["text"].encode()) for r in part.toLocalIterator()], window)
         sent = spark.sparkContext.broadcast(found)
 
-        def run(batches, sent=sent, first=k == 0):
+        def run(batches, sent=sent, first=k == 0, last=k + 1 == blocks):
             for b in batches:
                 texts = raw_texts(b.column("text"))
                 counts, spans, owners = [], [], []
@@ -236,6 +237,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
                     for j, (s, o) in enumerate(before):
                         spans[j] = merged(spans[j], [(x["start"], x["end"]) for x in s])
                         owners[j] |= set(o)
+                if cut and last:
+                    yield _cut(b.select(names), texts, spans)
+                    continue
                 added = [
                     pa.array(counts, pa.int64()),
                     pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], _SPAN_TYPE),
@@ -244,7 +248,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
                 old = [b.column(c) for c in b.schema.names if first or c not in ("leak_n_words", "leak_hit_spans", "leak_hit_items")]
                 yield pa.RecordBatch.from_arrays([*old, *added], names=[f.name for f in schema.fields])
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(run, T.StructType(schema.fields[: len(names)]) if cut and k + 1 == blocks else schema)
         if k + 1 < blocks:
             docs = materialise(docs, "decontaminated")
     return docs
@@ -260,22 +264,17 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[at:]]).decode()
 
 
+def _cut(batch: pa.RecordBatch, texts: list[bytes], spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+    left = [cut_words(t.decode(), s) if s else None for t, s in zip(texts, spans, strict=True)]
+    k = batch.schema.get_field_index("text")
+    old = batch.column(k).to_pylist()
+    batch = batch.set_column(k, "text", pa.array([o if x is None else x for o, x in zip(old, left, strict=True)], pa.string()))
+    return batch.filter(pa.array([x is None or bool(words_of(x.encode())) for x in left], pa.bool_()))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with leaked spans cut out of ``text``; documents of which no word is left are dropped, clean ones stay as they are."""
-    fields = docs.schema
-
-    def run(batches):
-        for b in batches:
-            texts = [
-                cut_words(t, [(x["start"], x["end"]) for x in s]) if s else t
-                for t, s in zip(b.column("text").to_pylist(), b.column("leak_hit_spans").to_pylist(), strict=True)
-            ]
-            keep = [not s or bool(words_of(t.encode())) for t, s in zip(texts, b.column("leak_hit_spans").to_pylist(), strict=True)]
-            k = fields.fieldNames().index("text")
-            b = b.select(fields.fieldNames()).set_column(k, "text", pa.array(texts, pa.string()))
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    return find_leaks(docs, benchmark).mapInArrow(run, fields)
+    return find_leaks(docs, benchmark, cut=True)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -286,10 +286,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def sets_of(batches):
         cache, bloom = WordHash(), sent.value
         for b in batches:
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            ok = np.array([x is None or x != x for x in b.column("doc_id").to_pylist()], bool)
-            ok |= bloom.passing(np.where(ok, 0, ids).astype(np.int64).view(np.uint64)) if len(ids) else ok
-            b = b.filter(pa.array(ok))
+            b = b.filter(pa.array(bloom.holding(b.column("doc_id"))))
             nodes_, sets = [], []
             for raw in raw_texts(b.column("text")):
                 words = raw.lower().split()
@@ -322,9 +319,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
     twice = judged.groupBy("doc_id", "crc").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id", "crc")
     gone = materialise(gone.distinct(), "dropped")
     some = materialise(gone.unionByName(twice).distinct(), "dropped-or-repeated")
-    keyed = perhaps_in(docs, some).alias("d").withColumn("crc_of_text", checksum("text"))
+    bloom = docs.sparkSession.sparkContext.broadcast(bloom_of(some.select("doc_id")))
+    keyed = perhaps_in(docs, bloom).alias("d").withColumn("crc_of_text", checksum("text"))
     out = keyed.join(gone.alias("g"), F.expr("d.doc_id <=> g.doc_id and crc_of_text = g.crc"), "left_anti").dropDuplicates(["doc_id", "crc_of_text"])
-    return out.drop("crc_of_text").unionByName(perhaps_in(docs, some, inverse=True))
+    return out.drop("crc_of_text").unionByName(perhaps_in(docs, bloom, inverse=True))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

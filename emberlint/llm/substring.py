@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlint.llm.common import SLICE_BYTES, WordHash, bounded_batches, hash_words, input_bytes, materialise, mix, perhaps_in, raw_texts, table
+from emberlint.llm.common import WordHash, bloom_of, bounded_batches, hash_words, input_bytes, materialise, mix, perhaps_in, raw_texts, table
 
 WINDOW = 20
 ROUNDS = 4
@@ -133,6 +133,8 @@ def segments(words: np.ndarray, ends: np.ndarray, window: int = WINDOW) -> tuple
 
 # --- distributed comparison -------------------------------------------------------------------------------------
 
+#: Bytes of text that a task cuts into segments at one time; it holds some twenty numbers a word meanwhile.
+SLICE_BYTES = 2 << 20
 #: Bytes of text for each range of hashes that is compared at one time.
 RANGE_BYTES = 8 << 20
 _SENT = "kind int, bucket int, keys binary, stretches binary, starts binary, counts binary, docs binary"
@@ -312,7 +314,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = materialise(_dealt(docs.mapInArrow(cut, _SENT)), "repeats")
     mixed = found.where("mixed").groupBy("doc_id", "crc").agg(F.collect_list("ranges").alias("ranges"))
     mixed = materialise(mixed, "mixed")
-    some = perhaps_in(docs, mixed).alias("d")
+    some = perhaps_in(docs, spark.sparkContext.broadcast(bloom_of(mixed.select("doc_id")))).alias("d")
     same = F.expr("d.doc_id <=> m.doc_id and d.crc = m.crc")
     asked = some.join(mixed.alias("m"), same).select("d.doc_id", "d.crc", "d.text", "m.ranges")
 
@@ -357,6 +359,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     docs = docs.withColumn("crc", F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")))).select("doc_id", "crc", "text")
     ranges = materialise(repeated_ranges(docs, window), "repeated-ranges")
     fields = "doc_id long, n_words long, n_removed long, kept binary"
+    bloom = docs.sparkSession.sparkContext.broadcast(bloom_of(ranges.select("doc_id")))
+
+    def untouched(batches):  # one Python stage that filters and cuts: two would hold twice the workers
+        return cut(b.filter(pa.array(~bloom.value.holding(b.column("doc_id")))) for b in batches)
 
     def cut(batches):
         for b in batches:
@@ -379,9 +385,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             )
 
     same = F.expr("d.doc_id <=> r.doc_id and d.crc = r.crc")
-    hit = perhaps_in(docs, ranges).alias("d").join(ranges.alias("r"), same, "left").select("d.doc_id", "d.text", "r.ranges")
-    whole = perhaps_in(docs, ranges, inverse=True)
-    return hit.mapInArrow(cut, fields).unionByName(whole.mapInArrow(cut, fields))
+    hit = perhaps_in(docs, bloom).alias("d").join(ranges.alias("r"), same, "left").select("d.doc_id", "d.text", "r.ranges")
+    return hit.mapInArrow(cut, fields).unionByName(docs.mapInArrow(untouched, fields))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
