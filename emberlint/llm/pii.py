@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlint.llm.common import table
+from emberlint.llm.common import bounded_batches, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "login", "secret")
@@ -160,6 +160,7 @@ def mask(text: str | None) -> str | None:
 
 def mask_documents(docs: DataFrame) -> DataFrame:
     """All rows and columns of ``docs``, with personal data in ``text`` masked; texts without any stay as they are."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
@@ -172,6 +173,7 @@ def mask_documents(docs: DataFrame) -> DataFrame:
 
 def pii_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, spans array<struct<kind, start, end>>) for every row of ``docs`` (doc_id, text)."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
