@@ -29,6 +29,8 @@ BROADCAST_HOSTS = 200_000
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
+#: Words of tags and classes that name main text; their containers count a tenth more.
+CONTENT_WORDS = frozenset("article main content post entry story text body".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes template".split())
 CONTAINERS = frozenset("html body main article section div center td".split())
@@ -186,7 +188,8 @@ class Page:
         for k in range(n):
             if self.noise[k]:
                 continue
-            bonus = 0.1 * total if self.step[k].split(".")[0] in ("article", "main") and self.hash[k] not in paths else 0
+            named = self.step[k] != "body" and not CONTENT_WORDS.isdisjoint(_WORDS.findall(self.step[k].lower()))
+            bonus = 0.1 * total if named and self.hash[k] not in paths else 0
             old = paths.get(self.hash[k], (0, 0, 0))
             paths[self.hash[k]] = (old[0] + score[k] + bonus, depth[k], -self.hash[k])
         return max(paths, key=paths.get) if self.blocks else 0
