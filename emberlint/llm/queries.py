@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from emberlint.llm import counts, decontam, htmltext, neardup, packing, pii, quality, substring, tokens, toxicity
+from emberlint.llm import counts, decontam, htmltext, neardup, oracle, packing, pii, quality, substring, tokens, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -16,4 +16,10 @@ QUERIES = {
     "op9_token_counts": counts.op9,
     "op10_pii": pii.op10,
 }
-ORACLE_SQL = {"op5_quality": quality.OP5_SQL, "op9_token_counts": counts.OP9_SQL}
+ORACLE_SQL = {
+    "op2_decontamination": oracle.OP2_SQL,
+    "op5_quality": quality.OP5_SQL,
+    "op7_near_duplicates": oracle.OP7_SQL,
+    "op8_substring_dedup": oracle.OP8_SQL,
+    "op9_token_counts": counts.OP9_SQL,
+}
