@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from emberlint.llm.common import materialise
 
+#: Places that the links of one node are dealt to.
+SALTS = 16
+
 
 class Forest:
     """Union-find over the nodes that one task sees; tells which links join what was apart."""
@@ -50,8 +53,8 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     ``edges`` has two columns a and b of one orderable type; links may repeat, point either way or be loops;
     rows with nulls are left out. In each round a node keeps its least neighbour below it and hands the others
     to that one, then all hang on their neighbour's neighbour; rounds follow the logarithm of the longest path.
-    Nothing but a count and a sum reaches the driver. A node has few links to lesser nodes, the tasks that made the
-    links being stars already; a node that many hang on is only joined with, and such joins can be split.
+    Nothing but a count and a sum reaches the driver. A node has few links to lesser nodes, as tasks send
+    stars; the links of a node that many hang on are dealt to several places.
     """
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null")
     now, before = _kept(now, label)
@@ -59,8 +62,11 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         least = now.withColumn("m", F.min("b").over(Window.partitionBy("a")))
         pairs = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
         hung, _ = _kept(least.select(F.explode(pairs).alias("e")).select("e.a", "e.b"), label)
-        above = hung.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "b")
-        now, after = _kept(hung.join(above, "b", "left").select("a", F.coalesce("m", "b").alias("b")), label)
+        # Only nodes that others hang on are looked up, and each in several places, as many may hang on one.
+        above = hung.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "b").join(hung.select("b").distinct(), "b")
+        above = above.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = hung.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
+        now, after = _kept(salted.join(above, ["b", "salt"], "left").select("a", F.coalesce("m", "b").alias("b")), label)
         if after == before:
             break
         before = after
