@@ -137,6 +137,8 @@ def segments(words: np.ndarray, ends: np.ndarray, window: int = WINDOW) -> tuple
 SLICE_BYTES = 2 << 20
 #: Bytes of text for each range of hashes that is compared at one time.
 RANGE_BYTES = 8 << 20
+#: Partitions of a shuffle by ranges of hashes; beyond, a task takes several ranges, one after another.
+MOST_PARTITIONS = 20_000
 _SENT = "kind int, bucket int, keys binary, stretches binary, starts binary, counts binary, docs binary"
 _FOUND = "doc_id long, crc long, mixed boolean, ranges binary"
 _NONE = np.iinfo(np.int64).min  # stands for a null doc_id, which sorts first
@@ -273,8 +275,8 @@ def _compare(batches):
         yield from judged(rows)
 
 
-def _dealt(sent: DataFrame) -> DataFrame:
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_compare, _FOUND)
+def _dealt(sent: DataFrame, buckets: int) -> DataFrame:
+    return sent.repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(_compare, _FOUND)
 
 
 def _slices(batches, *more: str):
@@ -311,7 +313,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             first = np.concatenate(([0], ends[:-1]))
             yield _once(_sent, start, many, key, stretch, ids, crcs, first, buckets)
 
-    found = materialise(_dealt(docs.mapInArrow(cut, _SENT)), "repeats")
+    found = materialise(_dealt(docs.mapInArrow(cut, _SENT), buckets), "repeats")
     mixed = found.where("mixed").groupBy("doc_id", "crc").agg(F.collect_list("ranges").alias("ranges"))
     mixed = materialise(mixed, "mixed")
     some = perhaps_in(docs, spark.sparkContext.broadcast(bloom_of(mixed.select("doc_id")))).alias("d")
@@ -331,7 +333,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             key, stretch = (Rolling(words, base).of(at, at + window) for base in (_B1, _B2))
             yield _once(_sent, at, np.ones(len(at), np.int64), key, stretch, ids, crcs, first, buckets)
 
-    more = materialise(_dealt(asked.mapInArrow(windows, _SENT)).where("not mixed"), "repeats")
+    more = materialise(_dealt(asked.mapInArrow(windows, _SENT), buckets).where("not mixed"), "repeats")
     both = found.where("not mixed").unionByName(more)
     return both.groupBy("doc_id", "crc").agg(F.collect_list("ranges").alias("ranges"))
 
