@@ -31,7 +31,7 @@ ROWS, BANDS = 4, 32
 REGISTERS = ROWS * BANDS
 BASE, RATE, TOP = 1.001, 20.0, 65534
 #: Members of a block at a band value, and of a block of a cluster; shingles of a block of a cluster.
-BLOCK, BLOCK_SHINGLES = 256, 1 << 18
+BLOCK, BLOCK_SHINGLES = 128, 1 << 18
 #: A pair is dropped unverified if the threshold is this much less likely (natural logarithm) than the best estimate: 5 deviations.
 UNLIKELY = 12.5
 
