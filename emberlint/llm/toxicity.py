@@ -160,7 +160,8 @@ def _g2(a: float, b: float, p: float):
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
     """(text, toxic) of labelled rows that aren't held out, at most about ``most`` by a hash of doc_id.
 
-    Rows with a null id, label or text don't train; of several labels of a document the largest counts.
+    Rows with a null id, label or text don't train; of several labels of a document or a text the largest counts, and
+    texts count once, so that copies aren't taken for evidence.
     """
     use = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic in (0, 1)")
     use = use.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
@@ -169,7 +170,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -
         use = use.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * most / n))
     use = use.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # About ``most`` pairs of numbers, so they can be sent to all executors.
-    return docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").join(F.broadcast(use), "doc_id").select("text", "toxic")
+    return docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").join(F.broadcast(use), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Model:
