@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from emberlint.llm.common import bounded_batches, scratch
 
 END_ID = 2
-#: Words whose ids a worker remembers (about 100 bytes each); a full cache is emptied and fills again.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker remembers (about 200 bytes each); a full cache is emptied and fills again.
+CACHE_WORDS = 700_000
 FORMAT = "doc_id long, part int, local_start long, n_tokens int, token_ids array<int>"
 #: Writer options: sizes in bytes and rows.
 WRITER = {
@@ -86,7 +86,9 @@ class _Ids(dict):
             raise ValueError(f"{path}: not a tokenizer that works word by word")
 
     def __missing__(self, word: str) -> bytes:
-        if not _PLAIN.fullmatch(word):
+        if word.isascii() and word.isalpha() and word.islower():
+            out = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        elif not _PLAIN.fullmatch(word):
             out = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         elif (low := word.lower()) != word:
             return self[low]
