@@ -30,19 +30,27 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf(_SCORED)
-def _closest(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_best(x, y, False) for x, y in zip(a, b, strict=True)], columns=["name", "score"])
-
-
 @F.pandas_udf(_SCORED)
 def _matching(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_best(x, y, True) for x, y in zip(a, b, strict=True)], columns=["name", "score"])
+    seen: dict = {}
+    rows = []
+    for x, y in zip(a, b, strict=True):
+        key = x, None if y is None else tuple(y)
+        if key not in seen:
+            seen[key] = _best(x, y, True)
+        rows.append(seen[key])
+    return pd.DataFrame(rows, columns=["name", "score"])
 
 
 def closest(name: Column, words: tuple[str, ...]) -> Column:
-    """(name, score) of the most similar word; of equal ones the first in order."""
-    return _closest(name, F.array(*map(F.lit, words)))
+    """(name, score) of the most similar word; of equal ones the first in order. Each distinct name of a batch is compared once."""
+
+    def find(a: pd.Series) -> pd.DataFrame:
+        seen = {x: _best(x, words, False) for x in a.dropna().unique()}
+        return pd.DataFrame([seen.get(x, (None, 0.0)) for x in a], columns=["name", "score"])
+
+    find.__annotations__ = {"a": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(find, _SCORED)(name)
 
 
 def best_match(name: Column, candidates: Column, cutoff: float = 0.8) -> Column:
