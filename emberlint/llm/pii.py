@@ -5,15 +5,17 @@ dots, schemes, and cues of identifiers. A parser for each kind expands an anchor
 it may belong to and validates it. All parsers are linear in the text and never look at a stretch twice.
 
 Kinds: ``email``, ``ip``, ``card`` and ``phone`` follow fixed grammars (leftmost, non-overlapping, failing
-matches dropped without retries). Added kinds: ``iban`` (country code, check digits and mod 97), ``login`` (user
-and password before the host of a URL, or a mailto address), ``secret`` (an access key id, or the value
-after password=, token = and the like).
+matches dropped without retries). Added kinds: ``iban`` (country code, check digits, the country's length and mod
+97; a token of its own unless a cue came before in the text, from where on codes without a known length count,
+too), ``login`` (user and password before the host of a URL, or a mailto address), ``secret`` (an access key id,
+or the value after password=, token = and the like).
 """
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
+from string import ascii_uppercase
 
 import ahocorasick
 import pyarrow as pa
@@ -25,6 +27,17 @@ from emberlint.llm.common import bounded_batches, table
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "login", "secret")
 CUES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey")
+#: Characters of an account number by country.
+IBAN_LENGTHS = {
+    code: n
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for code in codes.split()
+}
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++")
@@ -32,6 +45,7 @@ _IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
 _CHAIN = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]++")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+")
+_ALNUM = re.compile(r"[A-Za-z0-9]")
 _KEY = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
 _LOGIN = re.compile(r"[A-Za-z0-9._%+-]+:[^\s@/:]+@(?=[A-Za-z0-9])")
 _VALUE = re.compile(r"\s?[=:]\s?[\"']?([A-Za-z0-9_/+.~-]{8,}+)[\"']?")
@@ -56,7 +70,11 @@ def _anchors() -> ahocorasick.Automaton:
     for cue in ("AKIA", "ASIA"):
         words.setdefault(cue, []).append("key")
     for cue in ("IBAN", "iban", "Iban"):
-        words.setdefault(cue, []).append("iban")
+        words.setdefault(cue, []).append("cue")
+    for a1 in ascii_uppercase:
+        for a2 in ascii_uppercase:
+            for d in "0123456789":
+                words.setdefault(a1 + a2 + d, []).append("iban")
     for w, kinds in words.items():
         a.add_word(w, (len(w), kinds[0]))
     a.make_automaton()
@@ -82,12 +100,33 @@ def _iban(found: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+@lru_cache(maxsize=64)
+def _iban_of(length: int) -> re.Pattern:
+    return re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{{length - 4}}}")
+
+
+def _iban_end(text: str, at: int, cued: bool) -> int:
+    """End of the account number that begins at a country code, 0 if there is none."""
+    if not cued and at and _ALNUM.match(text, at - 1):
+        return 0
+    if length := IBAN_LENGTHS.get(text[at : at + 2]):
+        m = _iban_of(length).match(text, at)
+        return m.end() if m and _iban(m[0]) and (cued or not _ALNUM.match(text, m.end())) else 0
+    m = _IBAN.match(text, at) if cued else None
+    if m:  # of unknown length: the longest that holds and ends with its run or a group of it
+        for end in range(m.end(), at + 14, -1):
+            if (end == m.end() or text[end] == " ") and _iban(text[at:end]):
+                return end
+    return 0
+
+
 def find_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
     """Spans (start, end) in code points of each kind, ascending; null and empty texts have none."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     if not text:
         return out
     done = dict.fromkeys(KINDS, 0)  # up to where each kind has looked
+    cued = False  # whether a cue of account numbers came before
     for last, (size, kind) in _anchors().iter(text):
         at = last - size + 1
         if kind == "email":
@@ -137,11 +176,11 @@ def find_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
             if m and at >= done["secret"] and (at == 0 or not text[at - 1].isalnum()):
                 out["secret"].append(m.span())
                 done["secret"] = m.end()
-        elif at >= done["iban"]:
-            m = _IBAN.search(text, last + 1, last + 60)
-            if m and _iban(m[0]):
-                out["iban"].append(m.span())
-                done["iban"] = m.end()
+        elif kind == "cue":
+            cued, done["iban"] = True, max(done["iban"], last + 1)
+        elif at >= done["iban"] and (end := _iban_end(text, at, cued)):
+            out["iban"].append((at, end))
+            done["iban"] = end
     return out
 
 

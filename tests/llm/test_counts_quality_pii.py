@@ -127,6 +127,30 @@ def test_added_spans_and_masking():
     assert I.mask(None) is None and I.mask("clean") == "clean"
 
 
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("IBAN (for transfers from abroad, please): DE89 3704 0044 0532 0130 00", ["DE89 3704 0044 0532 0130 00"]),
+        ("The IBAN " + "of the account that is named above " * 50 + "is GB82 WEST 1234 5698 7654 32.", ["GB82 WEST 1234 5698 7654 32"]),
+        ("IBAN: DE89370400440532013000, GB82WEST12345698765432", ["DE89370400440532013000", "GB82WEST12345698765432"]),
+        ("please pay to DE89370400440532013000 soon, or NO93 8601 1117 947", ["DE89370400440532013000", "NO93 8601 1117 947"]),
+        ("IBAN DE89370400440532013000 BIC COBADEFFXXX", ["DE89370400440532013000"]),
+        ("IBANDE89370400440532013000", ["DE89370400440532013000"]),
+        ("iban AB28 3704 0044 0532 0130 00 BIC COBADEFFXXX", ["AB28 3704 0044 0532 0130 00"]),
+        ("DE88370400440532013000 and XDE89370400440532013000 and DE893704004405320130001", []),
+        ("AB28 3704 0044 0532 0130 00", []),
+    ],
+)
+def test_account_numbers(text, found):
+    assert [text[s:e] for s, e in I.find_spans(text)["iban"]] == found
+    assert not any(x in (I.mask(text) or "") for x in found)
+
+
+def test_account_numbers_of_long_texts():
+    for text in ("IBAN" + "DE89" * 100_000, "IBAN AB12 " * 50_000, "DE89 " * 100_000, "IBAN" * 100_000):
+        I.find_spans(text)
+
+
 def test_long_texts_are_quick():
     for text in ("a" * 300_000 + "@", "@" * 100_000, "1" * 200_000, "1." * 100_000, "+1" * 50_000, "a@a" * 50_000, "password" * 20_000):
         I.find_spans(text)
