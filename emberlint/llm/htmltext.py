@@ -4,8 +4,8 @@
    steps (tag and sorted classes without digits); its score is the text inside that isn't noise minus the noise
    inside, noise being menus, forms, adverts and the like, by tag, role or class.
 2. Each page votes for the path of its best container; Spark counts votes by host and path.
-3. Pages are extracted again along their host's leading paths; a page that has none of them falls back
-   to its own best container.
+3. Pages are extracted again along the path they hold that has most votes of their host; a page that holds
+   none of at least two votes, or has no host, falls back to its own best container.
 """
 
 from __future__ import annotations
@@ -16,15 +16,13 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlint.llm.common import bounded_batches, materialise, table
 
-#: Paths a host keeps, by votes; a page with other templates falls back to its own best path.
-PATHS_PER_HOST = 8
-#: Up to so many hosts (64 bytes each) their paths are broadcast; beyond, joined.
-BROADCAST_HOSTS = 200_000
+#: Up to so many voted paths of all hosts (16 bytes each) are broadcast; beyond, joined.
+BROADCAST_PATHS = 500_000
 
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
@@ -210,47 +208,99 @@ def host(url: str):
 
 
 def page_votes(pages: DataFrame) -> DataFrame:
-    """(host, path, votes) from pages (url, html); pages without text don't vote."""
+    """(host, path, votes) from pages (url, html); pages without text or host don't vote.
+
+    A path with a single vote is left out: that is its voter's own best container, to which the voter falls back.
+    """
 
     def run(batches):
         for b in batches:
             paths = [Page(t).best() for t in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(paths, pa.int64())], names=["host", "path"])
 
-    votes = pages.select(host("url").alias("host"), "html").mapInArrow(run, "host string, path long")
-    return votes.where("path != 0").groupBy("host", "path").agg(F.count("*").alias("votes"))
+    votes = pages.select(host("url").alias("host"), "html").where("host != ''").mapInArrow(run, "host string, path long")
+    return votes.where("path != 0").groupBy("host", "path").agg(F.count("*").alias("votes")).where("votes > 1")
+
+
+def _key(site: str, path: int) -> int:
+    return xxhash.xxh3_64_intdigest(site, path)
+
 
+class Ballot:
+    """Votes by host and path, as two arrays ordered by a hash of both."""
+
+    def __init__(self, keys: np.ndarray, votes: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.votes = keys[order], votes[order]
+
+    def ranked(self, site: str, paths: set[int]) -> list[int]:
+        """Those of ``paths`` that have votes of the host, most voted first."""
+        if not site or not len(self.keys):
+            return []
+        held = sorted(paths)
+        keys = np.fromiter((_key(site, p) for p in held), np.uint64, len(held))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        votes = np.where(self.keys[at] == keys, self.votes[at], 0)
+        return [held[k] for k in np.argsort(-votes, kind="stable") if votes[k]]
+
+
+def ballot(votes: DataFrame) -> Ballot:
+    def run(batches):
+        for b in batches:
+            keys = [_key(h, p) for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), b.column("votes")], names=["key", "votes"])
+
+    found = votes.mapInArrow(run, "key long, votes long").toArrow()
+    return Ballot(found.column("key").to_numpy().view(np.uint64), found.column("votes").to_numpy())
+
+
+def page_paths(pages: DataFrame, votes: DataFrame) -> DataFrame:
+    """(host, page, paths array<long>): voted paths that a page (host, page, html) holds, most voted first.
+
+    ``page`` is a digest of the html, so equal pages of a host are one.
+    """
+
+    def run(batches):
+        for b in batches:
+            held = [sorted(set(Page(t).hash)) for t in b.column("html").to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(held)), [len(x) for x in held]))
+            flat = pa.array([p for x in held for p in x], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("host").take(at), b.column("page").take(at), flat], names=["host", "page", "path"])
 
-def host_paths(votes: DataFrame, most: int = PATHS_PER_HOST) -> DataFrame:
-    """(host, paths array<long>), leading path first."""
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))
-    top = votes.withColumn("rank", rank).where(F.col("rank") <= most)
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "path")))
-    return top.groupBy("host").agg(F.transform(ordered, lambda x: x["path"]).alias("paths"))
+    held = pages.where("host != ''").select("host", "page", "html").mapInArrow(run, "host string, page string, path long")
+    ordered = F.array_sort(F.collect_set(F.struct((-F.col("votes")).alias("rank"), "path")))
+    return held.join(votes, ["host", "path"]).groupBy("host", "page").agg(F.transform(ordered, lambda x: x["path"]).alias("paths"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages`` (page_id, url, html).
 
-    Null or empty html, and pages without text, give an empty text. Pages without a host share the empty host.
+    Null or empty html, and pages without text, give an empty text. Pages without a host stand for themselves.
     """
-    bounded_batches(pages.sparkSession)
+    spark = pages.sparkSession
+    bounded_batches(spark)
     pages = pages.select(F.col("page_id").cast("long"), "url", "html")
-    paths = materialise(host_paths(page_votes(pages)), "host-paths")
-    if paths.count() <= BROADCAST_HOSTS:
-        paths = F.broadcast(paths)
+    votes = materialise(page_votes(pages), "host-votes")
+    keyed = pages.withColumn("host", host("url"))
+    shared = None
+    if votes.count() <= BROADCAST_PATHS:
+        shared = spark.sparkContext.broadcast(ballot(votes))
+    else:
+        keyed = keyed.withColumn("page", F.md5("html"))
+        keyed = keyed.join(materialise(page_paths(keyed, votes), "page-paths"), ["host", "page"], "left").select("page_id", "url", "html", "host", "paths")
 
     def run(batches):
         for b in batches:
             said = []
-            for source, winners in zip(b.column("html").to_pylist(), b.column("paths").to_pylist(), strict=True):
+            lists = b.column("host" if shared else "paths").to_pylist()
+            for source, given in zip(b.column("html").to_pylist(), lists, strict=True):
                 page = Page(source)
-                found = next((t for p in winners or () if (t := page.text(p))), None)
+                winners = shared.value.ranked(given, set(page.hash)) if shared else given or ()
+                found = next((t for p in winners if (t := page.text(p))), None)
                 said.append(found or page.text(page.best()) or "")
             n = pa.array(np.array([len(s) for s in said], np.int64))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(said, pa.string()), n], names=["page_id", "url", "text", "n_chars"])
 
-    keyed = pages.withColumn("host", host("url")).join(paths, "host", "left").select("page_id", "url", "html", "paths")
     return keyed.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 

@@ -1,6 +1,7 @@
 """Toxicity, decontamination, pages, near-duplicates, substrings and the pipeline against plain Python."""
 
 import hashlib
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -146,6 +147,30 @@ def test_consensus(spark):
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def _site(template, url):
+    """Three pages of one template, and one more whose own best container is a long block beside it."""
+    body = "".join(f"<p>{'long text of the page ' * 4}{k}</p>" for k in range(3))
+    rest = '<div class="rel"><p>This is a much longer piece of text that no other page has at all</p></div></div></body>'
+    pages = [(url, f'<body><div class="w {template}"><div class="content"><p>{k}</p>{body}</div><div class="rel">short</div></div></body>') for k in range(3)]
+    return [*pages, (url, f'<body><div class="w {template}"><div class="content"><p>tiny {template}</p></div>{rest}')]
+
+
+@pytest.mark.parametrize("most", [0, H.BROADCAST_PATHS])
+def test_consensus_of_every_template(spark, monkeypatch, most):
+    monkeypatch.setattr(H, "BROADCAST_PATHS", most)
+    names = ["".join(x) for x in itertools.product("abc", repeat=3)]
+    pages = [(4 * k + j, *p) for k, t in enumerate(names) for j, p in enumerate(_site(t, "http://a.com/x"))]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert [got[4 * k + 3] for k in range(len(names))] == [f"tiny {t}" for t in names]
+    assert len(got) == len(pages)
+
+
+def test_pages_without_host_are_not_pooled(spark):
+    pages = [(k, *p) for k, p in enumerate([*_site("x", None), *_site("x", "/relative")])]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[3] == got[7] and got[3].startswith("tiny x\nThis is a much longer")
+
+
 # --- near-duplicates
 
 
