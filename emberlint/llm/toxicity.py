@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon.
 
-Texts are folded (case, look-alike letters, digits that stand for letters, invisible characters), then one
-Aho-Corasick pass finds lexicon terms at word starts. Occurrences inside exception phrases don't count. The
+Texts are folded (case, look-alike letters, digits that stand for letters, invisible characters), then an
+Aho-Corasick pass finds lexicon terms at word starts, and another where words end in stand-ins. Occurrences inside exception phrases don't count. The
 weights found, normalised by the text's length, go through a logistic curve.
 
 Everything is learned from labelled rows: terms are word beginnings of 3 to 10 letters and whole words,
@@ -57,6 +57,23 @@ def fold(text: str | None) -> str:
     return _STANDINS.sub(_standin, (text or "").lower().translate(_TABLE))
 
 
+def readings(folded: str) -> list[str]:
+    """A folded text, and, where stand-ins after a letter end words, the text with those undone, too.
+
+    Marks at a word's end may be letters or punctuation, so they are read as both. Places are the same in all readings.
+    """
+    runs = [m for m in _STANDINS.finditer(folded) if m.start() and folded[m.start() - 1].isalpha()]
+    out = [folded]
+    for marks in ("!|", ""):
+        said, at = [], 0
+        for m in runs:
+            said += [folded[at : m.start()], (core := m[0].rstrip(marks) if marks else m[0]).translate(SUBSTITUTES), m[0][len(core) :]]
+            at = m.end()
+        if runs and (text := "".join([*said, folded[at:]])) not in out:
+            out.append(text)
+    return out
+
+
 def terms_of(folded: str) -> set[str]:
     """Lexicon candidates: word beginnings ("abcd*") and whole words ("abcd")."""
     out = set()
@@ -111,7 +128,14 @@ class Model:
 
     def features(self, folded: str) -> tuple[float, float, float]:
         """log(1 + weight), weight by the root of the number of words, largest weight."""
-        found = [t for at, t in self.hits(folded) if not (self.exceptions and any((t, *c) in self.exceptions for c in contexts(folded, at)))]
+        texts = readings(folded)
+        best = dict(self.hits(folded))
+        for text in texts[1:]:
+            for at, t in self.hits(text):
+                if at not in best or self.weights[t] > self.weights[best[at]]:
+                    best[at] = t
+        excused = lambda at, t: self.exceptions and any((t, *c) in self.exceptions for x in texts for c in contexts(x, at))
+        found = [t for at, t in sorted(best.items()) if not excused(at, t)]
         if not found:
             return 0.0, 0.0, 0.0
         w = [self.weights[t] for t in found]

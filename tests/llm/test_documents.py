@@ -63,6 +63,13 @@ def test_exceptions_do_not_count():
     assert model.score("an idiot savant") < 0.5 < model.score("an idiot")
 
 
+@pytest.mark.parametrize("said", ["a55", "a$$", "hat3", "you hat3!", "a$$!!", "naz! scum", "naz1", "hate!", "h4t3, 10"])
+def test_stand_ins_at_word_ends(said):
+    model = X.Model({"ass": 3.0, "hate": 3.0, "nazi": 3.0}, frozenset({("hate", "speech", False)}), -3.0, (2.0, 0.0, 1.0))
+    assert model.score(said) > 0.5
+    assert all(model.score(x) < 0.5 for x in ("455", "4 55", "in 2024!", "hat 3", "a 55", "hate speech!", "hat3 speech!", "hat3 sp33ch"))
+
+
 def test_toxicity_awkward(spark, awkward, empty):
     _, labels = _labelled(spark, 10)
     for rows in (labels.limit(0), labels.where("toxic = 0"), spark.createDataFrame([(None, 1), (1, None)], labels.schema)):
