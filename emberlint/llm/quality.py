@@ -21,7 +21,8 @@ def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns of ``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (long); null texts count as empty.
 
     Windows of three words that occur twice are found by one sort in each row: a window's hash and its place share
-    a long, the place in as many low bits as the text needs, so equal windows stand together after sorting.
+    a long, the place in as many low bits as the text needs, so equal windows stand together after sorting. Windows
+    whose shortened hashes meet are then sorted by their words, so only equal words count.
     """
     said = F.coalesce(F.col(text).cast("string"), F.lit(""))
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
@@ -34,9 +35,13 @@ def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
         "_keys", F.sort_array(F.when(windows > 1, F.transform(F.sequence(F.lit(0), windows - 1), key)).otherwise(F.array().cast("array<bigint>")))
     )
     same = lambda x, k: _bits(x, F.col("_bits"), False) == _bits(F.get("_keys", k), F.col("_bits"), False)
-    again = F.filter("_keys", lambda x, k: same(x, k - 1) | same(x, k + 1))
+    met = F.filter("_keys", lambda x, k: same(x, k - 1) | same(x, k + 1))
     mask = _bits(F.lit(1).cast("long"), F.col("_bits"), True) - 1
-    rows = rows.withColumn("_again", F.sort_array(F.transform(again, lambda x: x.bitwiseAND(mask))))
+    at = lambda k: F.struct(word(k).alias("a"), word(k + 1).alias("b"), word(k + 2).alias("c"), k.cast("long").alias("k"))
+    rows = rows.withColumn("_met", F.sort_array(F.transform(met, lambda x: at(x.bitwiseAND(mask).cast("int")))))
+    equal = lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+    again = F.filter("_met", lambda x, k: equal(x, F.get("_met", k - 1)) | equal(x, F.get("_met", k + 1)))
+    rows = rows.withColumn("_again", F.sort_array(F.transform(again, lambda x: x["k"])))
     zero = F.lit(0).cast("long")
     covered = F.aggregate(
         "_again",
@@ -52,7 +57,7 @@ def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": covered,
         }
-    ).drop("_text", "_words", "_lines", "_bits", "_keys", "_again")
+    ).drop("_text", "_words", "_lines", "_bits", "_keys", "_met", "_again")
 
 
 #: Ratios that thresholds are kept for, with the least spread that counts as one (a ratio that is 0 nearly everywhere has none).

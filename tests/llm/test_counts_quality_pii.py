@@ -63,6 +63,13 @@ def test_metrics(spark, awkward, frame):
             assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain_metrics(r.text)
 
 
+def test_equal_hashes_are_no_repeats(spark, frame, monkeypatch):
+    bits = Q._bits
+    monkeypatch.setattr(Q, "_bits", lambda x, n, left: bits(x.bitwiseAND(3) if left else x, n, left))  # four hashes in all
+    for r in Q.with_metrics(frame).collect():
+        assert r.n_repeat_words == plain_metrics(r.text)[-1]
+
+
 def test_judgement(spark, awkward, empty):
     rng = random.Random(5)
     good = [(k, " ".join("".join(rng.choices("abcde", k=rng.randint(3, 7))) for _ in range(rng.randint(60, 200))), "en", "s") for k in range(120)]
