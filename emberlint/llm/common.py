@@ -143,11 +143,11 @@ class Bloom:
         return out
 
 
-def bloom_of(keys: DataFrame, most_bytes: int = 8 << 20) -> Bloom:
-    """A filter over the single long column of ``keys`` (at most ``most_bytes`` bytes, a power of two)."""
+def bloom_of(keys: DataFrame, most_bytes: int = 64 << 20) -> Bloom:
+    """A filter over the single long column of ``keys``: a byte or two for each, at most ``most_bytes`` (a power of two)."""
     n = keys.count()
     size = 1 << 10
-    while size < min(most_bytes, 2 * n):
+    while size < min(most_bytes, n):
         size *= 2
     mask = np.uint64(size * 8 - 1)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +10,8 @@ from emberlint.llm.common import materialise
 
 #: Places that the links of one node are dealt to.
 SALTS = 16
+#: Links that one task joins on its own (some 50 MB as a forest); more are thinned by rounds first.
+AT_ONCE = 1 << 17
 
 
 class Forest:
@@ -47,18 +50,29 @@ def _kept(edges: DataFrame, label: str) -> tuple[DataFrame, tuple]:
     return materialise(edges, label), (seen.get["n"], seen.get["sum"])
 
 
+def _joined(batches):
+    """Stars of the links (a, b), all of which this task sees."""
+    forest = Forest()
+    for b in batches:
+        for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+            forest.join(x, y)
+    nodes, roots = forest.stars()
+    for k in range(0, len(nodes), 10_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 10_000], b.schema.field(c).type) for x, c in ((nodes, "a"), (roots, "b"))], names=["a", "b"])
+
+
 def components(edges: DataFrame, label: str) -> DataFrame:
     """(node, root) of every node with a link, root being its component's least node.
 
     ``edges`` has two columns a and b of one orderable type; links may repeat, point either way or be loops;
     rows with nulls are left out. In each round a node keeps its least neighbour below it and hands the others
     to that one, then all hang on their neighbour's neighbour; rounds follow the logarithm of the longest path.
-    Nothing but a count and a sum reaches the driver. A node has few links to lesser nodes, as tasks send
+    At most ``AT_ONCE`` links are left to one task instead, with the same result. Nothing but a count and a sum reaches the driver. A node has few links to lesser nodes, as tasks send
     stars; the links of a node that many hang on are dealt to several places.
     """
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null")
     now, before = _kept(now, label)
-    while before[0]:
+    while before[0] > AT_ONCE:
         least = now.withColumn("m", F.min("b").over(Window.partitionBy("a")))
         pairs = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
         hung, _ = _kept(least.select(F.explode(pairs).alias("e")).select("e.a", "e.b"), label)
@@ -70,5 +84,7 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         if after == before:
             break
         before = after
+    if 0 < before[0] <= AT_ONCE:
+        now = materialise(now.coalesce(1).mapInArrow(_joined, now.schema), label)
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

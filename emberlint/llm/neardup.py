@@ -37,7 +37,7 @@ BASE, RATE, TOP = 1.001, 20.0, 65534
 #: Nodes that look up one pivot in one place.
 STAR = 512
 #: Members of a block of a band value or of a cluster, and shingles of a block of a cluster.
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Rows that a task remembers to leave out repeated ones.
 SEEN = 100_000
 #: A pair is dropped unverified if the threshold is this much less likely (natural logarithm) than the best estimate: 5 deviations.
