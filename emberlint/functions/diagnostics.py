@@ -66,6 +66,7 @@ def identifier_after_token(x: Column) -> Column:
     return _part(x, """(?iu)перед\\s+идентификатором\\s*['"“”]([^'"“”]+)['"“”]""")
 
 
+# Wording of the diagnostics.
 _CONVERSION = """(?iu)C2440:.*?невозможно\\s+преобразовать\\s*["']([^"']+)["']\\s*(?:в|to)\\s*["']([^"']+)["']"""
 _OPERAND = """(?iu)^\\s*%s:\\s*(?:бинарн[\\wа-яё]*|унарн[\\wа-яё]*)?\\s*["']([^"']+)["']\\s*:\\s*.*?операнд[\\wа-яё]*\\s+типа\\s*["']([^"']+)["']"""
 

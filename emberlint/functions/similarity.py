@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Names that a worker remembers for each list of words.
+MOST_NAMES = 100_000
 _SCORED = T.StructType([T.StructField("name", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
@@ -23,6 +27,12 @@ def _best(name: str | None, others, bonus: bool) -> tuple[str | None, float]:
     return best, most
 
 
+@lru_cache(maxsize=64)
+def _remembered(words: tuple[str, ...]) -> dict:
+    """Names to (word, score), kept by a worker from batch to batch."""
+    return {}
+
+
 @F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     from difflib import SequenceMatcher
@@ -43,10 +53,15 @@ def _matching(a: pd.Series, b: pd.Series) -> pd.DataFrame:
 
 
 def closest(name: Column, words: tuple[str, ...]) -> Column:
-    """(name, score) of the most similar word; of equal ones the first in order. Each distinct name of a batch is compared once."""
+    """(name, score) of the most similar word; of equal ones the first in order. A worker compares each distinct name once, as far as it remembers."""
 
     def find(a: pd.Series) -> pd.DataFrame:
-        seen = {x: _best(x, words, False) for x in a.dropna().unique()}
+        seen = _remembered(words)
+        if len(seen) > MOST_NAMES:
+            seen.clear()
+        for x in a.dropna().unique():
+            if x not in seen:
+                seen[x] = _best(x, words, False)
         return pd.DataFrame([seen.get(x, (None, 0.0)) for x in a], columns=["name", "score"])
 
     find.__annotations__ = {"a": pd.Series, "return": pd.DataFrame}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from emberlint.functions import values as V
 
 C = F.col
+# Literals, includes, names and the headers that the catch-all one stands for.
 #: A string or character literal, a line comment, a block comment (to the end if it is never closed).
 COMMENTS = r"""(?s)("(?:\\.|[^"\\])*(?:"|$)|'(?:\\.|[^'\\])*(?:'|$))|//[^\n]*|/\*.*?(?:\*/|$)"""
 RAW_LITERAL = r'(?s)(?:u8|u|U|L)?R"(?<d>[^()\s\\]{0,16})\(.*?\)\k<d>"'

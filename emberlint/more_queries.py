@@ -415,9 +415,9 @@ def e12_extracted_contexts(spark, sf):
     return B.with_contexts(rows, extract).select("row_id", F.col("ctx.line").alias("line"))
 
 
-@query("WITH RECURSIVE t AS (SELECT DISTINCT event_id // 2 AS parent, event_id AS id FROM events WHERE event_id BETWEEN 1 AND 500), c(id, up, n) AS (SELECT id, parent, 0 FROM t UNION ALL SELECT c.id, t.parent, n + 1 FROM c JOIN t ON t.id = c.up WHERE n < 6) SELECT id, CAST(max(n) AS INTEGER) AS depth FROM c GROUP BY id")
+@query("WITH RECURSIVE t AS (SELECT DISTINCT event_id // 2 AS parent, event_id AS id FROM events), c(id, up, n) AS (SELECT id, parent, 0 FROM t UNION ALL SELECT c.id, t.parent, n + 1 FROM c JOIN t ON t.id = c.up WHERE n < 6) SELECT id, CAST(max(n) AS INTEGER) AS depth FROM c GROUP BY id")
 def e7_parent_chain(spark, sf):
-    tree = events(spark, sf).where("event_id between 1 and 500").select(F.lit("f").alias("file"), F.col("event_id").alias("id"), F.floor(F.col("event_id") / 2).cast("long").alias("parent"), F.lit("K").alias("kind"))
+    tree = events(spark, sf).select(F.lit("f").alias("file"), F.col("event_id").alias("id"), F.floor(F.col("event_id") / 2).cast("long").alias("parent"), F.lit("K").alias("kind"))
     return B.parent_chain(tree).select("id", F.size("chain").alias("depth"))
 
 

@@ -48,21 +48,44 @@ def one_vs_rest(df: DataFrame, row: str, truth: str, scores: str) -> DataFrame:
     return df.select(row, truth, F.explode(scores).alias("label", "score")).select(row, "label", "score", (F.col("label") == F.col(truth).cast("string")).alias("positive"))
 
 
+#: Ranges that distinct scores are dealt to for running sums.
+RANGES = 256
+
+
+def _running(at: DataFrame, keys: list[str], score: str, columns: list[str]) -> DataFrame:
+    """Adds, for each of ``columns``, its sum over rows of lesser scores (``_below_x``) and over all (``_all_x``), by ``keys``.
+
+    Scores are dealt to ranges between quantiles of theirs, of which the driver gets a bounded number; sums run within a range
+    and start from the sums of the ranges below, so no task orders all scores. ``at`` has one row for each score.
+    """
+    bounds = sorted(set(at.where(F.col(score).isNotNull()).approxQuantile(score, [k / RANGES for k in range(1, RANGES)], 0.25 / RANGES)))
+    ranged = at.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda x: x < F.col(score))) if bounds else F.lit(0))
+    sums = ranged.groupBy(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_range").alias("_of")).agg(*(F.sum(c).alias(f"_s_{c}") for c in columns))
+    whole = Window.partitionBy(*(f"_{k}" for k in keys)) if keys else Window.partitionBy(F.lit(1))  # at most RANGES rows for each key
+    upto = whole.orderBy("_of").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = sums.select(*(f"_{k}" for k in keys), "_of", *(x for c in columns for x in ((F.sum(f"_s_{c}").over(upto) - F.col(f"_s_{c}")).alias(f"_before_{c}"), F.sum(f"_s_{c}").over(whole).alias(f"_all_{c}"))))
+    within = Window.partitionBy(*keys, "_range").orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranged = ranged.withColumns({f"_in_{c}": F.sum(c).over(within) - F.col(c) for c in columns})
+    same = F.col("_range") == F.col("_of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    out = ranged.join(sums, same)
+    return out.withColumns({f"_below_{c}": F.col(f"_in_{c}") + F.col(f"_before_{c}") for c in columns})
+
+
 def roc_curve(df: DataFrame, score: str = "score", positive: str = "positive") -> DataFrame:
-    """(threshold, fpr, tpr) at each distinct score, highest first: sums run over one row a distinct score."""
+    """(threshold, fpr, tpr) at each distinct score, from sums over one row a distinct score."""
     at = df.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("n"))
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy(F.lit(1))
-    return at.select("threshold", _share(F.sum("n").over(down), F.sum("n").over(all_)).alias("fpr"), _share(F.sum("p").over(down), F.sum("p").over(all_)).alias("tpr"))
+    above = lambda c: _share(F.col(f"_all_{c}") - F.col(f"_below_{c}"), F.col(f"_all_{c}"))
+    return _running(at, [], "threshold", ["p", "n"]).select("threshold", above("n").alias("fpr"), above("p").alias("tpr"))
 
 
 def roc_auc(df: DataFrame, by: str | None = None, score: str = "score", positive: str = "positive") -> DataFrame:
     """(by, auc, support): area under the curve by rank sums over distinct scores, equal scores counting half."""
     keys = [by] if by else []
     at = df.groupBy(*keys, score).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("n"))
-    below = Window.partitionBy(*(keys or [F.lit(1)])).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    won = F.col("p") * (F.coalesce(F.sum("n").over(below), F.lit(0)) + F.col("n") / 2)
-    return at.withColumn("won", won).groupBy(*keys).agg(_share(F.sum("won"), F.sum("p") * F.sum("n")).alias("auc"), F.sum("p").alias("support"))
+    summed = _running(at, keys, score, ["n"]).withColumn("won", F.col("p") * (F.col("_below_n") + F.col("n") / 2))
+    return summed.groupBy(*keys).agg(_share(F.sum("won"), F.sum("p") * F.sum("n")).alias("auc"), F.sum("p").alias("support"))
 
 
 def averaged_auc(by_class: DataFrame) -> DataFrame:

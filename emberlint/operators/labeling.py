@@ -34,12 +34,18 @@ def header_name(code: str) -> Column:
     return _chain(((F.col(CODE) == code) & known, "HEADER_OR_STD_NAMESPACE"))
 
 
-def variable_spelling() -> Column:
-    """A misspelt variable or type of a C2065."""
-    label, ident = "FIX_NAME_SPELLING", D.named_identifier(F.col(TEXT))
+def _identifier_of(code: str | None) -> Column:
+    """The named identifier; with ``code`` null for other codes, so that similarities are worked out for these rows alone."""
+    ident = D.named_identifier(F.col(TEXT))
+    return F.when(F.col(CODE) == code, ident) if code else ident
+
+
+def variable_spelling(only: str | None = None) -> Column:
+    """A misspelt variable or type of a C2065; with ``only`` null for other codes."""
+    label, ident = "FIX_NAME_SPELLING", _identifier_of(only)
     line = F.array_join(_window(1), "\n")
     kind, control = closest(ident, V.TYPE_WORDS), closest(ident, V.CONTROL_WORDS)
-    others = F.array_remove(X.identifier_candidates(F.col(SOURCE), F.col(LINE)), ident)
+    others = F.when(ident.isNotNull(), F.array_remove(X.identifier_candidates(F.col(SOURCE), F.col(LINE)), ident))
     control_typo = P.keyword_typo(ident, control["name"], control["score"])
     type_like = P.type_like(line, ident)
     return _chain(
@@ -54,12 +60,12 @@ def variable_spelling() -> Column:
     )
 
 
-def function_spelling(known: tuple[str, ...] | None = None) -> Column:
-    """A misspelt function of a C3861."""
-    label, ident, known = "FIX_NAME_SPELLING", D.named_identifier(F.col(TEXT)), known or V.std_functions()
+def function_spelling(known: tuple[str, ...] | None = None, only: str | None = None) -> Column:
+    """A misspelt function of a C3861; with ``only`` null for other codes."""
+    label, ident, known = "FIX_NAME_SPELLING", _identifier_of(only), known or V.std_functions()
     line = F.array_join(_window(1), "\n")
     loop, standard = closest(ident, V.LOOP_WORDS), closest(ident, known)
-    others = F.array_remove(X.call_candidates(F.col(SOURCE), F.col(LINE), known), ident)
+    others = F.when(ident.isNotNull(), F.array_remove(X.call_candidates(F.col(SOURCE), F.col(LINE), known), ident))
     loop_typo = P.keyword_typo(ident, loop["name"], loop["score"])
     return _chain(
         (ident.isNull(), None),
@@ -220,12 +226,9 @@ def combined(suggestions: list[Column], default: Column) -> Column:
 def apply_labels(df: DataFrame, known_functions: tuple[str, ...] | None = None) -> DataFrame:
     """``df`` with label_code: suggestions of the functions in use, else label_code as it is, else the code's default.
 
-    Python, for similarities, runs on rows of the two codes that need it.
+    One pass over ``df``; Python, for similarities, gets the names of the two codes that need it and nulls for others.
     """
     was = F.col("label_code") if "label_code" in df.columns else default_label(F.col(CODE))
-    named = F.coalesce(F.col(CODE).isin("C2065", "C3861"), F.lit(False))
-    rest = df.where(~named).withColumn("label_code", combined([wrong_construction(), operator_expression()], was))
-    parts = [rest]
-    for code, spelling in (("C2065", variable_spelling()), ("C3861", function_spelling(known_functions))):
-        parts.append(df.where(F.col(CODE) == code).withColumn("label_code", combined([spelling, header_name(code)], was)))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    spelt = F.coalesce(function_spelling(known_functions, "C3861"), variable_spelling("C2065"))
+    suggestions = [spelt, header_name("C2065"), header_name("C3861"), wrong_construction(), operator_expression()]
+    return df.withColumn("label_code", combined(suggestions, was))

@@ -78,18 +78,40 @@ def out_of_fold(df: DataFrame, name: str, params: dict, fold: str = "fold", k: i
 
 
 def as_vectors(entries: DataFrame, row: str, terms: DataFrame, size: int) -> DataFrame:
-    """(row, features) from long entries and (term, index)."""
-    from pyspark.ml.functions import array_to_vector  # noqa: F401  (dense form, for small matrices)
-    from pyspark.ml.linalg import SparseVector, VectorUDT
+    """(row, features): sparse vectors from long entries (row, term, value) and (term, index), built from Arrow batches."""
+    import pyarrow as pa
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql import types as T
 
-    make = F.udf(lambda pairs: SparseVector(size, sorted((p["index"], p["value"]) for p in pairs)), VectorUDT())
-    return entries.join(terms, "term").groupBy(row).agg(make(F.collect_list(F.struct("index", "value"))).alias("features"))
+    pairs = F.array_sort(F.collect_list(F.struct("index", "value")))
+    grouped = entries.join(terms, "term").groupBy(row).agg(pairs.alias("_pairs"))
+    grouped = grouped.select(row, F.transform("_pairs", lambda p: p["index"].cast("int")).alias("_at"), F.transform("_pairs", lambda p: p["value"].cast("double")).alias("_values"))
+    schema = T.StructType([grouped.schema[row], T.StructField("features", VectorUDT())])
 
+    def run(batches):
+        for b in batches:
+            n = b.num_rows
+            parts = [pa.array([0] * n, pa.int8()), pa.array([size] * n, pa.int32()), b.column("_at"), b.column("_values")]
+            yield pa.RecordBatch.from_arrays([b.column(row), pa.StructArray.from_arrays(parts, ["type", "size", "indices", "values"])], names=[row, "features"])
 
-def term_index(entries: DataFrame) -> DataFrame:
-    """(term, index) in order of terms."""
-    terms = entries.select("term").distinct()
-    return terms.withColumn("index", F.row_number().over(Window.orderBy("term")) - 1)
+    return grouped.mapInArrow(run, schema)
+
+
+def term_index(entries: DataFrame, path: str) -> DataFrame:
+    """(term, index) in order of terms, from 0.
+
+    Terms are written to ``path`` (a new folder that the cluster shares) by ranges, then each range starts where the terms before it
+    end; of the ranges only their numbers of terms are ordered.
+    """
+    spark = entries.sparkSession
+    ordered = entries.select("term").where("term is not null").distinct().repartitionByRange("term").sortWithinPartitions("term")
+    ordered.select("term", F.spark_partition_id().alias("_part")).write.parquet(path)
+    terms = spark.read.schema("term string, _part int").parquet(path)
+    counts = terms.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")  # one row a range
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("term")) - 1
+    starts = F.broadcast(counts.select("_part", before.alias("_before")))  # one row a range
+    return terms.withColumn("_place", place).join(starts, "_part").select("term", (F.col("_place") + F.col("_before")).cast("int").alias("index"))
 
 
 def save_bundle(model, path: str, spark: SparkSession, **meta) -> None:

@@ -74,19 +74,30 @@ def batch_number(df: DataFrame, key: str, size: int) -> DataFrame:
     return df.withColumn("batch", F.floor(F.col(key) / size).cast("long"))
 
 
+def _ranked(df: DataFrame, by: str, key: str, seed: int) -> DataFrame:
+    """Adds _rank, from 1, in order of a hash of key and seed among rows of one ``by``, and _all, their number.
+
+    Hashes fall into 65 536 ranges by their first digits. Rows are ordered within a range, and ranges are counted before,
+    so the largest ``by`` is dealt to as many tasks as it needs. Nulls are a value of their own.
+    """
+    hashed = df.withColumn("_hash", F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))))).withColumn("_range", F.substring("_hash", 1, 4))
+    counts = hashed.groupBy(F.col(by).alias("_by"), F.col("_range").alias("_of")).agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy("_by")
+    before = F.sum("_n").over(whole.orderBy("_of").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+    counts = counts.select("_by", "_of", before.alias("_before"), F.sum("_n").over(whole).alias("_all"))
+    place = F.row_number().over(Window.partitionBy(by, "_range").orderBy("_hash", key))
+    joined = hashed.withColumn("_place", place).join(counts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_of")))
+    return joined.withColumn("_rank", F.col("_place") + F.col("_before")).drop("_hash", "_range", "_by", "_of", "_before", "_place")
+
+
 def stratified_split(df: DataFrame, label: str, key: str, test_share: float = 0.15, seed: int = 42) -> DataFrame:
     """Adds is_test: of each label that share of its rows (rounded), those first in order of a hash of key and seed."""
-    order = F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))))
-    by = Window.partitionBy(label)
-    rank = F.row_number().over(by.orderBy(order, key))
-    return df.withColumn("is_test", rank <= F.round(F.count("*").over(by) * test_share))
+    return _ranked(df, label, key, seed).withColumn("is_test", F.col("_rank") <= F.round(F.col("_all") * test_share)).drop("_rank", "_all")
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Adds fold, 0 to k - 1, so that each label is spread evenly."""
-    order = F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(order, key))
-    return df.withColumn("fold", ((rank - 1) % k).cast("int"))
+    return _ranked(df, label, key, seed).withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", "_all")
 
 
 def plain_folds(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:

@@ -112,11 +112,9 @@ def s3_json_lines_round_trip(spark, sf):
 
 
 def _scratch(spark: SparkSession) -> str:
-    import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="emberlint-")
-    return f"{base.rstrip('/')}/emberlint/{uuid.uuid4().hex}"
+    return f"{S.shared_folder(spark)}/emberlint/{uuid.uuid4().hex}"
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -591,16 +589,17 @@ def m7_standard_scaling(spark, sf):
 
 
 _KNN = """WITH v AS (SELECT vec_id, label, embedding, sqrt(list_sum([x::DOUBLE * x::DOUBLE for x in embedding])) AS norm FROM embeddings),
- p AS (SELECT q.vec_id AS query, r.vec_id, r.label, round(1 - list_sum([q.embedding[i]::DOUBLE * r.embedding[i]::DOUBLE for i in range(1, len(q.embedding) + 1)]) / (q.norm * r.norm), 9) AS distance FROM v q, v r WHERE q.vec_id % 100 = 0 AND r.vec_id % 100 <> 0),
+ p AS (SELECT q.vec_id AS query, r.vec_id, r.label, round(1 - list_sum([q.embedding[i]::DOUBLE * r.embedding[i]::DOUBLE for i in range(1, len(q.embedding) + 1)]) / (q.norm * r.norm), 9) AS distance FROM v q, v r WHERE q.vec_id % 100 = 0 AND r.vec_id <> q.vec_id),
  k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) AS place FROM p) WHERE place <= 15),
- s AS (SELECT query, label, round(sum(1 / distance), 9) AS votes FROM k GROUP BY ALL)
+ z AS (SELECT query, bool_or(distance <= 0) AS exact FROM k GROUP BY query),
+ s AS (SELECT k.query, label, round(sum(CASE WHEN exact THEN CASE WHEN distance <= 0 THEN 1 ELSE 0 END ELSE 1 / distance END), 9) AS votes FROM k JOIN z ON z.query = k.query GROUP BY ALL)
  SELECT query, label FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY votes DESC, label) AS place FROM s) WHERE place = 1"""
 
 
 @query(_KNN)
 def m10_nearest_neighbours(spark, sf):
     rows = S.read_parquet(spark, f"{sf}/embeddings.parquet")
-    near = M.nearest(rows.where("vec_id % 100 = 0"), rows.where("vec_id % 100 <> 0"), "vec_id", "embedding", 15)
+    near = M.nearest(rows.where("vec_id % 100 = 0"), rows, "vec_id", "embedding", 15)
     return M.voted(near, rows, "vec_id", "label")
 
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import pathlib
+import shutil
+import tempfile
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +18,28 @@ _TEXT, _INT, _LONG, _BOOL = T.StringType(), T.IntegerType(), T.LongType(), T.Boo
 _TEXTS, _COUNTS = T.ArrayType(_TEXT), T.MapType(_TEXT, _LONG)
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    path = tempfile.mkdtemp(prefix="emberlint-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset, a session on one machine gets a folder of its own, removed at exit; on a cluster that is refused, as
+    executors wouldn't see each other's files.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _own_folder()
+
+
+
 def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
