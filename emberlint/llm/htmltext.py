@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import html as _html
 import re
+from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -49,15 +51,82 @@ CLOSES_P = frozenset(
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table select body html div article section main td".split())
 
+#: Noise words of readers' comments, which may be longer than the article and hold articles of their own.
+COMMENT_WORDS = frozenset("comment comments disqus reply replies respond".split())
+
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[a-zA-Z][^>]*>", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|</([a-zA-Z][^\s/>]*+)[^>]*+>|<([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<[a-zA-Z][^>]*+>", re.S
 )
+_SIMPLE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|</([a-zA-Z][^\s/>]*+)[^>]*+>|<([a-zA-Z])", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
 _ATTRS = re.compile(r"([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[a-z]+")
 
 
+class Tags:
+    """Tags of a source from left to right, in time that grows with its length whatever its quotes.
+
+    ``next(at)`` gives (start, end, closing name, opening name, attributes) or None. A tag whose quotes never close ends at the
+    next > and has no name. After a first such tag the marks that end tags and quotes are looked up by position, and places
+    from which a quote never closes are remembered, so nothing is scanned again.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.last = source, source.rfind(">")
+        self.marks: list[int] | None = None
+
+    def next(self, at: int):
+        if at > self.last and self.source.find("<!--", at) < 0:
+            return None  # no tag can end any more
+        if self.marks is None:
+            m = _TOKEN.search(self.source, at)
+            if not m or m[0][0:2] in ("<!", "<?") or m[1] or m[2]:
+                return m and (m.start(), m.end(), m[1], m[2], m[3])
+            if m.start() > self.last:
+                return None
+            self.marks = [x.start() for x in re.finditer("[>\"']", self.source)]
+            self.quotes = {q: [k for k in self.marks if self.source[k] == q] for q in "\"'"}
+            self.hopeless: set[int] = set()
+        while m := _SIMPLE.search(self.source, at):
+            if not m[2]:
+                return m.start(), m.end(), m[1], None, None
+            if m.start() > self.last:
+                return None
+            name = _NAME.match(self.source, m.start() + 1) if m.end() <= self.last else None
+            end = self._end(m.end())
+            if end:
+                # The name ends at the first white space, slash or >, as everywhere.
+                upto = min(name.end(), end - 1)
+                return m.start(), end, None, self.source[m.start() + 1 : upto], self.source[upto : end - 1]
+            return m.start(), self.source.find(">", m.start()) + 1, None, None, None
+        return None
+
+    def _end(self, at: int) -> int:
+        """End of the tag that is open at ``at``, outside quotes; 0 if a quote never closes or no > follows."""
+        seen = []
+        while True:
+            k = bisect_left(self.marks, at)
+            if k == len(self.marks) or self.marks[k] in self.hopeless:
+                break
+            mark = self.marks[k]
+            if self.source[mark] == ">":
+                return mark + 1
+            seen.append(mark)
+            same = self.quotes[self.source[mark]]
+            j = bisect_left(same, mark + 1)
+            if j == len(same):
+                break
+            at = same[j] + 1
+        self.hopeless.update(seen)
+        return 0
+
+
 class Page:
-    """Containers (parent, path hash, step, noise) and blocks (container, text, noise) of one page, in page order."""
+    """Containers (parent, path hash, step, noise) and blocks (container, text, noise) of one page, in page order.
+
+    Tags, roles and hidden elements make noise for good. Words of classes only raise a suspicion, settled when all of the page is
+    known: what is suspected stays noise unless it holds something named as main text and more text than all that isn't noise.
+    """
 
     def __init__(self, source: str | None):
         self.parent, self.hash, self.step, self.noise = [-1], [0], [""], [False]
@@ -66,50 +135,68 @@ class Page:
             self._scan(source)
 
     def _scan(self, source: str) -> None:
-        stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container, noise
+        # tag, container, noise, suspect (0 for none)
+        stack: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]
+        above, comments, mains = [0], [False], [0]  # of each suspect: the one around it, whether it is of comments, what it holds of main text
         text: list[str] = []
-        blocks = self.blocks
+        found: list[tuple[int, str, bool, int, int]] = []
+        suspects = [0]  # of each container
+        opened: Counter[str] = Counter()
+        link, linked = False, 0
 
         def flush() -> None:
+            nonlocal linked
             if text:
                 if said := " ".join("".join(text).split()):
-                    blocks.append((stack[-1][1], said, stack[-1][2]))
+                    found.append((stack[-1][1], said, stack[-1][2], stack[-1][3], min(linked, len(said))))
                 text.clear()
+            linked = 0
+
+        def leave(k: int) -> None:
+            for x in stack[k:]:
+                opened[x[0]] -= 1
+            del stack[k:]
 
-        def close(names: tuple[str, ...] | str, scopes=frozenset()) -> None:
+        def close(names: tuple[str, ...], scopes=frozenset()) -> None:
+            if not any(opened[x] for x in names):
+                return
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == names or stack[k][0] in names and type(names) is tuple:
+                if stack[k][0] in names:
                     flush()
-                    del stack[k:]
+                    leave(k)
                     return
                 if stack[k][0] in scopes:
                     return
 
-        at, end = 0, len(source)
-        open_count: dict[str, int] = {}
+        def push(*x) -> None:
+            stack.append(x)
+            opened[x[0]] += 1
+
+        at, end, tags = 0, len(source), Tags(source)
         while at < end:
-            m = _TOKEN.search(source, at)
-            upto = m.start() if m else end
+            tag = tags.next(at)
+            upto = tag[0] if tag else end
             if upto > at:
                 part = source[at:upto]
                 text.append(_html.unescape(part) if "&" in part else part)
-            if not m:
+                linked += len(part) if link else 0
+            if not tag:
                 break
-            at = m.end()
-            if name := m[1]:
+            at = tag[1]
+            if name := tag[2]:
                 name = name.lower()
                 if name == "br":
                     text.append(" ")
                 elif name in INLINE:
-                    if open_count.get(name, 0) > 0 and stack[-1][0] == name:
-                        stack.pop()
-                        open_count[name] -= 1
-                elif any(s[0] == name for s in reversed(stack)):
-                    close(name)
+                    link = link and name != "a"
+                    if opened[name] > 0 and stack[-1][0] == name:
+                        leave(len(stack) - 1)
+                elif opened[name] > 0:
+                    close((name,))
                 else:
                     flush()
-            elif name := m[2]:
-                name, attrs = name.lower(), m[3]
+            elif name := tag[3]:
+                name, attrs = name.lower(), tag[4]
                 if name == "br":
                     text.append(" ")
                     continue
@@ -122,33 +209,66 @@ class Page:
                         at = gt + 1
                     continue
                 if name in INLINE:
-                    if attrs and name not in VOID and self._bad(name, attrs, False):
-                        stack.append((name, stack[-1][1], True))
-                        open_count[name] = open_count.get(name, 0) + 1
-                    elif name not in VOID and open_count.get(name, 0) > 0:
-                        stack.append((name, *stack[-1][1:]))
-                        open_count[name] += 1
+                    link = link or name == "a"
+                    if attrs and name not in VOID and self._hidden(attrs):
+                        push(name, stack[-1][1], True, stack[-1][3])
+                    elif name not in VOID and opened[name] > 0:
+                        push(name, *stack[-1][1:])
                     continue
                 flush()
+                link = False
                 if name in CLOSES_P:
-                    close("p", SCOPES)
+                    close(("p",), SCOPES)
                 if name in ENDS:
                     close(ENDS[name], SCOPES)
                 if name in VOID:
                     continue
-                _, inside, noise = stack[-1]
-                noise = noise or name in NOISE_TAGS or (name == "header" and not any(s[0] == "article" for s in stack)) or bool(attrs) and self._bad(name, attrs, True)
+                _, inside, noise, suspect = stack[-1]
+                noise = noise or name in NOISE_TAGS or (name == "header" and not opened["article"] and not opened["main"]) or bool(attrs) and self._hidden(attrs)
+                words = self._words(name, attrs) if attrs else frozenset()
+                bad = not NOISE_WORDS.isdisjoint(words) and name not in ("html", "body", "article", "main")
+                if bad and not noise:
+                    above.append(suspect)
+                    comments.append(not COMMENT_WORDS.isdisjoint(words))
+                    mains.append(0)
+                    suspect = len(above) - 1
+                elif not noise and (name in ("article", "main", "h1") or (name in CONTAINERS and name != "body" and not CONTENT_WORDS.isdisjoint(words))):
+                    mains[suspect] += 1
                 if name in CONTAINERS:
                     step = self._step(name, attrs)
                     self.parent.append(inside)
                     self.hash.append(xxhash.xxh3_64_intdigest(step, self.hash[inside]) >> 1)
                     self.step.append(step)
                     self.noise.append(noise)
+                    suspects.append(suspect)
                     inside = len(self.parent) - 1
-                stack.append((name, inside, noise))
-            elif m[0][1] not in "!?":  # a tag with a quote that never ends
+                push(name, inside, noise, suspect)
+            elif source[tag[0] + 1] not in "!?":  # a tag with a quote that never ends
                 flush()
         flush()
+        bad = self._settled(found, above, comments, mains)
+        self.noise = [n or bad[s] for n, s in zip(self.noise, suspects, strict=True)]
+        self.blocks = [(at, said, noise or bad[s]) for at, said, noise, s, _ in found]
+
+    @staticmethod
+    def _settled(found, above: list[int], comments: list[bool], mains: list[int]) -> list[bool]:
+        """Of each suspect whether it is noise. Text in links doesn't speak for main text; comments only if nothing else is named so."""
+        n = len(above)
+        own = [0] * n
+        for _, said, noise, s, linked in found:
+            own[s] += 0 if noise else len(said) - linked
+        inside, held = own[:], mains[:]
+        for s in range(n - 1, 0, -1):
+            if not comments[s]:
+                inside[above[s]] += inside[s]
+            held[above[s]] += held[s] if not comments[s] else 0
+        bad = [False] * n
+        clean, named = own[0], mains[0]
+        for s in range(1, n):  # those around come first
+            bad[s] = bad[above[s]] or not (held[s] and inside[s] > clean and not (comments[s] and named))
+            if not bad[s]:
+                clean, named = clean + own[s], named + mains[s]
+        return bad
 
     @staticmethod
     def _step(name: str, attrs: str | None) -> str:
@@ -156,16 +276,16 @@ class Page:
         return ".".join([name, *sorted({re.sub(r"\d+", "", x) for x in found.get("class", "").split()} - {""})])
 
     @staticmethod
-    def _bad(name: str, attrs: str, block: bool) -> bool:
+    def _hidden(attrs: str) -> bool:
         found = {k.lower(): a or b or c for k, a, b, c in _ATTRS.findall(attrs)}
         if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in NOISE_ROLES:
             return True
-        if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
-            return True
-        if name in ("html", "body", "article", "main"):
-            return False
-        said = f"{found.get('class', '')} {found.get('id', '')}".lower()
-        return block and not NOISE_WORDS.isdisjoint(_WORDS.findall(said))
+        return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")))
+
+    @staticmethod
+    def _words(name: str, attrs: str) -> frozenset[str]:
+        found = {k.lower(): a or b or c for k, a, b, c in _ATTRS.findall(attrs)}
+        return frozenset(_WORDS.findall(f"{found.get('class', '')} {found.get('id', '')}".lower()))
 
     def best(self) -> int:
         """Path hash of the best container; 0 (the whole page) if there is no text.

@@ -287,9 +287,14 @@ def _model(data: bytes) -> Model:
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """All rows and columns of ``docs`` with toxicity_score added; null and empty texts are scored by the curve's foot."""
+    """All rows and columns of ``docs`` with toxicity_score added; null and empty texts are scored by the curve's foot.
+
+    A column of that name, in any case, is replaced. Repeated rows stay and score alike.
+    """
     import pickle
 
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != "toxicity_score"))
+
     bounded_batches(docs.sparkSession)
     data = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
@@ -305,7 +310,10 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of ``docs`` that score below ``threshold``, with all their columns."""
+    """Rows of ``docs`` that score below ``threshold``, with all their columns, repeated rows and ties included.
+
+    Null and empty texts score by the curve's foot, far below, and stay; an empty frame stays empty.
+    """
     import pickle
 
     bounded_batches(docs.sparkSession)
