@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,24 +10,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlint.sources.tables import shared_folder
+
 #: Texts that a Python worker holds as arrays at one time, in bytes (a single longer text is one slice).
 SLICE_BYTES = 4 << 20
 #: Entries of a worker's word caches; a full cache is emptied and fills again.
 CACHE_WORDS = 200_000
 
 
-@lru_cache(maxsize=1)
-def _own_scratch() -> str:
-    return tempfile.mkdtemp(prefix="emberlint-")
-
-
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path below the folder that the cluster shares (``spark.checkpoint.dir``).
-
-    Only where that is unset, as in tests on one machine, a folder of this process is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_scratch()
-    return f"{base.rstrip('/')}/emberlint/{label}-{uuid.uuid4().hex}"
+    """A new path below the folder that the cluster shares (see ``shared_folder``)."""
+    return f"{shared_folder(spark)}/emberlint/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
@@ -37,7 +28,17 @@ def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._emberlint_path = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Remove what ``materialise`` wrote, once all that is built on it is written itself."""
+    for df in written:
+        jvm = df.sparkSession.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(df._emberlint_path)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

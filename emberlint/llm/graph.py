@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from emberlint.llm.common import materialise
+from emberlint.llm.common import discard, materialise
 
 #: Places that the links of one node are dealt to.
 SALTS = 16
@@ -75,16 +75,18 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     while before[0] > AT_ONCE:
         least = now.withColumn("m", F.min("b").over(Window.partitionBy("a")))
         pairs = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
-        hung, _ = _kept(least.select(F.explode(pairs).alias("e")).select("e.a", "e.b"), label)
+        last, (hung, _) = now, _kept(least.select(F.explode(pairs).alias("e")).select("e.a", "e.b"), label)
         # Only nodes that others hang on are looked up, and each in several places, as many may hang on one.
         above = hung.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "b").join(hung.select("b").distinct(), "b")
         above = above.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salted = hung.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
         now, after = _kept(salted.join(above, ["b", "salt"], "left").select("a", F.coalesce("m", "b").alias("b")), label)
+        discard(last, hung)
         if after == before:
             break
         before = after
     if 0 < before[0] <= AT_ONCE:
-        now = materialise(now.coalesce(1).mapInArrow(_joined, now.schema), label)
+        last, now = now, materialise(now.coalesce(1).mapInArrow(_joined, now.schema), label)
+        discard(last)
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

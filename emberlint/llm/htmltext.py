@@ -14,6 +14,7 @@ import html as _html
 import re
 from bisect import bisect_left
 from collections import Counter
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -262,12 +263,19 @@ class Page:
             if not comments[s]:
                 inside[above[s]] += inside[s]
             held[above[s]] += held[s] if not comments[s] else 0
-        bad = [False] * n
+        bad, within = [False] * n, [[] for _ in range(n)]
+        for s in range(1, n):
+            within[above[s]].append(s)
         clean, named = own[0], mains[0]
-        for s in range(1, n):  # those around come first
+        waiting = [(-inside[s], s) for s in within[0]]
+        heapify(waiting)
+        while waiting:  # those around come first, then those with most text
+            s = heappop(waiting)[1]
             bad[s] = bad[above[s]] or not (held[s] and inside[s] > clean and not (comments[s] and named))
             if not bad[s]:
                 clean, named = clean + own[s], named + mains[s]
+            for k in within[s]:
+                heappush(waiting, (-inside[k], k))
         return bad
 
     @staticmethod

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlint.llm.common import WordHash, bloom_of, bounded_batches, hash_words, materialise, perhaps_in, raw_texts, table, window_hashes
+from emberlint.llm.common import WordHash, bloom_of, bounded_batches, discard, hash_words, materialise, perhaps_in, raw_texts, table, window_hashes
 from emberlint.llm.graph import Forest, components
 
 SHINGLE = 5
@@ -471,7 +471,9 @@ def linked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     clusters = clusters.join(nodes.select("node", "doc_id", "n_shingles"), "node").join(labels, "node", "left")
     clusters = materialise(clusters.select("cluster", "node", "doc_id", "n_shingles", F.coalesce("label", "node").alias("label")), "clustered")
     more = materialise(verified_links(clusters, shingle_sets(docs, clusters)), "more-links")
-    return components(links.unionByName(more), "all-links")
+    out = components(links.unionByName(more), "all-links")
+    discard(met, pairs, best, links, labels, clusters, more)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -492,6 +494,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of_linked = named.join(least, "root").select("node", "component_id")
     resolved = nodes.select("node", "doc_id").join(of_linked, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
     resolved = materialise(resolved, "resolved")  # so that the join below, on nodes with many copies, can be split
+    discard(nodes)
     out = drawn.select("doc_id", "crc", "n_shingles", "node").join(resolved, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "crc", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))

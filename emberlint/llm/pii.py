@@ -1,14 +1,16 @@
 """Personal data by anchor expansion.
 
 One Aho-Corasick pass over a text finds anchors: at-signs, plus signs before digits, digits beside digits or
-dots, schemes, and cues of identifiers. A parser for each kind expands an anchor to the borders of what
+dots, schemes, kinds of streets, and cues of identifiers. A parser for each kind expands an anchor to the borders of what
 it may belong to and validates it. All parsers are linear in the text and never look at a stretch twice.
 
 Kinds: ``email``, ``ip``, ``card`` and ``phone`` follow fixed grammars (leftmost, non-overlapping, failing
 matches dropped without retries). Added kinds: ``iban`` (country code, check digits, the country's length and mod
 97; a token of its own unless a cue came before in the text, from where on codes without a known length count,
 too), ``login`` (user and password before the host of a URL, or a mailto address), ``secret`` (an access key id,
-or the value after password=, token = and the like).
+or the value after password=, token = and the like), ``account`` (digits behind cues of account numbers and sort codes),
+``national`` (social security numbers behind their cues, impossible ones left out), ``address`` (house number, names and
+kind of a street, town and postal code).
 """
 
 from __future__ import annotations
@@ -25,7 +27,11 @@ from pyspark.sql import functions as F
 from emberlint.llm.common import bounded_batches, table
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "login", "secret")
+KINDS = (*BASE, "iban", "login", "secret", "account", "national", "address")
+ACCOUNT_CUES = ("account", "acct", "a/c", "konto", "kontonummer", "compte", "cuenta")
+SORT_CUES = ("sort code", "bank code", "routing number")
+NATIONAL_CUES = ("ssn", "social security", "social security number")
+STREETS = ("Street", "St", "Avenue", "Ave", "Road", "Rd", "Lane", "Ln", "Drive", "Dr", "Boulevard", "Blvd", "Court", "Ct", "Square", "Terrace", "Way", "Place")
 CUES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey")
 #: Characters of an account number by country.
 IBAN_LENGTHS = {
@@ -47,9 +53,15 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]++")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+")
 _ALNUM = re.compile(r"[A-Za-z0-9]")
 _KEY = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
-_LOGIN = re.compile(r"[A-Za-z0-9._%+-]+:[^\s@/:]+@(?=[A-Za-z0-9])")
+_LOGIN = re.compile(r"[A-Za-z0-9._%+-]++:[^\s@/:]++@(?=[A-Za-z0-9])")
 _VALUE = re.compile(r"\s?[=:]\s?[\"']?([A-Za-z0-9_/+.~-]{8,}+)[\"']?")
-_MAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_MAIL = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+_ACCOUNT = re.compile(r"(?:\s?(?:number|num|no|nr)\b\.?)?(?:\s(?:is|was))?\s?[:#=]?\s?([0-9](?:[ -]?[0-9]){5,16}+)(?![A-Za-z0-9])", re.I)
+_SORT = re.compile(r"\s?[:#=]?\s?([0-9]{2}[ -][0-9]{2}[ -][0-9]{2}|[0-9]{6})(?![A-Za-z0-9-])")
+_SSN = re.compile(r"(?:\s?(?:number|no)\b\.?)?(?:\s(?:is|was))?\s?[:#=]?\s?([0-9]{3}[ -]?[0-9]{2}[ -]?[0-9]{4})(?![A-Za-z0-9-])", re.I)
+#: Behind the kind of a street: an optional unit, a town, and a postal code, which validates the address.
+_TOWN = r"(?:[ ,]{1,2}(?:Apt|Suite|Unit|Floor)\.? ?[A-Za-z0-9-]{1,6})?,\s(?:[A-Z][A-Za-z.'-]++ ?){1,4}"
+_PLACE = re.compile(rf"\.?{_TOWN}(?:,?\s?[A-Z]{{2}} [0-9]{{5}}(?:-[0-9]{{4}})?|,?\s?[A-Z]{{1,2}}[0-9][0-9A-Z]? [0-9][A-Z]{{2}})(?![A-Za-z0-9])")
 
 
 @lru_cache(maxsize=1)
@@ -69,6 +81,12 @@ def _anchors() -> ahocorasick.Automaton:
             words.setdefault(form, []).append("secret")
     for cue in ("AKIA", "ASIA"):
         words.setdefault(cue, []).append("key")
+    for kind, cues in (("account", ACCOUNT_CUES), ("sort", SORT_CUES), ("national", NATIONAL_CUES)):
+        for cue in cues:
+            for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
+                words.setdefault(form, []).append(kind)
+    for street in STREETS:
+        words.setdefault(f" {street}", []).append("street")
     for cue in ("IBAN", "iban", "Iban"):
         words.setdefault(cue, []).append("cue")
     for a1 in ascii_uppercase:
@@ -120,6 +138,27 @@ def _iban_end(text: str, at: int, cued: bool) -> int:
     return 0
 
 
+def _street_start(text: str, at: int, least: int) -> int:
+    """Where an address whose street's kind stands at ``at`` begins: a house number before one to four capitalised names; -1 if it doesn't."""
+    k = at
+    for names in range(5):
+        start = k
+        while start > least and text[start - 1] not in " \n\t":
+            start -= 1
+        word = text[start:k]
+        if names and word.rstrip("abcdABCD").isdecimal() and len(word) <= 6:
+            return start
+        if not word or not word[0].isupper() or not word.replace("'", "").replace(".", "").replace("-", "").isalpha() or not start or text[start - 1] != " ":
+            return -1
+        k = start - 1
+    return -1
+
+
+def _national(found: str) -> bool:
+    s = found.replace(" ", "").replace("-", "")
+    return s[:3] not in ("000", "666") and s[0] != "9" and s[3:5] != "00" and s[5:] != "0000"
+
+
 def find_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
     """Spans (start, end) in code points of each kind, ascending; null and empty texts have none."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
@@ -161,7 +200,7 @@ def find_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
             if at < done["login"]:
                 continue
             mail = size > 3
-            m = (_MAIL if mail else _LOGIN).match(text, last + 1, last + 1 + 512)
+            m = (_MAIL if mail else _LOGIN).match(text, last + 1)
             if m:
                 end = m.end() - (not mail)
                 out["login"].append((last + 1, end))
@@ -176,6 +215,22 @@ def find_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
             if m and at >= done["secret"] and (at == 0 or not text[at - 1].isalnum()):
                 out["secret"].append(m.span())
                 done["secret"] = m.end()
+        elif kind in ("account", "sort", "national"):
+            into = "national" if kind == "national" else "account"
+            if at and _ALNUM.match(text, at - 1):
+                continue
+            m = {"account": _ACCOUNT, "sort": _SORT, "national": _SSN}[kind].match(text, last + 1)
+            if m and m.start(1) >= done[into] and (kind != "national" or _national(m[1])):
+                out[into].append(m.span(1))
+                done[into] = m.end(1)
+        elif kind == "street":
+            if at < done["address"] or (last + 1 < len(text) and _ALNUM.match(text, last + 1)):
+                continue
+            start = _street_start(text, at, done["address"])
+            m = _PLACE.match(text, last + 1) if start >= 0 else None
+            if m:
+                out["address"].append((start, m.end()))
+                done["address"] = m.end()
         elif kind == "cue":
             cued, done["iban"] = True, max(done["iban"], last + 1)
         elif at >= done["iban"] and (end := _iban_end(text, at, cued)):
@@ -198,7 +253,10 @@ def mask(text: str | None) -> str | None:
 
 
 def mask_documents(docs: DataFrame) -> DataFrame:
-    """All rows and columns of ``docs``, with personal data in ``text`` masked; texts without any stay as they are."""
+    """All rows and columns of ``docs``, with personal data in ``text`` masked; texts without any stay as they are.
+
+    Null texts stay null, empty ones empty; repeated rows are masked alike; an empty frame stays empty.
+    """
     bounded_batches(docs.sparkSession)
 
     def run(batches):
@@ -211,7 +269,10 @@ def mask_documents(docs: DataFrame) -> DataFrame:
 
 
 def pii_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans array<struct<kind, start, end>>) for every row of ``docs`` (doc_id, text)."""
+    """(doc_id, spans array<struct<kind, start, end>>) for every row of ``docs`` (doc_id, text); other columns are ignored.
+
+    Null and empty texts have no spans; rows are answered one by one, so null ids and repeated rows stay.
+    """
     bounded_batches(docs.sparkSession)
 
     def run(batches):

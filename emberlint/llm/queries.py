@@ -21,5 +21,4 @@ ORACLE_SQL = {
     "op5_quality": quality.OP5_SQL,
     "op7_near_duplicates": oracle.OP7_SQL,
     "op8_substring_dedup": oracle.OP8_SQL,
-    "op9_token_counts": counts.OP9_SQL,
 }
