@@ -167,6 +167,24 @@ def token_class(token: Column) -> Column:
     )
 
 
+#: Directives that have a class of their own; others are <PP_OTHER>.
+DIRECTIVES = {"include": "INCLUDE", "define": "DEFINE", "pragma": "PRAGMA", "if": "IF", "ifdef": "IF", "ifndef": "IF", "elif": "ELIF", "else": "ELSE", "endif": "ENDIF"}
+
+
+def directive_class(line: Column) -> Column:
+    """Class of a preprocessor line, null for other lines."""
+    name = F.regexp_extract(line, r"^\s*#\s*([A-Za-z_]\w*)", 1)
+    out = F.lit("<PP_OTHER>")
+    for word, kind in DIRECTIVES.items():
+        out = F.when(name == word, f"<PP_{kind}>").otherwise(out)
+    return F.when(name != "", out)
+
+
+def operator_spelling(tokens: Column) -> Column:
+    """The first of an expression's tokens that is an operator, null without one."""
+    return F.try_element_at(F.filter(tokens, lambda t: t.isin(*V.TOKEN_OPERATORS)), F.lit(1))
+
+
 def shift_operands(x: Column, op: str) -> Column:
     """Names right of a shift operator."""
     return F.regexp_extract_all(blank_literals(x), F.lit(rf"(?i){op}\s*(?:std::)?([A-Za-z_]\w*)"), F.lit(1)) if op in ("<<", ">>") else F.array().cast("array<string>")

@@ -16,7 +16,7 @@ from emberlint.operators import labeling as L
 from emberlint.operators import matrix as M
 from emberlint.operators import models
 from emberlint.operators import rows as R
-from emberlint.plans import serving, training
+from emberlint.plans import modeling, serving, training
 from emberlint.queries import _CTX, _D, _DIM, _S, _TYPES_SQL, _quoted_list, _scratch, _typed, contexts, diag, events, query, snip, submissions
 from emberlint.sources import tables as S
 
@@ -480,6 +480,58 @@ def m25_explained_predictions(spark, sf):
     return serving.explained(predicted, S.recommendations(spark)).select("row_id", "recommendation")
 
 
+_LABEL = "CAST(event_id % 3 + 1 AS INTEGER)"
+
+
+@query(f"WITH {_DIM} SELECT event_id AS row_id, {_LABEL} AS label, concat(error_code, ': ', recommendation_code) AS recommendation FROM events JOIN rec ON recommendation_id = {_LABEL}")
+def plan_model_round_trip(spark, sf):
+    """Classes that their tokens tell apart: a classifier is trained, saved, loaded again and asked for all rows."""
+    label = (F.col("event_id") % 3 + 1).cast("int")
+    rows = events(spark, sf).select(
+        F.col("event_id").alias("row_id"),
+        label.alias("label"),
+        F.to_json(F.array(F.lit("C2065"), F.concat(F.lit("kind"), label.cast("string")), "event_type")).alias("error_text_tokens"),
+        F.to_json(F.array(F.concat(F.lit("ctx"), label.cast("string")))).alias("ctx_tokens"),
+        F.to_json(F.create_map(F.lit("N"), label.cast("double"))).alias("ctx_numeric"),
+    )
+    path = _scratch(spark)
+    modeling.train_and_evaluate(rows, path, params={"maxIter": [20], "regParam": [0.01]}, folds=2)
+    return modeling.predicted(rows, path, S.recommendations(spark)).select("row_id", "label", "recommendation")
+
+
+_LINES = ("#include <map>", "  # define N 1", "#ifndef X", "#elif Y", "#else", "#endif", "#pragma once", "#error no", "int x;")
+
+
+@query(f"SELECT event_id, {_case(('<PP_INCLUDE>', '<PP_DEFINE>', '<PP_IF>', '<PP_ELIF>', '<PP_ELSE>', '<PP_ENDIF>', '<PP_PRAGMA>', '<PP_OTHER>', None))} AS class FROM events")
+def e8_directive_class(spark, sf):
+    return events(spark, sf).select("event_id", X.directive_class(_pick(_LINES)).alias("class"))
+
+
+@query("SELECT event_id, CASE event_id % 2 WHEN 0 THEN '<<' END AS op FROM events")
+def e6_operator_spelling(spark, sf):
+    tokens = F.when(F.col("event_id") % 2 == 0, F.array(F.lit("x"), F.lit("<<"), F.lit("+"))).otherwise(F.array(F.lit("x"), F.lit(";")))
+    return events(spark, sf).select("event_id", X.operator_spelling(tokens).alias("op"))
+
+
+@query("SELECT 1 AS id, 'a' AS name UNION ALL SELECT 2, 'b' UNION ALL SELECT 2, 'b'")
+def u2_seed_relation(spark, sf):
+    return S.seed_relation(spark, "SELECT 1 AS id, 'a' AS name", "SELECT 2, 'b'", "SELECT 2, 'b'")
+
+
+@query("SELECT event_id AS row_id, CAST(event_id % 4 AS INTEGER) AS x FROM events")
+def p4_without_label(spark, sf):
+    rows = events(spark, sf).select(F.col("event_id").alias("row_id"), (F.col("event_id") % 4).cast("int").alias("x"), F.lit(1).alias("label"))
+    return R.without(rows, "label")[0]
+
+
+@query("SELECT event_id AS id, concat('bad ', CAST(user_id AS VARCHAR)) AS source_code FROM events WHERE event_id % 2 = 0 ORDER BY event_id LIMIT 200")
+def e14_kept_samples(spark, sf):
+    code = F.concat(F.when(F.col("event_id") % 2 == 0, F.lit("bad ")).otherwise("good "), F.col("user_id"))
+    made = events(spark, sf).select(F.col("event_id").alias("id"), code.alias("source_code"))
+    fake = lambda s: b"x.cpp(1): error C2065: y: z" if s.startswith("bad") else b"ok"
+    return R.kept_samples(made, fake, "C2065", 200).select("id", "source_code")
+
+
 @query()
 def plan_training_data(spark, sf):
     rows = submissions(spark, sf).drop("error_code")

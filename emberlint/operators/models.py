@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import platform
+import random
 from collections.abc import Callable
 from datetime import datetime, timezone
 from itertools import product
@@ -39,32 +40,64 @@ def accuracy(df: DataFrame) -> float:
     return df.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0] or 0.0
 
 
-def tuned(df: DataFrame, name: str, params: dict[str, list], method: str = "grid", folds: int = 3, factor: int = 3, seed: int = 42) -> tuple[object, dict]:
-    """(model on all rows, parameters): by cross-validated accuracy, all candidates or by halving.
+def macro_f1(df: DataFrame) -> float:
+    """Mean of the classes' harmonic means of precision and recall."""
+    from emberlint.operators.evaluation import classification_report
 
-    Halving scores candidates on a share of the rows that grows as their number falls. Unknown methods raise.
+    found = classification_report(df, "label", "prediction").where("label = 'macro avg'").first()
+    return found["f1"] or 0.0 if found else 0.0
+
+
+SCORERS = {"accuracy": accuracy, "f1_macro": macro_f1}
+
+
+def tuned(
+    df: DataFrame, name: str, params: dict[str, list], method: str = "grid", folds: int = 3, factor: int = 3, seed: int = 42, scorer: str = "accuracy", n_iter: int = 10, resource: str = "n_samples"
+) -> tuple[object, dict]:
+    """(model on all rows, parameters): by cross-validated score, of all candidates, of ``n_iter`` drawn ones, or by halving.
+
+    Methods: ``none``, ``grid``, ``random``, ``halving_grid``, ``halving_random``. Halving scores candidates on a share of the rows
+    that grows as their number falls; with a ``resource`` other than rows, on values of that parameter up to the grid's largest.
+    Unknown methods or scorers, several scorers for halving, and a resource that the grid lacks raise.
     """
+    if method not in ("none", "grid", "random", "halving_grid", "halving_random"):
+        raise ValueError(f"unknown method: {method}")
+    if not isinstance(scorer, str):
+        raise ValueError("one scorer is needed")
+    if scorer not in SCORERS:
+        raise ValueError(f"unknown scorer: {scorer}")
+    halving = method.startswith("halving")
+    most = None
+    if halving and resource != "n_samples":
+        if resource not in params:
+            raise ValueError(f"no largest value of {resource} in the grid")
+        most = max(params[resource])
+        params = {k: v for k, v in params.items() if k != resource}
     make = estimators()[name]
     candidates = grid(params)
+    if method.endswith("random"):
+        candidates = random.Random(seed).sample(candidates, min(n_iter, len(candidates)))
     if method == "none":
         return make(**candidates[0]).fit(df), candidates[0]
-    if method not in ("grid", "halving_grid"):
-        raise ValueError(f"unknown method: {method}")
     dealt = df.withColumn("_fold", F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(folds))).withColumn("_draw", F.pmod(F.xxhash64("row_id", F.lit(seed + 1)), F.lit(1 << 20)) / (1 << 20))
 
     def score(p: dict, share: float) -> float:
-        part = dealt.where(F.col("_draw") < share)
-        return sum(accuracy(make(**p).fit(part.where(F.col("_fold") != k)).transform(part.where(F.col("_fold") == k))) for k in range(folds)) / folds
-
-    share = 1.0
-    if method == "halving_grid":
+        part = dealt
+        if most is not None:
+            p = {**p, resource: type(most)(max(1, most * share))}
+        elif share < 1:
+            part = dealt.where(F.col("_draw") < share)
+        return sum(SCORERS[scorer](make(**p).fit(part.where(F.col("_fold") != k)).transform(part.where(F.col("_fold") == k))) for k in range(folds)) / folds
+
+    if halving:
         rounds = 0
         while factor**rounds < len(candidates):
             rounds += 1
         for k in range(rounds, 0, -1):
             ranked = sorted(candidates, key=lambda p: -score(p, factor**-k))
             candidates = ranked[: max(1, len(ranked) // factor)]
-    best = max(candidates, key=lambda p: score(p, share)) if len(candidates) > 1 else candidates[0]
+    best = max(candidates, key=lambda p: score(p, 1.0)) if len(candidates) > 1 else candidates[0]
+    best = best if most is None else {**best, resource: most}
     return make(**best).fit(df), best
 
 
@@ -77,14 +110,20 @@ def out_of_fold(df: DataFrame, name: str, params: dict, fold: str = "fold", k: i
     return out
 
 
-def as_vectors(entries: DataFrame, row: str, terms: DataFrame, size: int) -> DataFrame:
-    """(row, features): sparse vectors from long entries (row, term, value) and (term, index), built from Arrow batches."""
+def as_vectors(entries: DataFrame, row: str, terms: DataFrame | None, size: int, rows: DataFrame | None = None) -> DataFrame:
+    """(row, features): sparse vectors from long entries (row, term, value) and (term, index), built from Arrow batches.
+
+    Without ``terms`` entries have their index already. Rows of ``rows`` (row) without entries are vectors of zeros.
+    """
     import pyarrow as pa
     from pyspark.ml.linalg import VectorUDT
     from pyspark.sql import types as T
 
     pairs = F.array_sort(F.collect_list(F.struct("index", "value")))
-    grouped = entries.join(terms, "term").groupBy(row).agg(pairs.alias("_pairs"))
+    grouped = (entries if terms is None else entries.join(terms, "term")).groupBy(row).agg(pairs.alias("_pairs"))
+    if rows is not None:
+        grouped = rows.select(row).distinct().join(grouped, row, "left")
+        grouped = grouped.withColumn("_pairs", F.coalesce("_pairs", F.array().cast(grouped.schema["_pairs"].dataType)))
     grouped = grouped.select(row, F.transform("_pairs", lambda p: p["index"].cast("int")).alias("_at"), F.transform("_pairs", lambda p: p["value"].cast("double")).alias("_values"))
     schema = T.StructType([grouped.schema[row], T.StructField("features", VectorUDT())])
 

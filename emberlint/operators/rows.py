@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,13 @@ def with_missing(df: DataFrame, name: str, kind: str) -> DataFrame:
     return df if name in df.columns else df.withColumn(name, F.lit(None).cast(kind))
 
 
+def without(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` without a column, and that column alone; a column that isn't there raises."""
+    if column not in df.columns:
+        raise ValueError(f"no column {column}")
+    return df.drop(column), df.select(column)
+
+
 def lookup(x: Column, table: dict[str, str]) -> Column:
     """The value of a small table, null for keys it doesn't have."""
     pairs = F.create_map(*(F.lit(v) for kv in table.items() for v in kv))
@@ -120,6 +129,15 @@ def generated_samples(df: DataFrame, pattern: str, placeholders: dict[str, list[
     return made.withColumn("hash", code_hash(F.col("source_code"))).dropDuplicates(["hash"])
 
 
+def kept_samples(made: DataFrame, compile_: Callable[[str], bytes], code: str, most: int) -> DataFrame:
+    """Up to ``most`` generated programs (id, source_code, hash), by id, whose compilation reports ``code``; adds error_text, error_line."""
+    from emberlint.functions.diagnostics import has_error_code
+    from emberlint.operators.boundary import compiled
+
+    key = made.columns[0]
+    return compiled(made, compile_).where(has_error_code(F.col("error_text"), code)).orderBy(key).limit(most)
+
+
 def insertable(new: DataFrame, old: DataFrame, unique: list[str], required: list[str]) -> DataFrame:
     """Rows of ``new`` that keep the constraints: required columns set, unique ones not there yet."""
     for c in required:

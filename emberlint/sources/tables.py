@@ -152,3 +152,15 @@ def create_tables(spark: SparkSession, database: str) -> None:
 def copy_table(spark: SparkSession, name: str, path: str) -> None:
     """A snapshot of a table."""
     spark.table(name).write.mode("overwrite").parquet(path)
+
+
+def first_entry(entries: list[dict], key: str, value) -> dict | None:
+    """The first entry of a configuration whose ``key`` is ``value``, None without one."""
+    return next((e for e in entries if e.get(key) == value), None)
+
+
+def seed_relation(spark: SparkSession, *selects: str) -> DataFrame:
+    """The bag union of literal SELECTs, as seed scripts put dimensions together."""
+    if not selects:
+        raise ValueError("no SELECT")
+    return spark.sql(" UNION ALL ".join(f"({s})" for s in selects))

@@ -182,3 +182,38 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.row_id: r.recommendation for r in spark.table("recommended").collect()} == {1: "C2065: HEADER_OR_STD_NAMESPACE", 2: "no recommendation"}
+
+
+def test_tuning(spark):
+    df = spark.range(90).select(F.col("id").alias("row_id"), (F.col("id") % 2).cast("double").alias("label"), F.array((F.col("id") % 2).cast("double"), F.lit(1.0)).alias("x"))
+    entries = df.select("row_id", F.posexplode("x").alias("index", "value"))
+    ready = models.balanced(df.join(models.as_vectors(entries, "row_id", None, 3, df.select("row_id")), "row_id"), "label")
+    assert ready.first().features.size == 3
+    grid = {"regParam": [0.01, 0.1, 1.0], "maxIter": [5, 10]}
+    assert models.tuned(ready, "logistic", grid, method="random", n_iter=1, folds=2)[1]["regParam"] in grid["regParam"]
+    assert models.tuned(ready, "logistic", {"regParam": [0.01, 0.1], "maxIter": [2, 10]}, method="halving_grid", folds=2, resource="maxIter", scorer="f1_macro")[1]["maxIter"] == 10
+    for wrong in ({"method": "halving_random", "resource": "tol"}, {"scorer": "other"}, {"method": "halving_grid", "scorer": ["accuracy", "f1_macro"]}):
+        with pytest.raises(ValueError):
+            models.tuned(ready, "logistic", grid, **wrong)
+
+
+def test_term_index(spark, tmp_path):
+    df = spark.createDataFrame([(t,) for t in ["b", "a", "é", "a", None, "c b"]], "term string")
+    got = {r["term"]: r["index"] for r in models.term_index(df, str(tmp_path / "terms")).collect()}
+    assert got == {"a": 0, "b": 1, "c b": 2, "é": 3}
+
+
+def test_labels_against_each_function(spark):
+    from emberlint.operators import labeling as L
+
+    rows = [(1, "C2065", "C2065: cout: x", "cout << 1;"), (2, "C2065", "C2065: retrun: x", "retrun 0;"), (3, "C3861", "C3861: myfnu: x", "myfun(1); myfnu(2);"), (4, "C3861", "C3861: zzz: x", "zzz(1);"),
+            (5, "C2146", 'C2146: отсутствие ";" перед идентификатором "b"', "f(a b);"), (6, "C1083", "C1083: x", "y"), (7, None, None, None)]
+    df = spark.createDataFrame(rows, "row_id int, error_code string, error_text string, source_code string").withColumn("error_line", F.lit(1))
+    got = {r.row_id: r.label_code for r in L.apply_labels(df).collect()}
+    assert got == {1: "HEADER_OR_STD_NAMESPACE", 2: "FIX_NAME_SPELLING", 3: "FIX_NAME_SPELLING", 4: "DECL_BEFORE_USE", 5: "INCORRECT_CONSTRUCTION_OR_SYMBOLS", 6: "INCORRECT_FILE_INCLUDE", 7: None}
+
+
+def test_first_entry():
+    from emberlint.sources.tables import first_entry
+
+    assert first_entry([{"a": 1}, {"a": 2, "b": 3}, {"a": 2}], "a", 2) == {"a": 2, "b": 3} and first_entry([], "a", 1) is None
