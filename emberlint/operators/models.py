@@ -31,6 +31,14 @@ def estimators() -> dict[str, Callable]:
     }
 
 
+def fitted(df: DataFrame, name: str, params: dict):
+    """A model, without its training summary: that holds the session, which need not go to executors with the model."""
+    model = estimators()[name](**params).fit(df)
+    if getattr(model, "hasSummary", False):
+        model._java_obj.setSummary(df.sparkSession.sparkContext._jvm.scala.Option.empty())
+    return model
+
+
 def grid(params: dict[str, list]) -> list[dict]:
     """All combinations; one empty one without parameters."""
     return [dict(zip(params, values, strict=True)) for values in product(*params.values())]
@@ -73,12 +81,11 @@ def tuned(
             raise ValueError(f"no largest value of {resource} in the grid")
         most = max(params[resource])
         params = {k: v for k, v in params.items() if k != resource}
-    make = estimators()[name]
     candidates = grid(params)
     if method.endswith("random"):
         candidates = random.Random(seed).sample(candidates, min(n_iter, len(candidates)))
     if method == "none":
-        return make(**candidates[0]).fit(df), candidates[0]
+        return fitted(df, name, candidates[0]), candidates[0]
     dealt = df.withColumn("_fold", F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(folds))).withColumn("_draw", F.pmod(F.xxhash64("row_id", F.lit(seed + 1)), F.lit(1 << 20)) / (1 << 20))
 
     def score(p: dict, share: float) -> float:
@@ -87,7 +94,7 @@ def tuned(
             p = {**p, resource: type(most)(max(1, most * share))}
         elif share < 1:
             part = dealt.where(F.col("_draw") < share)
-        return sum(SCORERS[scorer](make(**p).fit(part.where(F.col("_fold") != k)).transform(part.where(F.col("_fold") == k))) for k in range(folds)) / folds
+        return sum(SCORERS[scorer](fitted(part.where(F.col("_fold") != k), name, p).transform(part.where(F.col("_fold") == k))) for k in range(folds)) / folds
 
     if halving:
         rounds = 0
@@ -98,14 +105,14 @@ def tuned(
             candidates = ranked[: max(1, len(ranked) // factor)]
     best = max(candidates, key=lambda p: score(p, 1.0)) if len(candidates) > 1 else candidates[0]
     best = best if most is None else {**best, resource: most}
-    return make(**best).fit(df), best
+    return fitted(df, name, best), best
 
 
 def out_of_fold(df: DataFrame, name: str, params: dict, fold: str = "fold", k: int = 5) -> DataFrame:
     """Predictions for each fold by a model of the others."""
     out = None
     for i in range(k):
-        part = estimators()[name](**params).fit(df.where(F.col(fold) != i)).transform(df.where(F.col(fold) == i))
+        part = fitted(df.where(F.col(fold) != i), name, params).transform(df.where(F.col(fold) == i))
         out = part if out is None else out.unionByName(part)
     return out
 
