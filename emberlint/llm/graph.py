@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlint.llm.common import discard, materialise
@@ -44,10 +44,8 @@ class Forest:
 
 def _kept(edges: DataFrame, label: str) -> tuple[DataFrame, tuple]:
     """The distinct edges, written, with their number and a sum that tells whether they changed."""
-    seen = Observation()
-    edges = edges.where("a != b").distinct()
-    edges = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
-    return materialise(edges, label), (seen.get["n"], seen.get["sum"])
+    kept = materialise(edges.where("a != b").distinct(), label)
+    return kept, tuple(kept.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
 def _joined(batches):
