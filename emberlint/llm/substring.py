@@ -3,13 +3,13 @@
 Rounds of recompression cut each text into blocks whose borders depend on nearby words only: first runs of one
 word are named, then, round by round, pairs of neighbouring symbols of which the left is of one class and
 the right of the other. A name is a fingerprint of what it stands for, so all tasks give equal strings
-equal names without talking. Each block carries the stretch of words that its existence depends on (its reach);
-a copy of that stretch anywhere holds the same block.
+equal names without talking. Each block carries the stretch of words that its existence depends on (its reach), and
+a name for itself among the symbols of that stretch; a copy of the stretch anywhere holds the same block by the same name.
 
-1. Blocks whose reach fits in a window are anchors, and windows without an anchor are anchors themselves. Anchors that
-   occur once in the corpus rule out every window around them.
-2. Windows that hold only repeated anchors are candidates. They are compared exactly across the corpus: all but the
-   first occurrence of a window go.
+1. Blocks whose reach fits in a window are anchors, and windows without an anchor are anchors themselves. Spark brings
+   equal names of anchors together; names that occur once in the corpus rule out every window around them.
+2. Windows around shared names are compared across the corpus by a second hash of all their words, which rests on other
+   bits of the words' hashes than names do: all but the first occurrence of a window go.
 3. Words covered by such windows are removed.
 
 Between rounds, keys travel packed in arrays, a row for each task's slice and hash range, and keys that a slice
@@ -19,13 +19,15 @@ holds several times travel once.
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlint.llm.common import WordHash, bloom_of, bounded_batches, hash_words, input_bytes, materialise, mix, perhaps_in, raw_texts, table
+from emberlint.llm.common import CACHE_WORDS, bloom_of, bounded_batches, input_bytes, materialise, mix, perhaps_in, raw_texts, table
 
 WINDOW = 20
 ROUNDS = 4
@@ -34,6 +36,33 @@ _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _FAR = 1 << 40
 
 
+class Words(dict):
+    """Word (bytes) to its place in ``named`` and ``compared``, the two halves of a 128-bit hash, remembered."""
+
+    def __init__(self):
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.named, self.compared = array("Q"), array("Q")
+
+    def __missing__(self, word: bytes) -> int:
+        both = xxhash.xxh3_128_intdigest(word)
+        self.named.append(both >> 64)
+        self.compared.append(both & 0xFFFFFFFFFFFFFFFF)
+        self[word] = out = len(self.named) - 1
+        return out
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Both hashes of each word; a full memory is emptied between texts."""
+        if len(self) >= CACHE_WORDS:
+            self.forget()
+        if not words:
+            return np.empty(0, np.uint64), np.empty(0, np.uint64)
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.frombuffer(self.named, np.uint64)[at], np.frombuffer(self.compared, np.uint64)[at]
+
+
 def _inverse(b: np.uint64) -> np.uint64:
     return np.uint64(pow(int(b), -1, 1 << 64))
 
@@ -51,10 +80,12 @@ class Rolling:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
-def recompress(words: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Reach (from, to) of the blocks of ``words``, texts one after another, each ending before a place in ``ends``.
+def recompress(words: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(from, to, name) of the blocks of ``words``, texts one after another, each ending before a place in ``ends``.
 
-    A block that depends on where its text begins or ends reaches beyond it, by far.
+    From and to are a block's reach; one that depends on where its text begins or ends reaches beyond it, by far. The
+    name is made of the block's symbol and, round by round, of the neighbours' names that decided its borders, so
+    it is a matter of the words within the reach only; a bare symbol would make anchors of the commonest words.
     """
     n = len(words)
     # A border stands between texts, and before the first: it never joins, and what depends on it has no copy.
@@ -70,10 +101,14 @@ def recompress(words: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS) -> tup
     same = (symbol[1:] == symbol[:-1]) & ~border[1:] & ~border[:-1]
     start = np.flatnonzero(np.concatenate(([True], ~same)))
     many = np.diff(np.append(start, len(symbol)))
-    left, right = lo[np.maximum(start - 1, 0)], hi[np.minimum(start + many, len(symbol) - 1)]
+    before, after = np.maximum(start - 1, 0), np.minimum(start + many, len(symbol) - 1)
+    left, right = lo[before], hi[after]
+    edge = np.column_stack([symbol[before], symbol[after]])
     symbol, border = symbol[start], border[start]
     symbol = np.where(many > 1, mix(symbol * _B2 + many.astype(np.uint64)), symbol)
     lo, hi = np.where(border, -_FAR, left), np.where(border, _FAR, right)
+    name = symbol.copy()  # among the words beside the run, which the reach takes in
+    name[1:-1] = mix((edge[1:-1, 0] * _B1 + symbol[1:-1]) * _B2 + edge[1:-1, 1])
 
     for k in range(rounds):
         right_class = (mix(symbol + np.uint64((k + 1) * int(_B1) % (1 << 64))) >> np.uint64(63)).astype(bool)
@@ -81,21 +116,24 @@ def recompress(words: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS) -> tup
         # What stays alone knows so from its right neighbour if it is of the left class, else from its left one.
         other = np.clip(np.arange(len(symbol)) + np.where(right_class, -1, 1), 0, len(symbol) - 1)
         lo, hi = np.minimum(lo, lo[other]), np.maximum(hi, hi[other])
+        name = mix(name * _B1 + mix(name[other] * _B2 + right_class))
         taken = np.concatenate(([False], joins))
         joined = np.concatenate((joins, [False]))
         i = np.flatnonzero(joined)
         symbol[i] = mix(symbol[i] * _B1 + symbol[i + 1])
-        symbol, border, lo, hi = symbol[~taken], border[~taken], lo[~taken], hi[~taken]
-    return lo[~border], hi[~border]
+        name[i] = mix((name[i] * _B2 + name[i + 1]) * _B1 + symbol[i])
+        symbol, name, border, lo, hi = (x[~taken] for x in (symbol, name, border, lo, hi))
+    return lo[~border], hi[~border], name[~border]
 
 
-def segments(words: np.ndarray, ends: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, n, key, stretch): neighbouring windows that share an anchor, the anchor's hash, the hash of all their words.
+def segments(named: np.ndarray, compared: np.ndarray, ends: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, n, key, stretch): neighbouring windows that share an anchor, the anchor's name, the hash of all their words.
 
-    A window's anchor is the one of least hash in it, the leftmost of equal ones; so equal windows have equal keys, and
+    ``named`` and ``compared`` are two hashes of each word: names come from the one, stretches from the other. A
+    window's anchor is the one of least name in it, the leftmost of equal ones; so equal windows have equal keys, and
     no two windows of one segment are equal. A window without anchors is a segment of its own, its hash the key.
     """
-    n = len(words)
+    n = len(named)
     inside = np.zeros(n, bool)  # where a window starts that doesn't leave its text
     first = np.concatenate(([0], ends[:-1])) if len(ends) else np.empty(0, np.int64)
     room = np.repeat(ends, ends - first) - np.arange(n)
@@ -103,11 +141,10 @@ def segments(words: np.ndarray, ends: np.ndarray, window: int = WINDOW) -> tuple
     if not inside.any():
         none = np.empty(0, np.int64)
         return none, none, none.astype(np.uint64), none.astype(np.uint64)
-    lo, hi = recompress(words, ends)
+    lo, hi, key = recompress(named, ends)
     fits = (hi - lo <= window) & (lo >= 0)
-    lo, hi = lo[fits], hi[fits]
-    one, two = Rolling(words, _B1), Rolling(words, _B2)
-    key = one.of(lo, hi)
+    lo, hi, key = lo[fits], hi[fits], key[fits]
+    one, two = Rolling(named, _B1), Rolling(compared, _B2)
     most = np.uint64(0xFFFFFFFFFFFFFFFF)
     best, left = np.full(n, most), np.full(n, _FAR)
     reach = hi - lo
@@ -295,9 +332,9 @@ def _slices(batches, *more: str):
         yield list(zip(*sorted(rows, key=lambda r: r[:2]), strict=True))
 
 
-def _hashed(raws, cache: WordHash) -> tuple[np.ndarray, np.ndarray]:
-    hashes = [hash_words(raw.split(), cache) for raw in raws]
-    return np.concatenate(hashes), np.cumsum([len(h) for h in hashes])
+def _hashed(raws, cache: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    named, compared = zip(*(cache.of(raw.split()) for raw in raws), strict=True)
+    return np.concatenate(named), np.concatenate(compared), np.cumsum([len(h) for h in named])
 
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -307,10 +344,10 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     buckets = max(64, -(-input_bytes(docs, "text") // RANGE_BYTES))
 
     def cut(batches):
-        cache = WordHash()
+        cache = Words()
         for ids, crcs, raws in _slices(batches):
-            words, ends = _hashed(raws, cache)
-            start, many, key, stretch = segments(words, ends, window)
+            named, compared, ends = _hashed(raws, cache)
+            start, many, key, stretch = segments(named, compared, ends, window)
             first = np.concatenate(([0], ends[:-1]))
             yield _once(_sent, start, many, key, stretch, ids, crcs, first, buckets)
 
@@ -322,16 +359,16 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     asked = some.join(mixed.alias("m"), same).select("d.doc_id", "d.crc", "d.text", "m.ranges")
 
     def windows(batches):
-        cache = WordHash()
+        cache = Words()
         for ids, crcs, raws, ranges in _slices(batches, "ranges"):
-            words, ends = _hashed(raws, cache)
+            named, compared, ends = _hashed(raws, cache)
             first = np.concatenate(([0], ends[:-1]))
             at = []
             for f, parts in zip(first, ranges, strict=True):
                 s, n = np.frombuffer(b"".join(parts), np.uint32).reshape(-1, 2).astype(np.int64).T
                 at.append(np.unique(f + np.repeat(s - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())))
             at = np.concatenate(at)
-            key, stretch = (Rolling(words, base).of(at, at + window) for base in (_B1, _B2))
+            key, stretch = (Rolling(*x).of(at, at + window) for x in ((named, _B1), (compared, _B2)))
             yield _once(_sent, at, np.ones(len(at), np.int64), key, stretch, ids, crcs, first, buckets)
 
     more = materialise(_dealt(asked.mapInArrow(windows, _SENT), buckets).where("not mixed"), "repeats")

@@ -292,12 +292,30 @@ def test_substrings_awkward(awkward, empty):
 def test_equal_windows_have_equal_keys(shared, before, after):
     one, two = np.array(shared, np.uint64) + 7, np.array([*before, *shared, *after], np.uint64) + 7
     words, ends = np.concatenate([one, two]), np.array([len(one), len(one) + len(two)])
-    start, many, key, _ = S.segments(words, ends)
+    start, many, key, _ = S.segments(words, words * 3, ends)
     of = {int(s) + k: int(x) for s, n, x in zip(start, many, key, strict=True) for k in range(n)}
     for k in range(len(one) - S.WINDOW + 1):
         assert of[k] == of[len(one) + len(before) + k]
 
 
+def test_shared_passages_share_names():
+    """Blocks within a shared passage have one name in all texts, others' names differ; names rest on the reach alone."""
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 1 << 63, 60, np.uint64)
+    texts = [np.concatenate([rng.integers(0, 1 << 63, rng.integers(5, 40), np.uint64), passage, rng.integers(0, 1 << 63, 30, np.uint64)]) for _ in range(6)]
+    ends = np.cumsum([len(t) for t in texts])
+    words = np.concatenate(texts)
+    lo, hi, name = S.recompress(words, ends)
+    named, reach = defaultdict(set), defaultdict(set)
+    for a, b, x in zip(lo.tolist(), hi.tolist(), name.tolist(), strict=True):
+        if a >= 0 and b <= len(words):
+            named[x].add(tuple(words[a:b].tolist()))
+            reach[tuple(words[a:b].tolist())].add(x)
+    assert all(len(v) == 1 for v in named.values())
+    inside = [x for x, v in named.items() if set(next(iter(v))) <= set(passage.tolist())]
+    assert len(inside) >= 5 and all((name == np.uint64(x)).sum() == 6 for x in inside)
+
+
 # --- pipeline
 
 
