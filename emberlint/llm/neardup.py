@@ -246,20 +246,26 @@ def links_to_pivots(asked: DataFrame, ids: DataFrame, sets: DataFrame, percent:
 
 
 def dealt(members: DataFrame, group: str, blocks) -> DataFrame:
-    """Rows of ``members`` (group, node, label, ...) for an exact comparison of those with different labels: adds block, turn.
+    """Rows of ``members`` (group, node, label, ...) for an exact comparison of those with different labels: adds block, part, turn.
 
     The members of a group's most frequent label stay in one block each; the others stay in one and visit the rest, so
     every two members with different labels meet. Turn 0 is at home and of that label, 1 at home, 2 a visitor.
-    ``blocks`` gives the number of blocks from size, the group's rows.
+    Visitors are dealt over parts of some ``BLOCK`` each, and a block stands in all its group's parts; its own members
+    meet each other in part 0. ``blocks`` gives the number of blocks from size, the group's rows.
     """
     by_label = members.groupBy(group, "label").agg(F.count("*").alias("n"))
-    sums = by_label.groupBy(group).agg(F.sum("n").alias("size"), F.count("*").alias("labels"), F.max(F.struct("n", "label"))["label"].alias("main"))
-    out = members.join(sums.where("labels > 1").select(group, "size", "main"), group).withColumn("blocks", blocks)
+    sums = by_label.groupBy(group).agg(F.sum("n").alias("size"), F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("most"))
+    sums = sums.where("labels > 1").select(group, "size", F.col("most.label").alias("main"), (F.col("size") - F.col("most.n")).alias("others"))
+    out = members.join(sums, group).withColumn("blocks", blocks)
     home = F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks"))
-    others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    out = out.withColumn("home", home).withColumn("block", F.explode(F.when(F.col("label") == F.col("main"), F.array("home")).otherwise(others)))
+    zero = F.lit(0).cast("long")
+    everywhere = F.sequence(zero, F.col("blocks") - 1)
+    out = out.withColumn("home", home).withColumn("block", F.explode(F.when(F.col("label") == F.col("main"), F.array("home")).otherwise(everywhere)))
     turn = F.when(F.col("block") != F.col("home"), 2).when(F.col("label") == F.col("main"), 0).otherwise(1)
-    return out.withColumn("turn", turn).drop("blocks", "home", "main", "size")
+    parts = F.when(F.col("blocks") > 1, F.ceil(F.col("others") / BLOCK)).otherwise(1).cast("long")
+    its = F.when(F.col("turn") == 2, F.array(F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")))).otherwise(F.sequence(zero, F.col("parts") - 1))
+    out = out.withColumn("turn", turn).withColumn("parts", parts).withColumn("part", F.explode(its))
+    return out.drop("blocks", "parts", "home", "main", "size", "others")
 
 
 def _blocks(batches, keys: list[str], columns: list[str]):
@@ -356,10 +362,11 @@ def plausible_links(nodes: DataFrame, met: DataFrame, labels: DataFrame) -> Data
 
     def run(batches):
         chain = Chain()
-        for home, rows in _blocks(batches, ["bucket", "block"], ["node", "label", "n_shingles", "registers"]):
+        for home, rows in _blocks(batches, ["bucket", "block", "part"], ["part", "node", "label", "n_shingles", "registers"]):
             if rows is None:
                 home["registers"] = np.frombuffer(b"".join(home["registers"]), np.uint16).reshape(-1, REGISTERS)
-                chain.meet(home, home, *np.triu_indices(len(home["node"]), 1))
+                if home["part"][0] == 0:
+                    chain.meet(home, home, *np.triu_indices(len(home["node"]), 1))
                 continue
             rows["registers"] = np.frombuffer(b"".join(rows["registers"]), np.uint16).reshape(-1, REGISTERS)
             for k in range(len(rows["node"])):
@@ -367,8 +374,8 @@ def plausible_links(nodes: DataFrame, met: DataFrame, labels: DataFrame) -> Data
         chain.judge()
         yield _stars(chain.forest)
 
-    fields = ["bucket", "block", "visits", "node", "label", "n_shingles", "registers"]
-    placed = placed.withColumn("visits", F.col("turn") == 2).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "visits")
+    fields = ["bucket", "block", "part", "visits", "node", "label", "n_shingles", "registers"]
+    placed = placed.withColumn("visits", F.col("turn") == 2).repartition("bucket", "block", "part").sortWithinPartitions("bucket", "block", "part", "visits")
     return placed.select(*fields).mapInArrow(run, "a binary, b binary")
 
 
@@ -399,10 +406,10 @@ def verified_links(clusters: DataFrame, sets: DataFrame, percent: int = PERCENT)
 
     def run(batches):
         forest = Forest()
-        for home, rows in _blocks(batches, ["cluster", "block"], ["node", "label", "turn", "shingles"]):
+        for home, rows in _blocks(batches, ["cluster", "block", "part"], ["part", "node", "label", "turn", "shingles"]):
             if rows is None:
                 index = Postings([np.frombuffer(x, np.uint64) for x in home["shingles"]])
-                ask = np.flatnonzero(home["turn"] == 1).tolist()
+                ask = np.flatnonzero((home["turn"] == 1) & (home["part"] == 0)).tolist()
                 rows = home
             else:
                 ask = range(len(rows["node"]))
@@ -414,8 +421,8 @@ def verified_links(clusters: DataFrame, sets: DataFrame, percent: int = PERCENT)
                         forest.join(its, home["label"][k])
         yield _stars(forest)
 
-    fields = ["cluster", "block", "visits", "turn", "node", "label", "shingles"]
-    placed = placed.withColumn("visits", F.col("turn") == 2).repartition("cluster", "block").sortWithinPartitions("cluster", "block", "visits")
+    fields = ["cluster", "block", "part", "visits", "turn", "node", "label", "shingles"]
+    placed = placed.withColumn("visits", F.col("turn") == 2).repartition("cluster", "block", "part").sortWithinPartitions("cluster", "block", "part", "visits")
     return placed.select(*fields).mapInArrow(run, "a binary, b binary")
 
 

@@ -229,6 +229,22 @@ def test_near_duplicates_awkward(awkward, empty):
     assert N.near_duplicates(empty).count() == 0 and N.keep_first(empty).count() == 0
 
 
+def test_members_meet_in_small_tiles(spark):
+    """Members of different labels meet in a tile; no tile holds much more than two blocks, whoever the visitors are."""
+    label = {f"n{k}": 0 if k < 900 else k % 700 for k in range(3000)}
+    members = spark.createDataFrame([(1, n.encode(), v) for n, v in label.items()], "cluster long, node binary, label long")
+    tiles = defaultdict(lambda: ([], []))
+    for r in N.dealt(members, "cluster", F.ceil(F.col("size") / N.BLOCK)).collect():
+        tiles[r.block, r.part][r.turn == 2].append((bytes(r.node).decode(), r.turn))
+    assert max(len(a) + len(b) for a, b in tiles.values()) < 3 * N.BLOCK
+    met = set()
+    for (_, part), (home, visitors) in tiles.items():
+        ask = visitors + [x for x in home if x[1] == 1 and part == 0]
+        met.update(frozenset((a, b)) for a, _ in ask for b, _ in home if label[a] != label[b])
+    n, sizes = len(label), Counter(label.values())
+    assert len(met) == (n * n - sum(v * v for v in sizes.values())) // 2
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(1)
     a, b = (np.unique(rng.integers(0, 2**63, 3000, np.uint64)) for _ in range(2))
