@@ -70,6 +70,24 @@ def test_stand_ins_at_word_ends(said):
     assert all(model.score(x) < 0.5 for x in ("455", "4 55", "in 2024!", "hat 3", "a 55", "hate speech!", "hat3 speech!", "hat3 sp33ch"))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("abi .-é", max_size=40), st.dictionaries(st.from_regex(r"\A[abi]{1,5}\*?\Z"), st.sampled_from([1.5, 2.0, 3.0, 4.0]), max_size=8))
+def test_matches_are_those_of_a_plain_search(text, weights):
+    """The automaton finds at each word's start the heaviest term that stands there, and scores by these only."""
+    model, folded, want = X.Model(weights, frozenset(), -2.0, (1.0, 0.5, 0.25)), X.fold(text), {}
+    for at in range(len(folded)):
+        if at and folded[at - 1].isalnum():
+            continue
+        for term, weight in weights.items():
+            end = at + len(term.rstrip("*"))
+            if folded[at:end] == term.rstrip("*") and (term[-1] == "*" or end == len(folded) or not folded[end].isalnum()):
+                want[at] = max(weight, want.get(at, 0.0))
+    assert {at: weights[t] for at, t in model.hits(folded)} == want
+    total, n = sum(want.values()), folded.count(" ") + 1
+    z = -2.0 + np.log1p(total) + 0.5 * total / np.sqrt(n) + 0.25 * max(want.values(), default=0.0)
+    assert abs(model.score(text) - 1 / (1 + np.exp(-z))) < 1e-12
+
+
 def test_toxicity_awkward(spark, awkward, empty):
     _, labels = _labelled(spark, 10)
     for rows in (labels.limit(0), labels.where("toxic = 0"), spark.createDataFrame([(None, 1), (1, None)], labels.schema)):

@@ -13,6 +13,7 @@ from emberlint.llm import counts as C
 from emberlint.llm import decontam as D
 from emberlint.llm import htmltext as H
 from emberlint.llm import neardup as N
+from emberlint.llm import packing as G
 from emberlint.llm import pii as P
 from emberlint.llm import quality as Q
 from emberlint.llm import substring as S
@@ -192,6 +193,10 @@ def test_texts_of_a_megabyte(spark):
     assert hit == {1: 20, 2: 20, 3: 0, 4: 0}
     assert C.with_token_counts(docs, {"v": K.default_tokenizer()}).where("v > 0").count() == 4
     assert Q.with_metrics(docs).count() == 4
+    model = X.Model({"word": 3.0}, frozenset(), -3.0, (2.0, 0.0, 1.0))
+    assert {r.doc_id for r in X.score_documents(docs, model).where("toxicity_score > 0.7").collect()} == {4}
+    pieces = G.pack_documents(docs).groupBy("doc_id").agg(F.sum("length").alias("n"), F.count("*").alias("pieces")).collect()
+    assert {r.doc_id for r in pieces} == {1, 2, 3, 4} and all(r.pieces == -(-r.n // G.CAPACITY) for r in pieces)
 
 
 def test_clashing_names(spark, frame):
