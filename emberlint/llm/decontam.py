@@ -273,11 +273,15 @@ def _cut(batch: pa.RecordBatch, texts: list[bytes], spans: list[list[tuple[int,
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with leaked spans cut out of ``text``; documents of which no word is left are dropped, clean ones stay as they are."""
+    """``docs`` with leaked spans cut out of ``text``; documents of which no word is left are dropped, clean ones stay as they are.
+
+    Null and empty texts are clean; repeated rows are cut alike; an empty benchmark leaves all as it is.
+    """
     return find_leaks(docs, benchmark, cut=True)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hit words and items of each row of ``documents``; null and empty texts have none, repeated rows count alike, an empty table gives no rows."""
     found = find_leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
     hit = F.aggregate("leak_hit_spans", F.lit(0).cast("long"), lambda n, x: n + (x["end"] - x["start"]))
     return found.select(

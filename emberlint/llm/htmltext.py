@@ -433,4 +433,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of each row of ``pages``; null and empty html has an empty one, repeated rows have the same, an empty table gives no rows."""
     return extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))

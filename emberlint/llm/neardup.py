@@ -526,4 +526,5 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all rows of ``documents``; null and empty texts stand alone, exactly 0.75 links, a null id is never the least, an empty table gives no rows."""
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text")).drop("crc")

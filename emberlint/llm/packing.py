@@ -178,7 +178,10 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> dict[int,
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to written pieces. An empty frame stays empty."""
+    """Add sequence_id and offset to written pieces. An empty frame stays empty.
+
+    Pieces of equal length are interchangeable: the task that wrote them and their order in it settle which stands where; repeated rows are each placed.
+    """
     spark = pieces.sparkSession
     counted = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
@@ -210,9 +213,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
-    """Tokenise, cut and pack ``docs`` (doc_id, text; other columns are ignored)."""
+    """Tokenise, cut and pack ``docs`` (doc_id, text; other columns are ignored).
+
+    Null and empty texts are the end id alone; rows with null or equal ids are documents of their own; an empty frame gives no rows.
+    """
     return pack(materialise(cut_pieces(docs, capacity, tokenizer), "pieces"), capacity)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all rows of ``documents`` in their sequences; null and empty texts are one token, repeated rows are each packed, an empty table gives no rows."""
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -290,6 +290,7 @@ def pii_spans(docs: DataFrame) -> DataFrame:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of each row of ``documents``; null and empty texts have none, repeated rows have the same, an empty table gives no rows."""
     found = pii_spans(table(spark, sf_dir, "documents", "doc_id", "text"))
     of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

@@ -140,6 +140,7 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics and verdicts of each row of ``documents``; null and empty texts have no words and fail, values at a threshold pass, repeated rows are judged alike."""
     return judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
 
 

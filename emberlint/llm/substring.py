@@ -430,5 +430,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept words of each row of ``documents``; null and empty texts have none, of equal windows the first stays (see ``remove_repeats`` for equal and null ids)."""
     cut = remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -184,7 +184,7 @@ def part_starts(files: DataFrame) -> DataFrame:
 
 
 def token_digest(files: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) as read from token files."""
+    """(doc_id, start, n_tokens, ids_crc32) as read from token files, a row for each of theirs; empty files give no rows."""
 
     def run(batches):
         for b in batches:
@@ -208,5 +208,6 @@ def token_digest(files: DataFrame) -> DataFrame:
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each row of ``documents`` as its token file holds it; null texts are the end id alone, rows with equal ids follow in the order of their texts."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return token_digest(write_token_files(docs, scratch(spark, "tokens")))

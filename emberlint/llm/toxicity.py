@@ -328,6 +328,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for each row of ``documents``; null and empty texts have the foot of the curve, repeated rows score alike, an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
