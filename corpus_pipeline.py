@@ -21,28 +21,28 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold of a model fitted on the labelled ones among them."""
+    """Documents that score below the threshold of a model fitted on the labelled ones among them; null and empty texts stay, repeated rows go or stay together."""
     model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
     return toxicity.keep_clean(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, the one of least id; null and empty texts stay, rows that repeat id and text count once."""
     return neardup.keep_first(docs)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the spans that benchmark windows occur in; those that were nothing else go."""
+    """Documents without the spans that benchmark windows occur in; those that were nothing else go; null and empty texts stay."""
     return _counted(decontam.decontaminate(docs, table(spark, sf_dir, "benchmark", "item_id", "text")))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by the names of its kinds."""
+    """Documents with personal data replaced by the names of its kinds; all rows stay, null texts null."""
     return _counted(pii.mask_documents(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, placed in sequences."""
+    """Pieces of all documents, placed in sequences; null and empty texts are one token, repeated rows are each placed."""
     return packing.pack_documents(docs)
 
 
