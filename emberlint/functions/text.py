@@ -21,6 +21,11 @@ IDENTIFIER = r"\b[A-Za-z_][A-Za-z0-9_]*\b"
 CALL = r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\("
 
 
+def once(x: Column, use) -> Column:
+    """``use`` of ``x``, which is worked out once a row however often ``use`` names it; within branches and lambdas the optimizer repeats it."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def strip(x: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(x, r"^\s+|\s+$", "")

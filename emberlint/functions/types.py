@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from emberlint.functions import values as V
-from emberlint.functions.text import strip
+from emberlint.functions.text import once, strip
 
 
 def clean_type(x: Column) -> Column:
@@ -18,26 +18,26 @@ def clean_type(x: Column) -> Column:
 
 def type_category(x: Column) -> Column:
     """One of 14 categories; the order of the rules counts."""
-    s = clean_type(x)
-    low = F.lower(s)
-    words = F.split(low, " ")
-    some = lambda known: F.arrays_overlap(words, F.array(*map(F.lit, known)))
-    return (
-        F.when(x.isNull() | (x == ""), "T_UNKNOWN")
-        .when(s.endswith("&"), "T_REF")
-        .when(s.contains("*"), "T_PTR")
-        .when(s.contains("[") & s.contains("]"), "T_ARRAY")
-        .when(s.contains("(") & s.contains(")"), "T_FUNC")
-        .when(s.contains("<") & s.contains(">"), "T_TEMPLATE")
-        .when(s.startswith("std::"), "T_STD")
-        .when(s.contains("::"), "T_NAMESPACE")
-        .when(low == "void", "T_VOID")
-        .when(low == "bool", "T_BOOL")
-        .when(low.isin(*V.CHAR_WORDS), "T_CHAR")
-        .when(low.isin(*V.FLOAT_WORDS) | some(V.FLOAT_WORDS), "T_FLOAT")
-        .when(some(V.INT_WORDS), "T_INT")
-        .otherwise("T_USER")
-    )
+    word = lambda s, known: s.rlike(f"(^| )({'|'.join(w for w in known if ' ' not in w)})( |$)")
+
+    def category(s: Column, low: Column) -> Column:
+        return (
+            F.when(s.endswith("&"), "T_REF")
+            .when(s.contains("*"), "T_PTR")
+            .when(s.contains("[") & s.contains("]"), "T_ARRAY")
+            .when(s.contains("(") & s.contains(")"), "T_FUNC")
+            .when(s.contains("<") & s.contains(">"), "T_TEMPLATE")
+            .when(s.startswith("std::"), "T_STD")
+            .when(s.contains("::"), "T_NAMESPACE")
+            .when(low == "void", "T_VOID")
+            .when(low == "bool", "T_BOOL")
+            .when(low.isin(*V.CHAR_WORDS), "T_CHAR")
+            .when(low.isin(*V.FLOAT_WORDS) | word(low, V.FLOAT_WORDS), "T_FLOAT")
+            .when(word(low, V.INT_WORDS), "T_INT")
+            .otherwise("T_USER")
+        )
+
+    return F.when(x.isNull() | (x == ""), "T_UNKNOWN").otherwise(once(clean_type(x), lambda s: category(s, F.lower(s))))
 
 
 def header_category(x: Column) -> Column:

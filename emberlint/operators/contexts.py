@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from emberlint.functions.text import once
 from emberlint.functions.types import header_category, type_category
 
 _TEXTS = "array<string>"
@@ -79,9 +80,9 @@ def _total(m: Column) -> Column:
 
 def _by_category(entries: Column) -> Column:
     """Map of category to sum, categories in order of appearance, from an array of (category, n)."""
-    kinds = F.array_distinct(F.transform(entries, lambda e: e["cat"]))
-    summed = lambda c: F.aggregate(F.filter(entries, lambda e: e["cat"] == c), F.lit(0).cast("long"), lambda a, e: a + e["n"])
-    return F.map_from_arrays(kinds, F.transform(kinds, summed))
+    summed = lambda of, c: F.aggregate(of, F.lit(0).cast("long"), lambda a, e: a + F.when(e["cat"] == c, e["n"]).otherwise(0))
+    kinds = lambda of: F.array_distinct(F.transform(of, lambda e: e["cat"]))
+    return once(entries, lambda of: once(kinds(of), lambda ks: F.map_from_arrays(ks, F.transform(ks, lambda c: summed(of, c)))))
 
 
 def _prefixed(prefix: str, m: Column) -> Column:

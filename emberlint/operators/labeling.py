@@ -47,7 +47,7 @@ def variable_spelling(only: str | None = None) -> Column:
     kind, control = closest(ident, V.TYPE_WORDS), closest(ident, V.CONTROL_WORDS)
     others = F.when(ident.isNotNull(), F.array_remove(X.identifier_candidates(F.col(SOURCE), F.col(LINE)), ident))
     control_typo = P.keyword_typo(ident, control["name"], control["score"])
-    type_like = P.type_like(line, ident)
+    type_like = X.once(line, lambda x: P.type_like(x, ident))
     return _chain(
         (ident.isNull(), None),
         (ident.rlike("[^A-Za-z0-9_]"), label),
@@ -81,15 +81,18 @@ def function_spelling(known: tuple[str, ...] | None = None, only: str | None = N
 def wrong_construction() -> Column:
     """A construction of a C2146 that lacks an operator or separator."""
     ident = D.identifier_after_token(F.col(TEXT))
-    line = X.focus_line(_window(1), ident)
-    wrong = (
-        P.missing_shift(line)
-        | P.for_without_semicolons(line)
-        | P.missing_separator_in_call(line, ident)
-        | P.missing_operator_in_condition(line, ident)
-        | P.missing_comma_in_declaration(line, ident)
-    )
-    return _chain(((F.col(CODE) == "C2146") & ident.isNotNull() & wrong, "INCORRECT_CONSTRUCTION_OR_SYMBOLS"))
+
+    def wrong(line: Column, ident: Column) -> Column:
+        return (
+            P.missing_shift(line)
+            | P.for_without_semicolons(line)
+            | P.missing_separator_in_call(line, ident)
+            | P.missing_operator_in_condition(line, ident)
+            | P.missing_comma_in_declaration(line, ident)
+        )
+
+    found = X.once(ident, lambda i: X.once(F.when(i.isNotNull(), X.focus_line(_window(1), i)), lambda line: i.isNotNull() & wrong(line, i)))
+    return F.when(F.col(CODE) == "C2146", _chain((found, "INCORRECT_CONSTRUCTION_OR_SYMBOLS")))
 
 
 def failing_cast() -> Column:
@@ -131,17 +134,13 @@ def best_type(quoted: Column, op: Column) -> Column:
 def operator_expression() -> Column:
     """A C2676 whose expression, not its operator, is wrong, by the type's kind and the operator."""
     op, quoted = D.operator_and_quoted(F.col(TEXT))
-    first = F.get(quoted, F.lit(0))
-    op = F.coalesce(op, F.when(first.isin(*V.OPERATORS), first))
-    kind = best_type(quoted, op)
-    outer = Y.outer_type(kind)
-    some = lambda k: P.is_kind(outer, k) | P.is_kind(kind, k) | P.is_kind(F.col(TEXT), k)
-    stream = lambda k: P.is_kind(F.col(TEXT), k) | P.is_kind(kind, k)
-    plain = (outer != "") & ~P.is_kind(outer, "container") & ~stream("ostream") & ~stream("istream")
     label = "FIX_EXPR_FOR_OPERATOR"
-    return F.when(
-        F.col(CODE) == "C2676",
-        _chain(
+
+    def by_kind(op: Column, kind: Column, outer: Column) -> Column:
+        some = lambda k: P.is_kind(outer, k) | P.is_kind(kind, k) | P.is_kind(F.col(TEXT), k)
+        stream = lambda k: P.is_kind(F.col(TEXT), k) | P.is_kind(kind, k)
+        plain = (outer != "") & ~P.is_kind(outer, "container") & ~stream("ostream") & ~stream("istream")
+        return _chain(
             (op.isNull(), None),
             (stream("ostream") & op.isin("<", ">", ">>", ">>=", "<<="), None),
             (stream("istream") & op.isin("<", ">", "<<", ">>=", "<<="), None),
@@ -152,8 +151,14 @@ def operator_expression() -> Column:
             ((op == "[") & (some("not_indexable") | (some("container") & ~some("indexable"))), label),
             (op.isin(*V.ARITHMETIC) & some("container"), label),
             (plain & op.isin(*V.ARITHMETIC, *V.COMPARISONS, "++", "--", "&", "|", "^", "&&", "||"), label),
-        ),
-    )
+        )
+
+    def by_parts(parts: Column) -> Column:
+        first = F.get(parts["quoted"], F.lit(0))
+        found = F.coalesce(parts["op"], F.when(first.isin(*V.OPERATORS), first))
+        return X.once(found, lambda op: X.once(best_type(parts["quoted"], op), lambda kind: X.once(Y.outer_type(kind), lambda outer: by_kind(op, kind, outer))))
+
+    return F.when(F.col(CODE) == "C2676", X.once(F.struct(op.alias("op"), quoted.alias("quoted")), by_parts))
 
 
 def left_operand() -> Column:

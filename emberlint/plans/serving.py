@@ -26,6 +26,7 @@ def recommend(submissions: DataFrame, codes: DataFrame, recommendations: DataFra
 
     rows = labelled(submissions.withColumn("is_in_train", F.lit(1)))
     known = rows.join(F.broadcast(codes), "error_code")
-    match = (known["label_code"] == recommendations["recommendation_code"]) & (known["error_code_id"] == recommendations["error_code_id"])
-    found = known.join(F.broadcast(recommendations.select("recommendation_id", "recommendation_code", "error_code_id")), match)
+    # One key of both parts: a key of its own for the label would be tested for null below the labels, which doubles their work.
+    named = recommendations.where("recommendation_code is not null").select("recommendation_id", F.struct("recommendation_code", "error_code_id").alias("_of"))
+    found = known.join(F.broadcast(named), F.struct(known["label_code"].alias("recommendation_code"), known["error_code_id"]) == F.col("_of"))
     return explained(found.select("row_id", F.col("recommendation_id").alias("label")), recommendations)

@@ -36,9 +36,11 @@ def with_features(df: DataFrame, contexts: DataFrame) -> DataFrame:
 def training_rows(df: DataFrame, codes: DataFrame, recommendations: DataFrame) -> DataFrame:
     """Rows with the id of their label; labels that their code doesn't have are dropped. Both dimensions are of fixed size."""
     known = df.join(F.broadcast(codes), "error_code")
-    match = (known["label_code"] == recommendations["recommendation_code"]) & (known["error_code_id"] == recommendations["error_code_id"])
+    # One key of both parts: a key of its own for the label would be tested for null below the labels, which doubles their work.
+    named = recommendations.where("recommendation_code is not null").select("recommendation_id", F.struct("recommendation_code", "error_code_id").alias("_of"))
+    match = F.struct(known["label_code"].alias("recommendation_code"), known["error_code_id"]) == named["_of"]
     names = ["error_text", "error_text_tokens", "error_code", "error_line", "source_code", "ctx_tokens", "ctx_numeric", "is_in_train"]
-    joined = known.join(F.broadcast(recommendations), match)
+    joined = known.join(F.broadcast(named), match)
     return joined.select(F.col("recommendation_id").alias("label"), *(known[n] for n in names if n in known.columns))
 
 
