@@ -507,6 +507,42 @@ def e8_directive_class(spark, sf):
     return events(spark, sf).select("event_id", X.directive_class(_pick(_LINES)).alias("class"))
 
 
+#: A diagnostic of each code and what must become of it, written by hand; @ stands for a name, # for a type, both of which vary by row.
+_SAID = (
+    ("C2065: @: необъявленный идентификатор", "C2065: <IDENT>: необъявленный идентификатор"),
+    ("C3861: @: идентификатор не найден", "C3861: <FUNC>: идентификатор не найден"),
+    ("C2672: @: соответствующая перегруженная функция не найдена", "C2672: <FUNC>: соответствующая перегруженная функция не найдена"),
+    ('C2039: "@": не является членом "#"', "C2039: <IDENT>: не является членом <DECL>"),
+    ('C2143: синтаксическая ошибка: отсутствие ")" перед "@"', "C2143: синтаксическая ошибка: отсутствие <TOKEN> перед <IDENT>"),
+    ('C2143: синтаксическая ошибка: отсутствие ";" перед "константа"', "C2143: синтаксическая ошибка: отсутствие <TOKEN> перед <LITER>"),
+    ('C2146: синтаксическая ошибка: отсутствие ";" перед идентификатором "@"', "C2146: синтаксическая ошибка: отсутствие <TOKEN> перед идентификатором <IDENT>"),
+    ("C2059: синтаксическая ошибка: @", "C2059: синтаксическая ошибка: <IDENT>"),
+    ("C2059: синтаксическая ошибка: строка", "C2059: синтаксическая ошибка: <LITER>"),
+    ('C2144: синтаксическая ошибка: перед "#" требуется ";"', "C2144: синтаксическая ошибка: перед <TYPE> требуется <TOKEN>"),
+    ('C2187: синтаксическая ошибка: непредвиденный "@"', "C2187: синтаксическая ошибка: непредвиденный <IDENT>"),
+    ('C1075: "{": не найдена соответствующая лексема', "C1075: <BRACE>: не найдена соответствующая лексема"),
+    ("C2131: выражение не определяется константой", "C2131: выражение не определяется константой"),
+    ("C2148: общий размер массива слишком велик", "C2148: общий размер массива слишком велик"),
+    ("C2181: недопустимый else без соответствующего if", "C2181: недопустимый else без соответствующего if"),
+    ('C2440: инициализация: невозможно преобразовать "#" в "int"', "C2440: <CONTEXT> невозможно преобразовать <TYPE_1> в <TYPE_2>"),
+    ('C2446: ==: нет преобразования "#" в "int"', "C2446: <OPER>: нет преобразования <TYPE_1> в <TYPE_2>"),
+    ('C2676: бинарный "+": "#" не определяет этот оператор', "C2676: бинарный <OPER>: <TYPE> не определяет этот оператор"),
+    ('C2678: бинарный ">>": не найден оператор, принимающий левый операнд типа "#"', "C2678: бинарный <OPER>: не найден оператор, принимающий левый операнд типа <TYPE>"),
+    ('C2679: бинарный "<<": не найден оператор, принимающий правый операнд типа "#"', "C2679: бинарный <OPER>: не найден оператор, принимающий правый операнд типа <TYPE>"),
+    ("C2064: результатом фрагмента не является функция, принимающая 3 аргументов", "C2064: результатом фрагмента не является функция, принимающая <NUM> аргументов"),
+    ("C1083: Не удается открыть файл включение: @.h: No such file or directory", "C1083: Не удается открыть файл включение: <PATH>"),
+    ("C2106: =: левый операнд должен быть левосторонним значением", "C2106: <OPER>: левый операнд должен быть левосторонним значением"),
+    ("C9999: @: другое", ""),
+)
+
+
+@query(f"SELECT event_id, {_case(tuple(after for _, after in _SAID))} AS said FROM events")
+def t6_every_code(spark, sf):
+    kind = F.element_at(F.array(*map(F.lit, ("int", "const char *", "std::pair<int,int>", "Foo"))), (F.col("user_id") % 4 + 1).cast("int"))
+    text = F.replace(F.replace(_pick(tuple(before for before, _ in _SAID)), F.lit("@"), F.concat(F.lit("имя_v"), F.col("user_id"))), F.lit("#"), kind)
+    return events(spark, sf).select("event_id", D.normalize_error(text).alias("said"))
+
+
 @query("SELECT event_id, CASE event_id % 2 WHEN 0 THEN '<<' END AS op FROM events")
 def e6_operator_spelling(spark, sf):
     tokens = F.when(F.col("event_id") % 2 == 0, F.array(F.lit("x"), F.lit("<<"), F.lit("+"))).otherwise(F.array(F.lit("x"), F.lit(";")))
