@@ -62,8 +62,9 @@ def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
 
 #: Ratios that thresholds are kept for, with the least spread that counts as one (a ratio that is 0 nearly everywhere has none).
 RATIOS = {"symbols_a_word": 0.05, "repeated_share": 0.05, "duplicate_lines_a_word": 0.005, "chars_a_word": 0.2}
-#: Accuracy of the sketches: exact up to about so many values, and of a rank error of about 1 / SKETCH_K beyond.
-SKETCH_K = 1024
+#: Bins of a sketch are as wide as a least spread by so many, and wider in proportion to values beyond eight such spreads.
+BINS = 1024
+_EXACT_BITS = 13
 #: Groups with fewer documents use their language's thresholds, languages with fewer those of all.
 LEAST_GROUP = 100
 #: A document is out if a ratio is further than so many quartile ranges outside of the quartiles.
@@ -83,38 +84,72 @@ def with_ratios(metrics: DataFrame) -> DataFrame:
     )
 
 
-def quantile_sketches(rated: DataFrame) -> DataFrame:
-    """A row for each lang and source: n and a mergeable quantile sketch of each ratio, over documents that pass the base rules."""
-    return (
-        rated.where("not base_failed")
-        .groupBy("lang", "source")
-        .agg(F.count("*").alias("n"), *(F.expr(f"kll_sketch_agg_double({r}, {SKETCH_K})").alias(r) for r in RATIOS))
+def _bin(value: Column, least: float) -> Column:
+    """The number of a value's bin: its first 13 bits in units of a bin's width, so bins are few however far values reach."""
+    units = F.floor(value * (BINS / least)).cast("long")
+    over = F.greatest(F.length(F.bin(units)) - _EXACT_BITS, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", units, over), over)
+
+
+def _sketched(bins: DataFrame, *by: str) -> DataFrame:
+    parts = F.struct("bin", "n", "least")
+    return bins.groupBy(*by).agg(
+        F.sum(F.when(F.col("ratio") == next(iter(RATIOS)), F.col("n"))).alias("n"),
+        *(F.array_sort(F.collect_list(F.when(F.col("ratio") == r, parts))).alias(r) for r in RATIOS),
     )
 
 
+def quantile_sketches(rated: DataFrame) -> DataFrame:
+    """A row for each lang and source: n and a mergeable quantile sketch of each ratio, over documents that pass the base rules.
+
+    A sketch is a sorted array of bins (bin, n, least value), some hundred thousand at most. Ranks are exact; a quantile is the
+    least value of its bin, so it is low by less than 1 / 1024 of the ratio's least spread, or than 1 / 4096 of itself if that is
+    more. Sums and minima merge in any order, so that tasks that run again, or other partitions, give the same sketch.
+    """
+    values = F.inline(F.array(*(F.struct(F.lit(r).alias("ratio"), F.col(r).alias("value"), _bin(F.col(r), least).alias("bin")) for r, least in RATIOS.items())))
+    bins = rated.where("not base_failed").select("lang", "source", values).groupBy("lang", "source", "ratio", "bin")
+    return _sketched(bins.agg(F.count("*").alias("n"), F.min("value").alias("least")), "lang", "source")
+
+
 def merged_sketches(sketches: DataFrame, *by: str) -> DataFrame:
     """Sketches of larger groups, from those of their parts alone; documents aren't read again."""
-    return sketches.groupBy(*by).agg(F.sum("n").alias("n"), *(F.expr(f"kll_merge_agg_double({r}, {SKETCH_K})").alias(r) for r in RATIOS))
+
+    def named(r: str) -> Column:
+        return F.transform(r, lambda x: F.struct(F.lit(r).alias("ratio"), x["bin"].alias("bin"), x["n"].alias("n"), x["least"].alias("least")))
+
+    bins = sketches.select(*by, F.inline(F.concat(*map(named, RATIOS)))).groupBy(*by, "ratio", "bin")
+    return _sketched(bins.agg(F.sum("n").alias("n"), F.min("least").alias("least")), *by)
+
+
+def _quantile(sketch: Column, n: Column, p: float) -> Column:
+    """The least value of the first bin with ``p`` of all values up to its end; null without values."""
+    start = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("double").alias("value"))
+
+    def step(a: Column, x: Column) -> Column:
+        upto = a["upto"] + x["n"]
+        return F.struct(upto.alias("upto"), F.coalesce(a["value"], F.when(upto >= n * p, x["least"])).alias("value"))
+
+    return F.aggregate(sketch, start, step, lambda a: a["value"])
 
 
 def thresholds(sketches: DataFrame) -> DataFrame:
     """(lang, source, low_<ratio>, high_<ratio>) for every group of ``sketches``."""
 
-    def limits(level: str) -> list[Column]:
-        out = []
+    def limits(level: DataFrame, *by: str) -> DataFrame:
+        low_high = []
         for r, least in RATIOS.items():
-            q = [F.expr(f"kll_sketch_get_quantile_double({level}.{r}, {p}d)") for p in (0.25, 0.75)]
+            q = [_quantile(F.col(r), F.col("n"), p) for p in (0.25, 0.75)]
             spread = REACH * F.greatest(q[1] - q[0], F.lit(least))
-            out += [(q[0] - spread).alias(f"low_{r}"), (q[1] + spread).alias(f"high_{r}")]
-        return out
+            low_high += [(q[0] - spread).alias(f"low_{r}"), (q[1] + spread).alias(f"high_{r}")]
+        return level.select(*by, "n", *low_high)
 
-    by_lang, by_all = merged_sketches(sketches, "lang"), merged_sketches(sketches)
-    levels = {"g": sketches.alias("g"), "l": by_lang.alias("l"), "a": by_all.alias("a")}
+    own = limits(sketches, "lang", "source").alias("g")
+    by_lang, by_all = limits(merged_sketches(sketches, "lang"), "lang").alias("l"), limits(merged_sketches(sketches)).alias("a")
     # A row for each language, and one for all.
-    joined = levels["g"].join(F.broadcast(levels["l"]), F.expr("g.lang <=> l.lang")).join(F.broadcast(levels["a"]), F.lit(True))
+    joined = own.join(F.broadcast(by_lang), F.expr("g.lang <=> l.lang")).join(F.broadcast(by_all), F.lit(True))
     chosen = [
-        F.when(F.col("g.n") >= LEAST_GROUP, g).when(F.col("l.n") >= LEAST_GROUP, x).otherwise(a).alias(name)
-        for g, x, a, name in zip(limits("g"), limits("l"), limits("a"), [f"{s}_{r}" for r in RATIOS for s in ("low", "high")], strict=True)
+        F.when(F.col("g.n") >= LEAST_GROUP, F.col(f"g.{x}")).when(F.col("l.n") >= LEAST_GROUP, F.col(f"l.{x}")).otherwise(F.col(f"a.{x}")).alias(x)
+        for x in (f"{s}_{r}" for r in RATIOS for s in ("low", "high"))
     ]
     return joined.select("g.lang", "g.source", *chosen)
 

@@ -89,6 +89,28 @@ def test_sketches_merge(spark):
     assert sketches.count() == 4 and merged.first().n == 40
 
 
+def test_quantiles(spark):
+    rng = random.Random(9)
+    many = {s: [(rng.choice([0.0, rng.random(), rng.lognormvariate(0, 3)])) for _ in range(n)] for s, n in (("a", 1), ("b", 7), ("c", 5000))}
+    rows = [(s, *[x] * len(Q.RATIOS)) for s, xs in many.items() for x in xs]
+    names = ", ".join(f"{r} double" for r in Q.RATIOS)
+    rated = spark.createDataFrame(rows, f"source string, {names}").selectExpr("'en' AS lang", "*", "false AS base_failed")
+    p = lambda r, x: Q._quantile(Q.F.col(r), Q.F.col("n"), x)
+    sketches = Q.quantile_sketches(rated)
+    again = Q.quantile_sketches(rated.repartition(7, "symbols_a_word"))
+    assert sorted(map(str, sketches.collect())) == sorted(map(str, again.collect()))
+    merged = Q.merged_sketches(sketches, "lang").withColumn("source", Q.F.lit(None).cast("string"))
+    many[None] = sum(many.values(), [])
+    for got in (sketches, merged):
+        for row in got.select("source", "n", *(p(r, x).alias(f"{r}{x}") for r in Q.RATIOS for x in (0.25, 0.75))).collect():
+            xs = sorted(many[row.source])
+            assert row.n == len(xs)
+            for r, least in Q.RATIOS.items():
+                for x in (0.25, 0.75):
+                    exact = xs[-(-int(4 * x) * len(xs) // 4) - 1]
+                    assert exact - max(least / 1024, exact / 4096) <= row[f"{r}{x}"] <= exact
+
+
 def test_quality_uses_no_python(spark):
     df = Q.op5(spark, "/root/testdata/sf0.001")
     assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
