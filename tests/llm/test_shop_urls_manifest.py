@@ -7,6 +7,7 @@ import zlib
 
 import pytest
 
+from emberlint.llm import manifest as M
 from emberlint.llm import retention as R
 
 CLICKS = "click_id long, ts timestamp_ntz, arrived_at timestamp_ntz, client_id long, kind string, value double, props string"
@@ -89,3 +90,61 @@ def test_retention_of_nothing(spark):
     assert R.retention(clicks, clients).collect() == []
     lone = spark.createDataFrame([(1, EPOCH, EPOCH, 1, "view", 1.0, None)], CLICKS)
     assert R.retention(lone, clients).collect() == []
+
+
+# --- manifest
+
+DOCS = "doc_id long, source string, lang string, n_chars long, text string"
+
+
+def sha(x):
+    return hashlib.sha256(x.encode()).hexdigest()
+
+
+def plain_leaf(row):
+    return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+
+def plain_tree(nodes, fan):
+    """Levels of digests, lowest first, until one is left."""
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        levels.append([sha("".join(levels[-1][i : i + fan])) for i in range(0, len(levels[-1]), fan)])
+    return levels
+
+
+def plain_manifest(docs, fan, altered):
+    by = {}
+    for d in docs:
+        by.setdefault(d[1], []).append((d[0] is not None, d[0] or 0, plain_leaf(d), d))
+    names = sorted(by, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {s: plain_tree([x[2] for x in sorted(by[s], key=lambda x: x[:3])], fan) for s in names}
+    top = plain_tree([trees[s][-1][0] for s in names], fan)
+    out = []
+    for pos, s in enumerate(names):
+        for k, (_, _, leaf, d) in enumerate(sorted(by[s], key=lambda x: x[:3])):
+            given = plain_leaf((*d[:4], None if d[4] is None else "".join(c.lower() if "A" <= c <= "Z" else c for c in d[4]))) if d[0] is not None and altered(d[0]) else leaf
+            said, node = "", given
+            for levels, at in ((trees[s], k), (top, pos)):
+                for nodes in levels[:-1]:
+                    lo = at - at % fan
+                    before, after = "".join(nodes[lo:at]), "".join(nodes[at + 1 : lo + fan])
+                    said, node, at = said + before + after, sha(before + node + after), at // fan
+            out.append((d[0], leaf, trees[s][-1][0], top[-1][0], sha(said), node, node == top[-1][0]))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("fan", "deep"), [(16, 3), (3, 1), (2, 2)])
+def test_manifest(spark, fan, deep):
+    rng = random.Random(fan)
+    docs = [(k, rng.choice(["hot", "hot", "hot", "b", "é", "", None]), rng.choice([None, "en"]), rng.choice([None, k]), rng.choice([None, "", "Aß x", f"Word {k}", "no capitals"])) for k in range(150)]
+    docs += [(5, "hot", None, None, "Twice")] * 20 + [(5, "hot", "x", 1, "other"), (None, "hot", None, None, None), (None, None, None, None, "T"), (400, "lone", "en", 3, "One"), (401, "hot", "en", 9, "Z" * 300_000)]
+    df = spark.createDataFrame(docs, DOCS).withColumn("place", M.F.lit("clash")).withColumn("tree", M.F.lit(1)).repartition(5)
+    got = M.manifest(df, M.F.crc32(M.F.col("doc_id").cast("string")) % 5 == 0, fan, deep)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == plain_manifest(docs, fan, lambda i: crc(i) % 5 == 0)
+
+
+def test_manifest_of_little(spark):
+    assert M.manifest(spark.createDataFrame([], DOCS)).collect() == []
+    (one,) = M.manifest(spark.createDataFrame([(1, "s", "en", 1, "A")], DOCS), M.F.lit(True)).collect()
+    assert one.leaf == one.subroot == one.root == plain_leaf((1, "s", "en", 1, "A")) and one.proof_sha256 == sha("") and not one.verified
