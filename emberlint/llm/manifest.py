@@ -168,7 +168,8 @@ def manifest(docs: DataFrame, tampered: Column | None = None, fan: int = FAN, de
     """
     lowered = F.when(F.coalesce(tampered, F.lit(False)), leaf_of(text=lower_ascii(F.col("text").cast("string")))) if tampered is not None else F.lit(None).cast("string")
     rows = docs.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("tree"), "doc_id", leaf_of().alias("node"), lowered.alias("given"))
-    return proofs(rows, fan, deep)
+    # Written before they are ordered: finding ranges reads its input twice, which should be digests and not texts.
+    return proofs(materialise(rows, "manifest-leaves"), fan, deep)
 
 
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:

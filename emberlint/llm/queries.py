@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from emberlint.llm import counts, decontam, htmltext, manifest, neardup, oracle, packing, pii, quality, retention, substring, tokens, toxicity
+from emberlint.llm import counts, decontam, htmltext, manifest, neardup, oracle, packing, pii, quality, retention, substring, tokens, toxicity, urlfilter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_counts": counts.op9,
     "op10_pii": pii.op10,
     "op11_retention": retention.op11,
+    "op12_url_filter": urlfilter.op12,
     "op13_manifest": manifest.op13,
 }
 ORACLE_SQL = {
@@ -24,5 +25,6 @@ ORACLE_SQL = {
     "op7_near_duplicates": oracle.OP7_SQL,
     "op8_substring_dedup": oracle.OP8_SQL,
     "op11_retention": retention.OP11_SQL,
+    "op12_url_filter": urlfilter.OP12_SQL,
     "op13_manifest": manifest.OP13_SQL,
 }

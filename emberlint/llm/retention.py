@@ -203,11 +203,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retention(table(spark, sf_dir, "clicks", *CLICK_COLUMNS), table(spark, sf_dir, "clients", "client_id", "city"))
 
 
-#: CRC-32 as SQL: an exclusive or for each byte, then eight steps of the polynomial 0xEDB88320.
 def crc32_sql(x: str) -> str:
-    digits = f"list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({x}, ''), lambda d: CAST(ascii(d) AS BIGINT)))"
+    """CRC-32 of a text as SQL: an exclusive or for each byte, then eight steps of the polynomial 0xEDB88320."""
+    data = f"list_transform(range(0, strlen({x})), lambda i: CAST('0x' || substr(hex({x}), 2 * i + 1, 2) AS BIGINT))"
     step = "list_reduce(list_prepend(xor(c, d), range(8)), lambda a, i: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)"
-    return f"xor(list_reduce({digits}, lambda c, d: {step}), 4294967295)"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {data}), lambda c, d: {step}), 4294967295)"
 
 
 OP11_SQL = f"""

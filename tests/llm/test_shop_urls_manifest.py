@@ -2,13 +2,16 @@
 
 import datetime as dt
 import hashlib
+import math
 import random
+import re
 import zlib
 
 import pytest
 
 from emberlint.llm import manifest as M
 from emberlint.llm import retention as R
+from emberlint.llm import urlfilter as U
 
 CLICKS = "click_id long, ts timestamp_ntz, arrived_at timestamp_ntz, client_id long, kind string, value double, props string"
 DAY = dt.timedelta(days=1)
@@ -148,3 +151,89 @@ def test_manifest_of_little(spark):
     assert M.manifest(spark.createDataFrame([], DOCS)).collect() == []
     (one,) = M.manifest(spark.createDataFrame([(1, "s", "en", 1, "A")], DOCS), M.F.lit(True)).collect()
     assert one.leaf == one.subroot == one.root == plain_leaf((1, "s", "en", 1, "A")) and one.proof_sha256 == sha("") and not one.verified
+
+
+# --- URL filter
+
+ODD_URLS = [
+    None, "", "no scheme", "://", "http://", "http://A.EXAMPLE.Org/es/x?y#z", "https://example.org/en/1", "https://example.org/en/2", "https://badexample.org/es/", "http://org/", "http://org", "http://x.com/fr", "http://x.com/fr/",
+    "http://x.com?/de/", "http://x.com#a/de/", "http://x.com/de/://y.org/", "ftp://É.Com:80/de/ü", "a\nb://x.com/de/\nq", "http://notcom/de/", "x://example.org.com/de/1", "HTTP://M.example.org/en/12?u=://z",
+]
+
+
+def plain_parts(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest)[0]
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), re.match(r"[^?#]*", rest[len(host) :])[0]
+
+
+def plain_rule(host, path, rules):
+    fits = [r for r in rules if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
+    best = max(fits, key=lambda r: (len(r[1] + r[2]), len(r[1])), default=None)
+    return (best[0], best[1] + best[2]) if best else (None, None)
+
+
+class PlainModel:
+    """The same regression, by its weights."""
+
+    def __init__(self, labelled):
+        rows = [(self.grams(*plain_parts(u)), y) for u, y in labelled]
+        self.w, self.bias = {}, 0.0
+        for _ in range(U.STEPS):
+            slope, constant = {}, 0.0
+            for x, y in rows:
+                left = y - self.score(x)
+                constant += left
+                for b in x:
+                    slope[b] = slope.get(b, 0) + left / math.sqrt(len(x))
+            keep = 1 - U.RATE * U.DECAY
+            self.w = {b: self.w.get(b, 0) * keep + U.RATE / len(rows) * slope.get(b, 0) for b in self.w.keys() | slope.keys()}
+            self.bias = self.bias * keep + U.BIAS * U.RATE / len(rows) * constant
+
+    @staticmethod
+    def grams(host, path):
+        s = f"^{host}{path.translate(str.maketrans('ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))}$"
+        return {zlib.crc32(s[i : i + n].encode()) % U.BUCKETS for n in U.GRAMS for i in range(len(s) - n + 1)}
+
+    def score(self, x):
+        return 1 / (1 + math.exp(-self.bias - sum(self.w.get(b, 0) for b in x) / math.sqrt(len(x))))
+
+
+def test_url_verdicts(spark):
+    labelled = [(u, 1) for u in U._site_urls(U._BLOCKED)[:30]] + [(u, 0) for u in U._site_urls(U._CLEAN)[:30]]
+    table = spark.createDataFrame([*labelled, labelled[0], (None, 1), ("http://x", None)], "url string, blocked int")
+    model, plain = U.fit(table), PlainModel(labelled)
+    urls = ODD_URLS + [f"http://{u}" for u in U._BLOCKED.split()[:40:3]] + ["http://x.com/de/" + "long/" * 100_000]
+    pages = spark.createDataFrame([(k, u, "clash", 5) for k, u in enumerate(urls)], "page_id long, url string, host string, score int")
+    got = {r.page_id: r for r in U.judge(pages, model).collect()}
+    assert len(got) == len(urls)
+    for k, u in enumerate(urls):
+        host, path = plain_parts(u)
+        verdict, rule = plain_rule(host, path, U.RULES)
+        score = plain.score(plain.grams(host, path))
+        assert (got[k].host, got[k].path, got[k].rule) == (host, path, rule)
+        assert got[k].score == pytest.approx(score, abs=1e-9) and got[k].verdict == (verdict or ("block" if score >= 0.5 else "allow"))
+    assert U.judge(pages.limit(0), model).count() == 0
+    with pytest.raises(ValueError, match="no labelled"):
+        U.fit(table.limit(0))
+
+
+def test_rules_that_tie(spark):
+    rules = (("allow", "b.org", "/a"), ("block", "org", "/a/b"), ("block", "a.b.org", "/"))
+    df = spark.createDataFrame([("http://a.b.org/a/b",), ("http://b.org/a/b",), ("http://b.org/x",)], "url string")
+    rule = U.rule_for(U.host_of(U.F.col("url")), U.path_of(U.F.col("url")), rules)
+    assert [r.rule for r in df.select(rule["rule"].alias("rule")).collect()] == ["a.b.org/", "b.org/a", None]
+
+
+def test_unseen_hosts(spark):
+    """Hosts of words that the table has in other company; and no Python in the plan."""
+    bad, good = U._BLOCKED.split(), U._CLEAN.split()
+    urls = [(f"https://{w}-{w2}.site.example/en/{k}", y) for y, words in ((1, bad), (0, good)) for k, (w, w2) in enumerate(zip(words, words[9:] + words[:9], strict=True))]
+    judged = U.judge(spark.createDataFrame(urls, "url string, y int"), U.fit(U.labelled_urls(spark)), rules=[("allow", "none", "/")])
+    right = judged.select(((U.F.col("verdict") == "block").cast("int") == U.F.col("y")).cast("double").alias("ok")).agg(U.F.avg("ok")).first()[0]
+    assert right > 0.95
+    pages = U.op12(spark, "/root/testdata/sf0.001")
+    plan = pages._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan and "ExistingRDD" not in plan and "html" not in plan
