@@ -13,7 +13,7 @@ from __future__ import annotations
 import html as _html
 import re
 from bisect import bisect_left
-from collections import Counter
+from collections import defaultdict
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -142,7 +142,7 @@ class Page:
         text: list[str] = []
         found: list[tuple[int, str, bool, int, int]] = []
         suspects = [0]  # of each container
-        opened: Counter[str] = Counter()
+        opened: defaultdict[str, list[int]] = defaultdict(list)  # of each name, the stack places of its open elements
         link, linked = False, 0
 
         def flush() -> None:
@@ -155,23 +155,21 @@ class Page:
 
         def leave(k: int) -> None:
             for x in stack[k:]:
-                opened[x[0]] -= 1
+                opened[x[0]].pop()
             del stack[k:]
 
         def close(names: tuple[str, ...], scopes=frozenset()) -> None:
-            if not any(opened[x] for x in names):
-                return
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in names:
-                    flush()
-                    leave(k)
-                    return
-                if stack[k][0] in scopes:
-                    return
+            # Innermost places are known by name, so nothing is walked however deep the stack is.
+            if (k := innermost(names)) and k >= innermost(scopes):
+                flush()
+                leave(k)
+
+        def innermost(names) -> int:
+            return max((opened[x][-1] for x in names if opened.get(x)), default=0)
 
         def push(*x) -> None:
+            opened[x[0]].append(len(stack))
             stack.append(x)
-            opened[x[0]] += 1
 
         at, end, tags = 0, len(source), Tags(source)
         while at < end:
@@ -190,9 +188,9 @@ class Page:
                     text.append(" ")
                 elif name in INLINE:
                     link = link and name != "a"
-                    if opened[name] > 0 and stack[-1][0] == name:
+                    if opened[name] and stack[-1][0] == name:
                         leave(len(stack) - 1)
-                elif opened[name] > 0:
+                elif opened[name]:
                     close((name,))
                 else:
                     flush()
@@ -213,7 +211,7 @@ class Page:
                     link = link or name == "a"
                     if attrs and name not in VOID and self._hidden(attrs):
                         push(name, stack[-1][1], True, stack[-1][3])
-                    elif name not in VOID and opened[name] > 0:
+                    elif name not in VOID and opened[name]:
                         push(name, *stack[-1][1:])
                     continue
                 flush()

@@ -11,6 +11,7 @@ SPACE = r"\x20\x09-\x0D"
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
 REPEATED_PERCENT = 50
+METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def _bits(x: Column, n: Column, left: bool) -> Column:
@@ -20,13 +21,16 @@ def _bits(x: Column, n: Column, left: bool) -> Column:
 def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns of ``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (long); null texts count as empty.
 
+    Columns of ``docs`` that have these names are replaced, others are kept whatever their names.
     Windows of three words that occur twice are found by one sort in each row: a window's hash and its place share
     a long, the place in as many low bits as the text needs, so equal windows stand together after sorting. Windows
     whose shortened hashes meet are then sorted by their words, so only equal words count.
     """
     said = F.coalesce(F.col(text).cast("string"), F.lit(""))
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
-    rows = docs.withColumn("_text", said).withColumn("_words", F.regexp_extract_all("_text", F.lit(f"([^{SPACE}]+)"), F.lit(1))).withColumn("_lines", lines)
+    kept = [c for c in docs.columns if c not in METRICS]
+    # The row's own columns wait in a struct, so that none can clash with a step's.
+    rows = docs.select((F.struct(*(F.col(f"`{c}`") for c in kept)) if kept else F.lit(None)).alias("_row"), said.alias("_text")).withColumn("_words", F.regexp_extract_all("_text", F.lit(f"([^{SPACE}]+)"), F.lit(1))).withColumn("_lines", lines)
     windows = F.size("_words") - 2
     rows = rows.withColumn("_bits", F.length(F.bin(F.greatest(windows, F.lit(1)).cast("long"))))
     word = lambda k: F.get("_words", k)
@@ -49,15 +53,14 @@ def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda a, k: F.struct((a["n"] + k + 3 - F.greatest(k, a["end"])).alias("n"), (k + 3).alias("end")),
         lambda a: a["n"],
     )
-    return rows.withColumns(
-        {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-            "n_symbols": F.regexp_count("_text", F.lit(f"[{SYMBOLS}]")).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": covered,
-        }
-    ).drop("_text", "_words", "_lines", "_bits", "_keys", "_met", "_again")
+    numbers = (
+        F.size("_words").cast("long"),
+        F.length(F.array_join("_words", "")).cast("long"),
+        F.regexp_count("_text", F.lit(f"[{SYMBOLS}]")).cast("long"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        covered,
+    )
+    return rows.select(*(F.col("_row")[c].alias(c) for c in kept), *(x.alias(c) for x, c in zip(numbers, METRICS, strict=True)))
 
 
 #: Ratios that thresholds are kept for, with the least spread that counts as one (a ratio that is 0 nearly everywhere has none).
@@ -65,8 +68,8 @@ RATIOS = {"symbols_a_word": 0.05, "repeated_share": 0.05, "duplicate_lines_a_wor
 #: Bins of a sketch are as wide as a least spread by so many, and wider in proportion to values beyond eight such spreads.
 BINS = 1024
 _EXACT_BITS = 13
-#: Groups with fewer documents use their language's thresholds, languages with fewer those of all.
-LEAST_GROUP = 100
+#: A group's quartiles are weighed by its documents, those of its language as so many, and the language's likewise with those of all.
+PRIOR = 100
 #: A document is out if a ratio is further than so many quartile ranges outside of the quartiles.
 REACH = 6.0
 
@@ -100,7 +103,7 @@ def _sketched(bins: DataFrame, *by: str) -> DataFrame:
 
 
 def quantile_sketches(rated: DataFrame) -> DataFrame:
-    """A row for each lang and source: n and a mergeable quantile sketch of each ratio, over documents that pass the base rules.
+    """A row for each lang and source, nulls included, and none for no documents: n and a mergeable quantile sketch of each ratio, over documents that pass the base rules.
 
     A sketch is a sorted array of bins (bin, n, least value), some hundred thousand at most. Ranks are exact; a quantile is the
     least value of its bin, so it is low by less than 1 / 1024 of the ratio's least spread, or than 1 / 4096 of itself if that is
@@ -112,7 +115,7 @@ def quantile_sketches(rated: DataFrame) -> DataFrame:
 
 
 def merged_sketches(sketches: DataFrame, *by: str) -> DataFrame:
-    """Sketches of larger groups, from those of their parts alone; documents aren't read again."""
+    """Sketches of larger groups, from those of their parts alone; documents aren't read again. Null is a value of ``by`` like any other; without parts there are no groups."""
 
     def named(r: str) -> Column:
         return F.transform(r, lambda x: F.struct(F.lit(r).alias("ratio"), x["bin"].alias("bin"), x["n"].alias("n"), x["least"].alias("least")))
@@ -133,25 +136,31 @@ def _quantile(sketch: Column, n: Column, p: float) -> Column:
 
 
 def thresholds(sketches: DataFrame) -> DataFrame:
-    """(lang, source, low_<ratio>, high_<ratio>) for every group of ``sketches``."""
-
-    def limits(level: DataFrame, *by: str) -> DataFrame:
-        low_high = []
-        for r, least in RATIOS.items():
-            q = [_quantile(F.col(r), F.col("n"), p) for p in (0.25, 0.75)]
-            spread = REACH * F.greatest(q[1] - q[0], F.lit(least))
-            low_high += [(q[0] - spread).alias(f"low_{r}"), (q[1] + spread).alias(f"high_{r}")]
-        return level.select(*by, "n", *low_high)
-
-    own = limits(sketches, "lang", "source").alias("g")
-    by_lang, by_all = limits(merged_sketches(sketches, "lang"), "lang").alias("l"), limits(merged_sketches(sketches)).alias("a")
-    # A row for each language, and one for all.
-    joined = own.join(F.broadcast(by_lang), F.expr("g.lang <=> l.lang")).join(F.broadcast(by_all), F.lit(True))
-    chosen = [
-        F.when(F.col("g.n") >= LEAST_GROUP, F.col(f"g.{x}")).when(F.col("l.n") >= LEAST_GROUP, F.col(f"l.{x}")).otherwise(F.col(f"a.{x}")).alias(x)
-        for x in (f"{s}_{r}" for r in RATIOS for s in ("low", "high"))
-    ]
-    return joined.select("g.lang", "g.source", *chosen)
+    """(lang, source, low_<ratio>, high_<ratio>) for every group of ``sketches``; none for none.
+
+    Quartiles are drawn towards those of the group's language as if ``PRIOR`` more documents had these, and the language's
+    towards those of all, so that a small group doesn't vouch for itself and no number of documents changes the rule. Null
+    is a language or a source like any other.
+    """
+
+    def quartiles(level: DataFrame, *by: str) -> DataFrame:
+        return level.select(*by, "n", *(_quantile(F.col(r), F.col("n"), p).alias(f"{r}_{k}") for r in RATIOS for k, p in enumerate((0.25, 0.75))))
+
+    def drawn(level: DataFrame, wider: DataFrame, met: Column) -> DataFrame:
+        both = level.alias("g").join(wider.alias("w"), met)
+        names = [f"{r}_{k}" for r in RATIOS for k in (0, 1)]
+        mixed = [((F.col("g.n") * F.col(f"g.{x}") + PRIOR * F.col(f"w.{x}")) / (F.col("g.n") + PRIOR)).alias(x) for x in names]
+        return both.select(*(f"g.{c}" for c in level.columns if c not in names), *mixed)
+
+    by_lang = merged_sketches(sketches, "lang")
+    of_all = F.broadcast(quartiles(merged_sketches(sketches)))  # one row
+    langs = drawn(quartiles(by_lang, "lang"), of_all, F.lit(True))
+    groups = drawn(quartiles(sketches, "lang", "source"), langs, F.expr("g.lang <=> w.lang"))
+    limits = []
+    for r, least in RATIOS.items():
+        spread = REACH * F.greatest(F.col(f"{r}_1") - F.col(f"{r}_0"), F.lit(least))
+        limits += [(F.col(f"{r}_0") - spread).alias(f"low_{r}"), (F.col(f"{r}_1") + spread).alias(f"high_{r}")]
+    return groups.select("lang", "source", *limits)
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -168,9 +177,8 @@ def judge(docs: DataFrame) -> DataFrame:
     for r in RATIOS:
         inside = inside & F.col(f"d.{r}").between(F.col(f"t.low_{r}"), F.col(f"t.high_{r}"))
     same = F.expr("d.lang <=> t.lang and d.source <=> t.source")
-    numbers = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return rated.alias("d").join(limits.alias("t"), same, "left").select(
-        "d.doc_id", *(f"d.{c}" for c in numbers), "d.base_failed", (~F.col("d.base_failed") & F.coalesce(inside, F.lit(True))).alias("kept")
+        "d.doc_id", *(f"d.{c}" for c in METRICS), "d.base_failed", (~F.col("d.base_failed") & F.coalesce(inside, F.lit(True))).alias("kept")
     )
 
 
@@ -205,12 +213,20 @@ WITH w AS (
   SELECT lang, source, grouping(lang) AS gl, grouping(source) AS gs, count(*) AS n,
     quantile_disc(r1, [0.25, 0.75]) AS q1, quantile_disc(r2, [0.25, 0.75]) AS q2, quantile_disc(r3, [0.25, 0.75]) AS q3, quantile_disc(r4, [0.25, 0.75]) AS q4
   FROM r WHERE NOT base_failed GROUP BY GROUPING SETS ((lang, source), (lang), ())
+), l AS (
+  SELECT g.lang,
+    [(g.n * g.q1[1] + 100 * w.q1[1]) / (g.n + 100), (g.n * g.q1[2] + 100 * w.q1[2]) / (g.n + 100)] AS q1,
+    [(g.n * g.q2[1] + 100 * w.q2[1]) / (g.n + 100), (g.n * g.q2[2] + 100 * w.q2[2]) / (g.n + 100)] AS q2,
+    [(g.n * g.q3[1] + 100 * w.q3[1]) / (g.n + 100), (g.n * g.q3[2] + 100 * w.q3[2]) / (g.n + 100)] AS q3,
+    [(g.n * g.q4[1] + 100 * w.q4[1]) / (g.n + 100), (g.n * g.q4[2] + 100 * w.q4[2]) / (g.n + 100)] AS q4
+  FROM (SELECT * FROM q WHERE gl = 0 AND gs = 1) g CROSS JOIN (SELECT * FROM q WHERE gl = 1 AND gs = 1) w
 ), t AS (
   SELECT g.lang, g.source,
-    CASE WHEN g.n >= 100 THEN g.q1 WHEN l.n >= 100 THEN l.q1 ELSE a.q1 END AS q1, CASE WHEN g.n >= 100 THEN g.q2 WHEN l.n >= 100 THEN l.q2 ELSE a.q2 END AS q2,
-    CASE WHEN g.n >= 100 THEN g.q3 WHEN l.n >= 100 THEN l.q3 ELSE a.q3 END AS q3, CASE WHEN g.n >= 100 THEN g.q4 WHEN l.n >= 100 THEN l.q4 ELSE a.q4 END AS q4
-  FROM (SELECT * FROM q WHERE gl = 0 AND gs = 0) g JOIN (SELECT * FROM q WHERE gl = 0 AND gs = 1) l ON g.lang IS NOT DISTINCT FROM l.lang
-    CROSS JOIN (SELECT * FROM q WHERE gl = 1 AND gs = 1) a
+    [(g.n * g.q1[1] + 100 * w.q1[1]) / (g.n + 100), (g.n * g.q1[2] + 100 * w.q1[2]) / (g.n + 100)] AS q1,
+    [(g.n * g.q2[1] + 100 * w.q2[1]) / (g.n + 100), (g.n * g.q2[2] + 100 * w.q2[2]) / (g.n + 100)] AS q2,
+    [(g.n * g.q3[1] + 100 * w.q3[1]) / (g.n + 100), (g.n * g.q3[2] + 100 * w.q3[2]) / (g.n + 100)] AS q3,
+    [(g.n * g.q4[1] + 100 * w.q4[1]) / (g.n + 100), (g.n * g.q4[2] + 100 * w.q4[2]) / (g.n + 100)] AS q4
+  FROM (SELECT * FROM q WHERE gl = 0 AND gs = 0) g JOIN l w ON g.lang IS NOT DISTINCT FROM w.lang
 )
 SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce(

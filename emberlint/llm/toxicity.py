@@ -28,8 +28,6 @@ from emberlint.llm.common import bounded_batches, materialise, table
 
 #: Labelled rows that a model is fitted on, at most (about: chosen by a hash of doc_id).
 SAMPLE_ROWS = 20_000
-#: Terms and exception phrases of a lexicon, at most, by evidence.
-LEXICON_TERMS = 20_000
 THRESHOLD = 0.7
 PREFIXES = range(3, 11)
 
@@ -45,6 +43,8 @@ _TABLE |= {0xFF21 + k: chr(97 + k) for k in range(26)} | {0xFF41 + k: chr(97 + k
 _TABLE |= {ord("l"): "i"}  # 1 stands for i and for l, so the two are one letter
 _STANDINS = re.compile(r"[0-9@$!|]+")
 _WORD = re.compile(r"[^\W_]+")
+_WORD_AFTER = re.compile(r"[\W_]{1,4}([^\W_]+)")
+_GAP_BEFORE = re.compile(r"(?<=[^\W_])[\W_]{1,4}\Z")
 
 
 def _standin(m: re.Match) -> str:
@@ -79,8 +79,7 @@ def terms_of(folded: str) -> set[str]:
     out = set()
     for w in set(_WORD.findall(folded)):
         n = len(w)
-        if n <= 64:
-            out.add(w)
+        out.add(w)
         out.update(w[:k] + "*" for k in PREFIXES if k <= n)
     return out
 
@@ -148,11 +147,15 @@ class Model:
 
 
 def contexts(folded: str, at: int) -> list[tuple[str, bool]]:
-    """The words before and after the word at ``at``, with True for before."""
+    """The words before and after the word at ``at``, at most four other characters away, with True for before."""
     out = []
-    if m := re.search(r"([^\W_]{1,64})[\W_]{1,4}\Z", folded[max(0, at - 68) : at]):
-        out.append((m[1], True))
-    if (m := _WORD.match(folded, at)) and (m := re.compile(r"[\W_]{1,4}([^\W_]{1,64})").match(folded, m.end())):
+    if m := _GAP_BEFORE.search(folded, max(0, at - 4), at):
+        start = m.start()
+        while start and folded[start - 1].isalnum():
+            start -= 1
+        if start < m.start():
+            out.append((folded[start : m.start()], True))
+    if (m := _WORD.match(folded, at)) and (m := _WORD_AFTER.match(folded, m.end())):
         out.append((m[1], False))
     return out
 
@@ -215,7 +218,6 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Model:
         tallies.withColumns({"weight": weight, "g2": _g2(F.col("n_toxic"), F.col("n_clean"), p)})
         .where((F.col("weight") >= 1.5) & (F.col("g2") >= bound))
         .orderBy(F.desc("g2"), "term")
-        .limit(LEXICON_TERMS)
         .collect()
     )
     below: dict[str, int] = {}  # most toxic rows of a term that a beginning is part of
@@ -241,7 +243,6 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Model:
         _tallied(sample, phrases)
         .where((F.col("n_clean") >= 5) & (F.col("n_toxic") * (clean / toxic) <= 0.25 * F.col("n_clean")))
         .orderBy(F.desc("n_clean"), "term")
-        .limit(LEXICON_TERMS)
         .collect()
     )
     split = [r["term"].split("\t") for r in excused]

@@ -58,6 +58,12 @@ def test_toxicity_held_out(spark):
     assert kept.count() == labels.where("toxic = 0").count() and kept.columns == ["doc_id", "text", "toxicity_score"]
 
 
+def test_words_of_any_length():
+    """Nothing in a lexicon depends on how long a word is."""
+    long = "b" * 300
+    assert long in X.terms_of(f"x {long} y") and X.contexts(f"{long} word, {long}", 301) == [(long, True), (long, False)]
+
+
 def test_exceptions_do_not_count():
     model = X.Model({"idiot": 3.0}, frozenset({("idiot", "savant", False)}), -3.0, (2.0, 0.0, 1.0))
     assert model.score("an idiot savant") < 0.5 < model.score("an idiot")

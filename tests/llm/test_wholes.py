@@ -51,6 +51,13 @@ def test_pages_put_together():
         assert page.text(page.best()) == want
 
 
+def test_deep_scopes_take_linear_time():
+    began = time.time()
+    H.Page("<p><td>" + "<x>" * 100_000 + "<h1></h1>" * 100_000)
+    H.Page("<p><td>" * 30_000 + "<x><h1>" * 60_000)
+    assert time.time() - began < 30
+
+
 @pytest.mark.parametrize("piece", ["<a", "<a b='\">", "<a '\"", "</a", "<div>", "<blockquote>", "<p>x</div>", "<li class=ad>", "&amp;<b>", '<a href="'])
 def test_long_pages_take_linear_time(piece):
     began = time.time()
@@ -192,7 +199,14 @@ def test_texts_of_a_megabyte(spark):
     hit = {r.doc_id: sum(s.end - s.start for s in r.leak_hit_spans) for r in D.find_leaks(docs, bench).collect()}
     assert hit == {1: 20, 2: 20, 3: 0, 4: 0}
     assert C.with_token_counts(docs, {"v": K.default_tokenizer()}).where("v > 0").count() == 4
-    assert Q.with_metrics(docs).count() == 4
+    metrics = {r.doc_id: (r.n_words, r.word_chars, r.n_repeat_words) for r in Q.with_metrics(docs).select("doc_id", *Q.METRICS).collect()}
+    assert metrics[3] == (1, 1_200_000, 0) and metrics[4] == (240_000, 960_000, 240_000)
+    words = long.split()
+    seen = {}
+    for k in range(len(words) - 2):
+        seen.setdefault(tuple(words[k : k + 3]), []).append(k)
+    again = {x for ks in seen.values() if len(ks) > 1 for k in ks for x in (k, k + 1, k + 2)}
+    assert metrics[1] == (200_000, sum(map(len, words)), len(again))
     model = X.Model({"word": 3.0}, frozenset(), -3.0, (2.0, 0.0, 1.0))
     assert {r.doc_id for r in X.score_documents(docs, model).where("toxicity_score > 0.7").collect()} == {4}
     pieces = G.pack_documents(docs).groupBy("doc_id").agg(F.sum("length").alias("n"), F.count("*").alias("pieces")).collect()
@@ -209,6 +223,27 @@ def test_clashing_names(spark, frame):
     assert P.mask_documents(docs).columns == docs.columns
 
 
+def test_metrics_beside_clashing_columns(spark):
+    docs = spark.createDataFrame([("a b", "own", 7, "x", 9)], "text string, _words string, _text long, `_row` string, n_words long")
+    (r,) = Q.with_metrics(docs).collect()
+    assert r.asDict() == {"text": "a b", "_words": "own", "_text": 7, "_row": "x", "n_words": 2, "word_chars": 2, "n_symbols": 0, "n_dup_lines": 0, "n_repeat_words": 0}
+
+
+def test_no_number_of_documents_changes_the_rule(spark):
+    """Thresholds of a group move by little with each document, also where there are about a hundred."""
+    text = lambda k: " ".join(f"{w}{'#' * (k % 3 == 0)}" for w in random.Random(k).choices(WORDS, k=80))
+    rows = [(k, text(k), "en", "small" if k < 103 else "large") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    rated = materialise(Q.with_ratios(Q.with_metrics(docs).drop("text")), "test-rated")
+    highs = []
+    for n in (98, 99, 100, 101):
+        sketches = materialise(Q.quantile_sketches(rated.where(f"not doc_id between {n} and 102")), "test-sketches")
+        (r,) = Q.thresholds(sketches).where("source = 'small'").collect()
+        highs.append(r.high_chars_a_word)
+    assert max(abs(a - b) for a, b in zip(highs, highs[1:], strict=False)) < 0.05
+    assert Q.thresholds(Q.quantile_sketches(rated.limit(0))).count() == 0
+
+
 def test_scratch_is_removed(spark, frame):
     import os
 
