@@ -6,6 +6,7 @@ import atexit
 import pathlib
 import shutil
 import tempfile
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,11 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return _own_folder()
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder: what is read more than once is worked out once, and a lost executor costs its tasks alone."""
+    path = f"{shared_folder(df.sparkSession)}/emberlint/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _struct(**fields: T.DataType) -> T.StructType:

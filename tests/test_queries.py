@@ -7,9 +7,9 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from emberlint import more_queries, queries
+from emberlint import more_queries, queries, structure_queries
 
-assert more_queries  # registers further queries
+assert more_queries and structure_queries  # these register further queries
 
 SF = "/root/testdata/sf0.001"
 
