@@ -463,6 +463,19 @@ def m11_balanced_weights(spark, sf):
     return models.balanced(rows, "label").select("row_id", F.round("weight", 9).alias("weight"))
 
 
+@query("SELECT event_id, CASE WHEN 2 * (user_id % 5) + event_id % 5 + (event_id % 4) > 7 THEN 'high' ELSE 'low' END AS prediction FROM events")
+def m9_averaged_descent(spark, sf):
+    """Each digit is a feature of its own, so the weights that tell high from low have to be learned together."""
+    from emberlint.operators import descent
+
+    rows = events(spark, sf).select("event_id", "user_id")
+    digits = (F.col("user_id") % 5, 5 + F.col("event_id") % 5, 10 + F.col("event_id") % 4)
+    rows = rows.withColumn("features", F.array(*(F.struct(d.cast("int").alias("index"), F.lit(1.0).alias("value")) for d in digits)))
+    rows = rows.withColumn("label", F.when(2 * (F.col("user_id") % 5) + F.col("event_id") % 5 + F.col("event_id") % 4 > 7, "high").otherwise("low"))
+    model = descent.fit(rows, 14, descent.Descent(alpha=1e-5, epochs=12, partitions=4), key="event_id")
+    return descent.predicted(rows.select("event_id", "features"), model).select("event_id", "prediction")
+
+
 @query()
 def m17_out_of_fold(spark, sf):
     return models.out_of_fold(_classified(spark, sf), "logistic", {"maxIter": 10, "regParam": 0.1}, k=2).select("row_id", "label", "prediction")
