@@ -14,17 +14,32 @@ MOST_NAMES = 100_000
 _SCORED = T.StructType([T.StructField("name", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
-def _best(name: str | None, others, bonus: bool) -> tuple[str | None, float]:
+def bound(a: str, b: str) -> float:
+    """What the ratio of two names can't pass: blocks match at most the letters that both have, as often as both have them."""
+    return 2.0 * sum(min(a.count(c), b.count(c)) for c in set(a)) / (len(a) + len(b)) if a or b else 1.0
+
+
+def _bonus(name: str, o: str) -> float:
+    return 0.05 * (o[0].lower() == name[0].lower()) + 0.05 * (abs(len(o) - len(name)) <= 1)
+
+
+def _best(name: str | None, others, bonus: bool, least: float = 0.0) -> tuple[str | None, float]:
+    """The most similar of ``others`` and its score, of equal ones the first in order; (None, 0.0) if none is above 0 and at least ``least``.
+
+    Names go by their bounds, largest first, and the search ends at the first that can't reach the best score so far.
+    """
     from difflib import SequenceMatcher
 
     best, most = None, 0.0
-    for o in sorted(x for x in others if x) if name and others is not None else ():
-        score = SequenceMatcher(None, name, o).ratio()
-        if bonus:
-            score += 0.05 * (o[0].lower() == name[0].lower()) + 0.05 * (abs(len(o) - len(name)) <= 1)
-        if score > most:
+    extra = (lambda o: _bonus(name, o)) if bonus else (lambda o: 0.0)
+    ordered = sorted((-(bound(name, o) + extra(o)), o) for o in set(others) if o) if name and others is not None else ()
+    for reach, o in ordered:
+        if -reach < max(most, least):
+            break
+        score = SequenceMatcher(None, name, o).ratio() + extra(o)
+        if score > most or (score == most and best is not None and o < best):
             best, most = o, score
-    return best, most
+    return (best, most) if most >= least else (None, 0.0)
 
 
 @lru_cache(maxsize=64)
@@ -40,16 +55,20 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf(_SCORED)
-def _matching(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    seen: dict = {}
-    rows = []
-    for x, y in zip(a, b, strict=True):
-        key = x, None if y is None else tuple(y)
-        if key not in seen:
-            seen[key] = _best(x, y, True)
-        rows.append(seen[key])
-    return pd.DataFrame(rows, columns=["name", "score"])
+@lru_cache(maxsize=16)
+def _matching(least: float):
+    def find(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        seen: dict = {}
+        rows = []
+        for x, y in zip(a, b, strict=True):
+            key = x, None if y is None else tuple(y)
+            if key not in seen:
+                seen[key] = _best(x, y, True, least)
+            rows.append(seen[key])
+        return pd.DataFrame(rows, columns=["name", "score"])
+
+    find.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(find, _SCORED)
 
 
 def closest(name: Column, words: tuple[str, ...]) -> Column:
@@ -70,5 +89,4 @@ def closest(name: Column, words: tuple[str, ...]) -> Column:
 
 def best_match(name: Column, candidates: Column, cutoff: float = 0.8) -> Column:
     """The most similar candidate, a common first letter and a like length counting a little; null below ``cutoff``."""
-    found = _matching(name, candidates)
-    return F.when(found["score"] >= cutoff, found["name"])
+    return _matching(cutoff)(name, candidates)["name"]
