@@ -146,12 +146,12 @@ def as_vectors(entries: DataFrame, row: str, terms: DataFrame | None, size: int,
 def term_index(entries: DataFrame, path: str) -> DataFrame:
     """(term, index) in order of terms, from 0.
 
-    Terms are written to ``path`` (a new folder that the cluster shares) by ranges, then each range starts where the terms before it
+    Terms are written to ``path`` (a folder that the cluster shares; what was there is replaced) by ranges, then each range starts where the terms before it
     end; of the ranges only their numbers of terms are ordered.
     """
     spark = entries.sparkSession
     ordered = entries.select("term").where("term is not null").distinct().repartitionByRange("term").sortWithinPartitions("term")
-    ordered.select("term", F.spark_partition_id().alias("_part")).write.parquet(path)
+    ordered.select("term", F.spark_partition_id().alias("_part")).write.mode("overwrite").parquet(path)
     terms = spark.read.schema("term string, _part int").parquet(path)
     counts = terms.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")  # one row a range

@@ -70,7 +70,8 @@ def train_and_evaluate(
 ) -> dict:
     """Split, fit features, tune, fit, report and save to ``path``: (model, params, dev and test as reports, confusion).
 
-    The report on the rows to train on is of predictions by models of the other folds. Reports are saved as JSON beside the model.
+    The report on the rows to train on is of predictions by models of the other folds. Reports are saved as JSON beside the model,
+    whose description names its classes and its scores on both parts. Training again to the same path replaces what is there.
     """
     spark = rows.sparkSession
     split = R.stratified_split(rows.withColumn("label", F.col("label").cast("double")), "label", "row_id", seed=seed)
@@ -82,7 +83,9 @@ def train_and_evaluate(
     ahead = models.out_of_fold(R.stratified_folds(ready, "label", "row_id", k=folds, seed=seed), name, best, k=folds)
     on_test = model.transform(vectors(test, terms))
     out = {"model": model, "params": best, "dev": E.classification_report(ahead, "label", "prediction"), "test": E.classification_report(on_test, "label", "prediction"), "confusion": E.confusion(on_test, "label", "prediction")}
-    models.save_bundle(model, path, spark, params=best, name=name, split={"test_share": 0.15, "seed": seed}, scale=scale, stages=["feat", "clf"])
+    classes = sorted(r[0] for r in dev.select("label").distinct().collect())
+    scores = {part: {s: f(found) for s, f in models.SCORERS.items()} for part, found in (("dev", ahead), ("test", on_test))}
+    models.save_bundle(model, path, spark, params=best, name=name, classes=classes, scores=scores, split={"test_share": 0.15, "seed": seed}, scale=scale, stages=["feat", "clf"])
     for part in ("dev", "test", "confusion"):  # a row for each label, or pair of labels
         out[part].select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/report-{part}")
     return out

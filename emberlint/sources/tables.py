@@ -39,9 +39,33 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return _own_folder()
 
+@lru_cache(maxsize=1)
+def _scratch_paths() -> list:
+    """(path, JVM, configuration) of this process's scratch tables, which go when the process ends, whatever file system they are on."""
+    made: list = []
+
+    def remove() -> None:
+        for path, jvm, conf in made:
+            try:
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(conf).delete(at, True)
+            except Exception:  # noqa: BLE001  the JVM may have ended before
+                return
+
+    atexit.register(remove)
+    return made
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path below the shared folder for a table that nothing needs once this process has ended; it is removed then."""
+    path = f"{shared_folder(spark)}/emberlint/{label}-{uuid.uuid4().hex}"
+    _scratch_paths().append((path, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()))
+    return path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: what is read more than once is worked out once, and a lost executor costs its tasks alone."""
-    path = f"{shared_folder(df.sparkSession)}/emberlint/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
