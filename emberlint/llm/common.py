@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlint.sources.tables import shared_folder
+from emberlint.sources.tables import scratch_path
 
 #: Texts that a Python worker holds as arrays at one time, in bytes (a single longer text is one slice).
 SLICE_BYTES = 4 << 20
@@ -19,8 +17,8 @@ CACHE_WORDS = 200_000
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path below the folder that the cluster shares (see ``shared_folder``)."""
-    return f"{shared_folder(spark)}/emberlint/{label}-{uuid.uuid4().hex}"
+    """A new path below the folder that the cluster shares; what is there goes when the process ends."""
+    return scratch_path(spark, label)
 
 
 def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
