@@ -476,6 +476,21 @@ def m9_averaged_descent(spark, sf):
     return descent.predicted(rows.select("event_id", "features"), model).select("event_id", "prediction")
 
 
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'inner' ELSE 'outer' END AS prediction FROM events")
+def m12_kernel_machine(spark, sf):
+    """Two rings, which no line tells apart: places by a radial kernel, then a linear machine."""
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.functions import array_to_vector
+
+    from emberlint.operators import kernels
+
+    turn, far = F.radians(F.col("user_id") % 360), F.when(F.col("event_id") % 3 == 0, 1.0).otherwise(2.0)
+    rows = events(spark, sf).select("event_id", F.array(far * F.cos(turn), far * F.sin(turn)).alias("features"), (F.col("event_id") % 3 == 0).cast("double").alias("label"))
+    places = kernels.mapped(rows, kernels.fit(rows, kernels.Kernel("rbf", 1.0), 60, key="event_id")).withColumn("features", array_to_vector("features"))
+    found = LinearSVC(maxIter=30, regParam=0.001).fit(places).transform(places)
+    return found.select("event_id", F.when(F.col("prediction") == 1, "inner").otherwise("outer").alias("prediction"))
+
+
 @query()
 def m17_out_of_fold(spark, sf):
     return models.out_of_fold(_classified(spark, sf), "logistic", {"maxIter": 10, "regParam": 0.1}, k=2).select("row_id", "label", "prediction")
