@@ -496,9 +496,14 @@ def m17_out_of_fold(spark, sf):
     return models.out_of_fold(_classified(spark, sf), "logistic", {"maxIter": 10, "regParam": 0.1}, k=2).select("row_id", "label", "prediction")
 
 
-@query("SELECT CAST(event_id % 4 AS VARCHAR) AS label, round(1 - 0.5::DOUBLE, 9) AS auc FROM events GROUP BY 1")
+@query(
+    "WITH s AS (SELECT k, event_id % 4 = k AS hit, CAST((event_id * (k + 3) + user_id) % 11 AS DOUBLE) / 10 AS score FROM events JOIN (VALUES (0), (1), (2), (3)) v(k) ON true),"
+    " r AS (SELECT k, hit, rank() OVER (PARTITION BY k ORDER BY score) + (count(*) OVER (PARTITION BY k, score) - 1) / 2.0 AS place FROM s)"
+    " SELECT CAST(k AS VARCHAR) AS label, round((sum(CASE WHEN hit THEN place END) - count_if(hit) * (count_if(hit) + 1) / 2.0) / (count_if(hit) * count_if(NOT hit))::DOUBLE, 9) AS auc FROM r GROUP BY k"
+)
 def m22_auc_by_class(spark, sf):
-    rows = events(spark, sf).select("event_id", (F.col("event_id") % 4).alias("t"), F.create_map(*(x for k in range(4) for x in (F.lit(str(k)), F.lit(0.25)))).alias("scores"))
+    score = lambda k: ((F.col("event_id") * (k + 3) + F.col("user_id")) % 11).cast("double") / 10
+    rows = events(spark, sf).select("event_id", (F.col("event_id") % 4).alias("t"), F.create_map(*(x for k in range(4) for x in (F.lit(str(k)), score(k)))).alias("scores"))
     return E.roc_auc(E.one_vs_rest(rows, "event_id", "t", "scores"), "label").select("label", F.round("auc", 9).alias("auc"))
 
 
