@@ -449,10 +449,17 @@ def t21_identifier_candidates(spark, sf):
     return snip(spark, sf).select("row_id", F.array_join(F.array_sort(found), ",").alias("found"))
 
 
-@query(_S + "SELECT row_id, 'main' AS found FROM snip")
+#: Programs that call names of their own and standard ones, some twice, with and without a space.
+_CALLS = """
+SELECT event_id AS row_id, CAST(event_id % 3 + 1 AS INT) AS error_line, concat('int main() {', chr(10), '  read', CAST(user_id AS STRING), '(x); sqrt (2); solve (y); read', CAST(user_id AS STRING), '(z);', chr(10),
+  '  ', CASE event_id % 4 WHEN 0 THEN 'max' WHEN 1 THEN 'printf' WHEN 2 THEN 'helper' ELSE 'swap' END, '(1);', chr(10), '}') AS source_code FROM events
+"""
+
+
+@query("SELECT event_id AS row_id, concat('main,read', CAST(user_id AS VARCHAR), ',solve', CASE event_id % 4 WHEN 2 THEN ',helper' ELSE '' END) AS found FROM events")
 def t22_call_candidates(spark, sf):
     found = X.call_candidates(F.col("source_code"), F.col("error_line"), V.std_functions())
-    return snip(spark, sf).select("row_id", F.array_join(found, ",").alias("found"))
+    return _view(spark, sf, _CALLS).select("row_id", F.array_join(found, ",").alias("found"))
 
 
 @query(f"SELECT event_id, regexp_extract(t, '^\\s*(?:const\\s+)?((?:[A-Za-z_]\\w*::)*[A-Za-z_]\\w*)', 1) AS outer_type FROM {_TYPES_SQL}")
