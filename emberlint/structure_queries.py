@@ -1,11 +1,13 @@
-"""Queries on the structure of programs: varied programs from the events table, and what must be found in them, by SQL."""
+"""Queries on the structure of programs, which are varied ones from the events table, and on positions in an order."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from emberlint.operators import structure as P
-from emberlint.queries import _view, query
+from emberlint.operators.positions import OrderIndex
+from emberlint.queries import _view, events, query
+from emberlint.sources.tables import scratch_path
 
 _OPS = ("+", "*", "<<", "<", "==", "&", "&&", "=")
 _TIGHT = (11, 12, 10, 9, 8, 7, 4, 1)
@@ -101,3 +103,17 @@ def e11_contexts(spark, sf):
         F.array_join(c("aliases_ns.using_directives"), " ").alias("usings"), F.array_join(F.transform(c("aliases_ns.typedefs"), lambda t: F.concat(t["name"], F.lit(" = "), t["underlying"])), ", ").alias("typedefs"),
         F.concat(entries("var_kind_counts"), F.lit("; "), entries("var_type_counts")).alias("variables"), F.concat(entries("type_kind_counts"), F.lit("; "), entries("func_kind_counts")).alias("kinds"),
     )
+
+
+def _by_user(spark, sf) -> OrderIndex:
+    return OrderIndex.build(events(spark, sf).select("event_id", "user_id"), scratch_path(spark, "query-positions"), "user_id", "event_id", ranges=32)
+
+
+@query("SELECT event_id, user_id, position FROM (SELECT event_id, user_id, row_number() OVER (ORDER BY user_id NULLS FIRST, event_id) - 1 AS position FROM events) p WHERE position BETWEEN 300 AND 449")
+def p1_indexed_slice(spark, sf):
+    return _by_user(spark, sf).slice(300, 450)
+
+
+@query("SELECT event_id, position, CAST(position // 64 AS BIGINT) AS batch FROM (SELECT event_id, row_number() OVER (ORDER BY user_id NULLS FIRST, event_id) - 1 AS position FROM events) p")
+def n7_indexed_batches(spark, sf):
+    return _by_user(spark, sf).batches(64).select("event_id", "position", "batch")
