@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from emberlint.functions import values as V
 from emberlint.operators.contexts import pruned
+from emberlint.operators.rows import duplicate_keys
 from emberlint.sources.tables import CTX_SCHEMA, written
 
 C = F.col
@@ -456,9 +457,11 @@ def _flags(kind: Column) -> list[Column]:
 def contexts(df: DataFrame, key: str = "row_id", code: str = "source_code", line: str = "error_line", with_macros: bool = False, radius: int = 2) -> DataFrame:
     """``df`` with ctx: the context of each program's line, what holds nothing left out; null where that is all of it.
 
-    ``key`` tells programs apart: rows that repeat one fail. Null programs have no context. A line of which the cursor is an operator that lacks an
+    ``key`` tells programs apart: a repeated one raises, rows without one have no context, like those without a program. A line of which the cursor is an operator that lacks an
     operand has none either, as there is nothing to describe it by. Without a line, what concerns the whole program is still told.
     """
+    if duplicate_keys(df.where(C(key).isNotNull()), key).limit(1).count():
+        raise ValueError(f"repeated {key}")
     spark_key = df.select(key, C(line).cast("int").alias("_line"), C(code).alias("_code"))
     toks = written(tokens(spark_key.withColumnRenamed("_code", code), key, code), "structure-tokens")
     index = written(nested(toks, key), "structure-brackets")
