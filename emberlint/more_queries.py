@@ -491,6 +491,14 @@ def m12_kernel_machine(spark, sf):
     return found.select("event_id", F.when(F.col("prediction") == 1, "inner").otherwise("outer").alias("prediction"))
 
 
+@query("SELECT 's' || CAST(user_id % 37 AS VARCHAR) AS program, min(event_id) AS event_id FROM events GROUP BY 1")
+def x2_first_programs(spark, sf):
+    from emberlint.streaming.streams import first_programs
+
+    rows = events(spark, sf).select("event_id", F.concat(F.lit("s"), F.col("user_id") % 37).alias("program"))
+    return first_programs(rows, "event_id", code="program").select("program", "event_id")
+
+
 @query()
 def m17_out_of_fold(spark, sf):
     return models.out_of_fold(_classified(spark, sf), "logistic", {"maxIter": 10, "regParam": 0.1}, k=2).select("row_id", "label", "prediction")
