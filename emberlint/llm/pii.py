@@ -15,6 +15,7 @@ kind of a street, town and postal code).
 
 from __future__ import annotations
 
+import math
 import re
 from functools import lru_cache
 from string import ascii_uppercase
@@ -59,11 +60,27 @@ _MAIL = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _ACCOUNT = re.compile(r"(?:\s?(?:number|num|no|nr)\b\.?)?(?:\s(?:is|was))?\s?[:#=]?\s?([0-9](?:[ -]?[0-9]){5,16}+)(?![A-Za-z0-9])", re.I)
 _SORT = re.compile(r"\s?[:#=]?\s?([0-9]{2}[ -][0-9]{2}[ -][0-9]{2}|[0-9]{6})(?![A-Za-z0-9-])")
 _SSN = re.compile(r"(?:\s?(?:number|no)\b\.?)?(?:\s(?:is|was))?\s?[:#=]?\s?([0-9]{3}[ -]?[0-9]{2}[ -]?[0-9]{4})(?![A-Za-z0-9-])", re.I)
+#: Years, pairs of them and dates, which aren't account numbers.
+_DATES = re.compile(r"(?:19|20)[0-9]{2}[ -](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}[ -](?:0[1-9]|1[0-2])[ -](?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])[ -](?:0[1-9]|1[0-2])[ -](?:19|20)[0-9]{2}")
+#: Bits a character that a secret has at least, by how often it has each.
+SECRET_BITS = 2.0
 #: Behind the kind of a street: an optional unit, a town, and a postal code, which validates the address.
 _TOWN = r"(?:[ ,]{1,2}(?:Apt|Suite|Unit|Floor)\.? ?[A-Za-z0-9-]{1,6})?,\s(?:[A-Z][A-Za-z.'-]++ ?){1,4}"
 _PLACE = re.compile(rf"\.?{_TOWN}(?:,?\s?[A-Z]{{2}} [0-9]{{5}}(?:-[0-9]{{4}})?|,?\s?[A-Z]{{1,2}}[0-9][0-9A-Z]? [0-9][A-Z]{{2}})(?![A-Za-z0-9])")
 
 
+def _secret(value: str) -> bool:
+    """Whether a value behind a cue is like a key or a password and not a word of the sentence: letters with digits, or capitals among small letters, and varied."""
+    if _DATES.fullmatch(value):
+        return False
+    digits, letters = any(map(str.isdigit, value)), any(map(str.isalpha, value))
+    mixed = any(c.isupper() for c in value[1:]) and any(map(str.islower, value))
+    if not (digits and letters or mixed or (digits and len(value) >= 16)):
+        return False
+    shares = [value.count(c) / len(value) for c in set(value)]  # of some seventy characters at most
+    return -sum(p * math.log2(p) for p in shares) >= SECRET_BITS
+
+
 @lru_cache(maxsize=1)
 def _anchors() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
@@ -207,7 +224,7 @@ def find_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
                 done["login"] = end
         elif kind == "secret":
             m = _VALUE.match(text, last + 1)
-            if m and m.start(1) >= done["secret"]:
+            if m and m.start(1) >= done["secret"] and _secret(m[1]):
                 out["secret"].append(m.span(1))
                 done["secret"] = m.end(1)
         elif kind == "key":
@@ -220,7 +237,7 @@ def find_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
             if at and _ALNUM.match(text, at - 1):
                 continue
             m = {"account": _ACCOUNT, "sort": _SORT, "national": _SSN}[kind].match(text, last + 1)
-            if m and m.start(1) >= done[into] and (kind != "national" or _national(m[1])):
+            if m and m.start(1) >= done[into] and (_national(m[1]) if kind == "national" else not _DATES.fullmatch(m[1])):
                 out[into].append(m.span(1))
                 done[into] = m.end(1)
         elif kind == "street":

@@ -168,6 +168,10 @@ def test_two_writers_of_one_batch(spark):
         ("account GB82 WEST 1234 5698 7654 32", "iban", "GB82 WEST 1234 5698 7654 32"),
         ("Account number: 12345678, thanks", "account", "12345678"),
         ("sort code 12-34-56", "account", "12-34-56"),
+        ("account 2024-2031-77", "account", "2024-2031-77"),
+        ('token = "bed4d44cf2780ed3ef0cb916120773181bc8de67" der', "secret", "bed4d44cf2780ed3ef0cb916120773181bc8de67"),
+        ("password: hunter22", "secret", "hunter22"),
+        ("secret=WerTyuIoPlk", "secret", "WerTyuIoPlk"),
         ("her SSN is 123-45-6789.", "national", "123-45-6789"),
         ("at 742 Evergreen Terrace, Springfield, IL 62704 now", "address", "742 Evergreen Terrace, Springfield, IL 62704"),
         ("221B Baker Street, London NW1 6XE.", "address", "221B Baker Street, London NW1 6XE"),
@@ -178,7 +182,8 @@ def test_added_kinds(text, kind, said):
     assert [text[s:e] for s, e in P.find_spans(text)[kind]] == [said]
 
 
-@pytest.mark.parametrize("text", ["10 Main Road is nice", "an account of 2019", "SSN 000-12-3456", "SSN 666-12-3456", "accounts 12345678", "the Court, 12 Kings"])
+@pytest.mark.parametrize("text", ["10 Main Road is nice", "an account of 2019", "SSN 000-12-3456", "SSN 666-12-3456", "accounts 12345678", "the Court, 12 Kings",
+    "password: required by the form", "The token: something else", "secret = politely kept", "Password: Required always", "account 2024-2025 opened", "account 2024-03-15 opened", "token: 2024-03-15", "secret: aaaaaaaa1aaaaaaaa"])
 def test_clean_texts(text):
     found = P.find_spans(text)
     assert not found["account"] and not found["national"] and not found["address"]
