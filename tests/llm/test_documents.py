@@ -375,7 +375,8 @@ def test_pipeline_is_its_stages(spark):
     texts = [{r.doc_id: r.text for r in x.collect()} for x in at]
     model = X.fit(docs.select("doc_id", "text"), labels)
     assert texts[1] == {i: t for i, t in texts[0].items() if model.score(t) < X.THRESHOLD}
-    assert texts[2] == {i: t for i, t in texts[1].items() if plain_groups(list(texts[1].items()))[i][1] == i}
+    groups = plain_groups(list(texts[1].items()))
+    assert texts[2] == {i: t for i, t in texts[1].items() if groups[i][1] == i}
     want = {}
     for i, t in texts[2].items():
         n, hit, _ = plain_leaks(t, bench, D.WINDOW)
