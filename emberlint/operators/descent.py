@@ -7,6 +7,7 @@ sends those it has, by class and feature, sums are Spark's, and the driver holds
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,6 +19,8 @@ from emberlint.sources.tables import written
 
 #: Numbers that a model may have, classes times features: 400 MB, thrice while it is fitted.
 MOST_WEIGHTS = 50_000_000
+#: Up to this many numbers, and this many of them for a row and class, steps are taken on plain floats, of which one costs less than a call of NumPy.
+SMALL_MODEL, SHORT_ROW = 1 << 18, 64
 _SENT = "class int, index array<int>, w array<double>, mean array<double>, q array<double>, loss double"
 
 
@@ -102,6 +105,14 @@ class _Walk:
         self.t += 1
         self.rows += 1
 
+    def go(self, labels: np.ndarray, at: np.ndarray, index: np.ndarray, value: np.ndarray, weights: np.ndarray) -> None:
+        """Steps through rows: row k has the entries from at[k] to at[k + 1]."""
+        for k in range(len(labels)):
+            y = np.full(len(self.v), -1.0)
+            if labels[k] < len(y):
+                y[labels[k]] = 1.0
+            self.step(y, index[at[k] : at[k + 1]], value[at[k] : at[k + 1]], weights[k])
+
     def sums(self) -> tuple[np.ndarray, np.ndarray]:
         """Weights at the end, and the sum of those after each step."""
         end, total = self.scale * self.v, self.scales * self.v - self.late
@@ -109,22 +120,79 @@ class _Walk:
         return end, total
 
 
+class _SmallWalk(_Walk):
+    """The same pass on plain floats, for small models."""
+
+    def go(self, labels: np.ndarray, at: np.ndarray, index: np.ndarray, value: np.ndarray, weights: np.ndarray) -> None:
+        how, exp, log1p, classes = self.how, math.exp, math.log1p, range(len(self.v))
+        alpha, first, l1 = how.alpha, how.first, how.share_of_l1
+        v, q, late, bias, bias_sum, loss = (x.tolist() for x in (self.v, self.q, self.late, self.bias, self.bias_sum, self.loss))
+        t, u, scale, scales = self.t, self.u, self.scale, self.scales
+        at, index, value = at.tolist(), index.tolist(), value.tolist()
+        for k, (label, weight) in enumerate(zip(labels.tolist(), weights.tolist(), strict=True)):
+            here, x = index[at[k] : at[k + 1]], value[at[k] : at[k + 1]]
+            eta = 1.0 / (alpha * (first + t))
+            before, scale = scale, scale * max(0.0, 1.0 - (1.0 - l1) * eta * alpha)
+            owed = u + l1 * eta * alpha
+            small = scale < 1e-9
+            for c in classes:
+                w, y = v[c], 1.0 if label == c else -1.0
+                z = 0.0
+                for i, value_ in zip(here, x, strict=True):
+                    z += w[i] * value_
+                z = y * (before * z + bias[c])
+                if z > 18:
+                    force = exp(-z)
+                    loss[c] += force
+                elif z < -18:
+                    force = 1.0
+                    loss[c] -= z
+                else:
+                    loss[c] += log1p(exp(-z))
+                    force = 1.0 / (exp(z) + 1.0)
+                push = weight * eta * force * y
+                if small:
+                    late[c] = [a + (scale - 1.0) * b * scales for a, b in zip(late[c], w, strict=True)]
+                    v[c] = w = [b * scale for b in w]
+                now, behind = 1.0 if small else scale, late[c]
+                for i, value_ in zip(here, x, strict=True):
+                    old = w[i]
+                    new = old + push * value_ / now
+                    if l1:
+                        full, taken = new * now, q[c][i]
+                        kept = max(0.0, full - (owed + taken)) if full > 0 else min(0.0, full + (owed - taken)) if full < 0 else full
+                        q[c][i] = taken + kept - full
+                        new = kept / now
+                    behind[i] += (new - old) * scales
+                    w[i] = new
+                bias[c] += push
+                bias_sum[c] += bias[c]
+            if small:
+                scale = 1.0
+            u = owed
+            scales += scale
+            t += 1
+        self.v, self.q, self.late, self.bias, self.bias_sum, self.loss = (np.array(x) for x in (v, q, late, bias, bias_sum, loss))
+        self.t, self.u, self.scale, self.scales = t, u, scale, scales
+        self.rows += len(labels)
+
+
 def _epoch(rows: DataFrame, how: Descent, classes: int, weights: np.ndarray, q: np.ndarray, steps: float, u: float, total: int):
     """Weights and penalties after an epoch, averaged by rows, the mean of all iterates, and the mean loss."""
     shared = rows.sparkSession.sparkContext.broadcast((weights, q))
+    small = weights.size <= SMALL_MODEL
 
     def run(batches):
-        walk = _Walk(how, *shared.value, steps, u)
+        walk = None
         for b in batches:
             feats = b.column("features")
             at, pairs = feats.offsets.to_numpy(), feats.values
+            if walk is None:
+                short = small and b.num_rows and at[-1] - at[0] <= SHORT_ROW * b.num_rows
+                walk = (_SmallWalk if short else _Walk)(how, *shared.value, steps, u)
             index, value = pairs.field("index").to_numpy(zero_copy_only=False), pairs.field("value").to_numpy(zero_copy_only=False)
-            labels, row_weights = b.column("class").to_numpy(), b.column("weight").to_numpy()
-            for k in range(b.num_rows):
-                y = np.full(classes, -1.0)
-                y[labels[k]] = 1.0
-                walk.step(y, index[at[k] : at[k + 1]], value[at[k] : at[k + 1]], row_weights[k])
-        if not walk.rows:
+            walk.go(b.column("class").to_numpy(), at, index, value, b.column("weight").to_numpy())
+        if walk is None or not walk.rows:
             return
         end, sums = walk.sums()
         part = walk.rows / total
@@ -165,21 +233,24 @@ def fit(df: DataFrame, n_features: int, how: Descent | None = None, label: str =
     dealt = written(chosen, "descent-rows")
     total = dealt.count()
     parts = how.partitions or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    weights, q = np.zeros((len(classes), n_features + 1)), np.zeros((len(classes), n_features + 1))
+    machines = 1 if len(classes) == 2 else len(classes)  # the second of two classes has the first one's weights with the other sign
+    weights, q = np.zeros((machines, n_features + 1)), np.zeros((machines, n_features + 1))
     mean, steps, u, best, worse, losses = np.zeros_like(weights), 0.0, 0.0, np.inf, 0, []
     for epoch in range(how.epochs):
         rows = dealt.repartition(parts, "key").sortWithinPartitions(F.xxhash64("key", F.lit(how.seed + epoch)), "key")
-        weights, ahead, q, loss = _epoch(rows, how, len(classes), weights, q, steps, u, total)
+        weights, ahead, q, loss = _epoch(rows, how, machines, weights, q, steps, u, total)
         mean += (ahead - mean) / (epoch + 1)
         for t in range(max(1, round(total / parts))) if how.share_of_l1 else ():
             u += how.share_of_l1 / (how.first + steps + t)
         steps += total / parts
+        loss *= len(classes) / machines
         losses.append(loss)
         worse = worse + 1 if loss > best - how.tol else 0
         best = min(best, loss)
         if worse >= how.n_iter_no_change:
             break
-    return LinearModel(classes, mean if how.average else weights, losses)
+    found = mean if how.average else weights
+    return LinearModel(classes, np.concatenate([found, -found]) if machines < len(classes) else found, losses)
 
 
 def predicted(df: DataFrame, model: LinearModel, features: str = "features") -> DataFrame:
@@ -191,18 +262,18 @@ def predicted(df: DataFrame, model: LinearModel, features: str = "features") ->
 
     def run(batches):
         for b in batches:
-            out = []
-            for pairs in b.column("_entries").to_pylist():
-                if pairs is None:
-                    out.append(None)
-                    continue
-                w = shared.value
-                index, value = np.array([p["index"] for p in pairs], int), np.array([p["value"] for p in pairs], float)
-                out.append((w[:, index] @ value + w[:, -1]).tolist())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(out, pa.list_(pa.float64()))], names=[*own, "_decisions"])
+            pairs, w, n = b.column("_entries"), shared.value, b.num_rows
+            at, inner = pairs.offsets.to_numpy(), pairs.values
+            index, value = (inner.field(f).to_numpy(zero_copy_only=False)[at[0] : at[-1]] for f in ("index", "value"))
+            row = np.repeat(np.arange(n), np.diff(at))
+            out = np.stack([np.bincount(row, w[c, index] * value, n) + w[c, -1] for c in range(len(w))], axis=1)
+            places = pa.array(np.arange(n + 1, dtype=np.int32) * len(w))
+            lists = pa.ListArray.from_arrays(places, pa.array(out.ravel()), mask=pairs.is_null())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), lists], names=[*own, "_decisions"])
 
     schema = T.StructType([*df.schema.fields, T.StructField("_decisions", T.ArrayType(T.DoubleType()))])
-    scored = df.withColumn("_entries", F.col(features)).mapInArrow(run, schema)
+    plain = F.transform(features, lambda p: F.struct(p["index"].cast("int").alias("index"), p["value"].cast("double").alias("value")))
+    scored = df.withColumn("_entries", plain).mapInArrow(run, schema)
     best = F.array_position("_decisions", F.array_max("_decisions")).cast("int")
     classes = F.array(*map(F.lit, model.classes))
     return scored.withColumns({"prediction": F.get(classes, best - 1), "decisions": F.map_from_arrays(classes, F.col("_decisions"))}).drop("_decisions")
