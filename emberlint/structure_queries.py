@@ -63,8 +63,7 @@ _FIRST = "(p1 > p2 OR (p1 = p2 AND p1 > 1))"
 def e10_operand_spans(spark, sf):
     key = "event_id"
     rows = programs(spark, sf)
-    index = P.written(P.nested(P.tokens(rows, key), key), "query-brackets")
-    found = P.written(P.nodes(P.statements(index, key), key), "query-statements")
+    found = P.written(P.nodes(P.statements(P.nested(P.tokens(rows, key), key), key), key), "query-statements")
     parts = P.expressions(found, P.declarations(found, key), key)
     ops = P.operators(parts, key).where("line = 10").join(rows.select(key, "source_code"), key)
     side = lambda n: F.substring("source_code", F.col(f"{n}_lo") + 1, F.col(f"{n}_hi") - F.col(f"{n}_lo") + 1)
