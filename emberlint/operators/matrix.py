@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlint.sources.tables import written
+
 
 def ngrams(tokens: Column, least: int, most: int) -> Column:
     """All runs of least to most tokens, joined by spaces, shorter ones first."""
@@ -20,13 +22,16 @@ def ngrams(tokens: Column, least: int, most: int) -> Column:
 
 
 def term_counts(df: DataFrame, row: str, tokens: Column) -> DataFrame:
-    """(row, term, value): how often each token is in each row."""
-    return df.select(row, F.explode(tokens).alias("term")).groupBy(row, "term").agg(F.count("*").cast("double").alias("value"))
+    """(row, term, value): how often each token is in each row.
+
+    Rows move once by their key, before their tokens are taken apart, so that those of a key are counted where they are; their terms don't move.
+    """
+    return df.repartition(row).select(row, F.explode(tokens).alias("term")).groupBy(row, "term").agg(F.count("*").cast("double").alias("value"))
 
 
 def hashed_counts(df: DataFrame, row: str, tokens: Column, buckets: int = 1 << 20, signed: bool = False) -> DataFrame:
     """As ``term_counts``, terms being hash buckets; with ``signed`` half of the terms count negative."""
-    terms = df.select(row, F.explode(tokens).alias("t"))
+    terms = df.repartition(row).select(row, F.explode(tokens).alias("t"))
     sign = F.when(F.lit(signed) & (F.xxhash64("t", F.lit(1)) < 0), -1.0).otherwise(1.0)
     return terms.select(row, F.pmod(F.xxhash64("t"), F.lit(buckets)).alias("term"), sign.alias("v")).groupBy(row, "term").agg(F.sum("v").alias("value"))
 
@@ -38,11 +43,15 @@ def _with_totals(entries: DataFrame, **totals: Column) -> DataFrame:
 
 
 def tfidf(counts: DataFrame, row: str, rows: int | Column, sublinear: bool = True, smooth: bool = True) -> DataFrame:
-    """Weights 1 + ln(tf) times ln((1 + N) / (1 + df)) + 1, rows scaled to length 1."""
+    """Weights 1 + ln(tf) times ln((1 + N) / (1 + df)) + 1, rows scaled to length 1.
+
+    Terms with their numbers of rows are written first: as Spark then knows their size, it sends them to the counts while they are few, and joins by shuffles otherwise.
+    """
     tf = 1 + F.log("value") if sublinear else F.col("value")
     plus = 1 if smooth else 0
     n = F.lit(rows) if isinstance(rows, int) else rows
-    known = _with_totals(counts, _df=F.count("*"))
+    terms = written(counts.groupBy(F.col("term").alias("_term")).agg(F.count("*").alias("_df")), "terms")
+    known = counts.join(terms, F.col("term").eqNullSafe(F.col("_term"))).drop("_term")
     weighed = known.withColumn("w", tf * (F.log((n + plus) / (F.col("_df") + plus)) + 1))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(row)))
     return weighed.select(row, "term", (F.col("w") / norm).alias("value"))

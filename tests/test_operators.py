@@ -217,3 +217,14 @@ def test_first_entry():
     from emberlint.sources.tables import first_entry
 
     assert first_entry([{"a": 1}, {"a": 2, "b": 3}, {"a": 2}], "a", 2) == {"a": 2, "b": 3} and first_entry([], "a", 1) is None
+
+
+def test_terms_do_not_move(spark):
+    """Counting n-grams shuffles rows by their key alone; weights shuffle no counts by term or by row while terms are few. Repeated keys meet, null terms count."""
+    df = spark.createDataFrame([(1, ["b", "a", None, "b"]), (1, ["a"]), (None, ["x"]), (None, ["x"]), (2, []), (3, None)], "id int, t array<string>")
+    counts = M.term_counts(df, "id", F.col("t"))
+    assert {(r.id, r.term, r.value) for r in counts.collect()} == {(1, "a", 2.0), (1, "b", 2.0), (1, None, 1.0), (None, "x", 2.0)}
+    for found in (counts, M.tfidf(counts, "id", 4)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        moved = [line.split("hashpartitioning(")[1] for line in plan.splitlines() if "hashpartitioning(" in line]
+        assert moved and all(keys.startswith("id#") and "term" not in keys for keys in moved)
