@@ -44,12 +44,14 @@ def programs(spark, sf):
 @query(f"SELECT event_id, concat({', '.join(_CLASSES)}) AS classes FROM ({_PARTS}) p")
 def e8_every_class(spark, sf):
     key = "event_id"
-    toks = P.written(P.tokens(programs(spark, sf), key), "query-tokens")
+    each, members = P.alike(programs(spark, sf), key)
+    toks = P.written(P.tokens(each, key), "query-tokens")
     index = P.written(P.nested(toks, key), "query-brackets")
     found = P.written(P.nodes(P.statements(index, key), key), "query-statements")
-    classed = P.token_classes(toks, P.resolved(index, P.declarations(found, key), key), key, with_macros=True).where("class is not null")
+    classed = P.token_classes(toks, P.resolved(index, P.declarations(found, key), key), key, with_macros=True)
     listed = classed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ordinal", "class"))).alias("z"))
-    return listed.select(key, F.array_join(F.transform("z", lambda x: x["class"]), " ").alias("classes"))
+    told = listed.select(F.col(key).alias("of"), F.array_join(F.transform("z", lambda x: x["class"]), " ").alias("classes"))
+    return members.join(told, "of").select(key, "classes")
 
 
 #: The tighter of the two operators of the last line; of equally tight ones the first, but the second of two assignments.
