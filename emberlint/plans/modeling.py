@@ -9,14 +9,16 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from emberlint.functions.text import once
 from emberlint.operators import evaluation as E
 from emberlint.operators import matrix as M
 from emberlint.operators import models
 from emberlint.operators import rows as R
 from emberlint.plans.serving import explained
+from emberlint.sources.tables import written
 
 #: Runs of tokens that are terms, by block.
 NGRAMS = {"ctx": (1, 3), "error": (1, 4)}
@@ -24,14 +26,16 @@ TERMS = "term string, index int, weight double"
 
 
 def entries(rows: DataFrame) -> DataFrame:
-    """(row_id, term, value): counts of n-grams and numbers, each term behind its block's name."""
+    """(row_id, term, value): counts of n-grams and numbers, each term behind its block's name.
+
+    Rows move once by their key, before they are taken apart; their terms are counted where they are.
+    """
     texts = lambda c: F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
-    blocks = {
-        "ctx": M.term_counts(rows, "row_id", M.ngrams(texts("ctx_tokens"), *NGRAMS["ctx"])),
-        "error": M.term_counts(rows, "row_id", M.ngrams(texts("error_text_tokens"), *NGRAMS["error"])),
-        "num": M.dictionary_entries(rows, "row_id", F.from_json("ctx_numeric", "map<string,double>")).where("value is not null"),
-    }
-    return M.assembled(**blocks)
+    said = lambda block, term, value: F.struct(F.concat(F.lit(f"{block}:"), term).alias("term"), value.alias("value"))
+    runs = lambda block, c: once(texts(c), lambda tokens: F.transform(M.ngrams(tokens, *NGRAMS[block]), lambda t: said(block, t, F.lit(1.0))))
+    numbers = F.transform(F.map_entries(F.from_json("ctx_numeric", "map<string,double>")), lambda e: said("num", e["key"], e["value"]))
+    all_ = F.concat(runs("ctx", "ctx_tokens"), runs("error", "error_text_tokens"), F.coalesce(numbers, F.array().cast("array<struct<term:string,value:double>>")))
+    return rows.repartition("row_id").select("row_id", F.inline(all_)).where("value is not null").groupBy("row_id", "term").agg(F.sum("value").alias("value"))
 
 
 def _is_number():
@@ -46,7 +50,7 @@ def fitted_terms(rows: DataFrame, path: str, scale: str = "standard") -> DataFra
     mean = F.sum("value") / n
     deviation = F.sqrt(F.greatest(F.sum(F.col("value") * F.col("value")) / n - mean * mean, F.lit(0.0)))
     size = deviation if scale == "standard" else F.max(F.abs("value"))
-    seen = found.groupBy("term").agg(F.count("*").alias("_df"), size.alias("_size"))
+    seen = written(found.groupBy("term").agg(F.count("*").alias("_df"), size.alias("_size")), "model-terms")
     weight = F.when(_is_number(), F.when(F.col("_size") > 1e-12, 1 / F.col("_size")).otherwise(1.0)).otherwise(F.log((1 + F.lit(n)) / (1 + F.col("_df"))) + 1)
     places = models.term_index(seen, f"{path}/order")
     seen.withColumn("weight", weight).join(places, "term").select("term", "index", "weight").write.mode("overwrite").parquet(f"{path}/terms")
@@ -59,9 +63,9 @@ def vectors(rows: DataFrame, terms: DataFrame) -> DataFrame:
     known = entries(rows).join(terms, "term")
     raw = F.when(_is_number(), F.col("value")).otherwise(1 + F.log("value")) * F.col("weight")
     block = F.substring_index("term", ":", 1)
-    lengths = known.withColumn("value", raw).withColumn("_block", block)
-    by = lengths.groupBy("row_id", "_block").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_length"))
-    scaled = lengths.join(by, ["row_id", "_block"]).withColumn("value", F.when(_is_number(), F.col("value")).otherwise(F.col("value") / F.col("_length")))
+    length = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("row_id", "_block")))
+    lengths = known.withColumn("value", raw).withColumn("_block", block).withColumn("_length", length)
+    scaled = lengths.withColumn("value", F.when(_is_number(), F.col("value")).otherwise(F.col("value") / F.col("_length")))
     return rows.join(models.as_vectors(scaled.select("row_id", "index", "value"), "row_id", None, size, rows.select("row_id")), "row_id")
 
 
@@ -72,16 +76,19 @@ def train_and_evaluate(
 
     The report on the rows to train on is of predictions by models of the other folds. Reports are saved as JSON beside the model,
     whose description names its classes and its scores on both parts. Training again to the same path replaces what is there.
+    Both parts and both predictions are written, as fits, scores and reports read them many times.
     """
     spark = rows.sparkSession
-    split = R.stratified_split(rows.withColumn("label", F.col("label").cast("double")), "label", "row_id", seed=seed)
+    split = written(R.stratified_split(rows.withColumn("label", F.col("label").cast("double")), "label", "row_id", seed=seed), "model-split")
     dev, test = split.where("not is_test").drop("is_test"), split.where("is_test").drop("is_test")
+    dev = written(R.stratified_folds(dev, "label", "row_id", k=folds, seed=seed), "model-folds")
     terms = fitted_terms(dev, path, scale)
-    vectors(dev, terms).select("row_id", "label", "features").write.mode("overwrite").parquet(f"{path}/dev")
+    vectors(dev, terms).select("row_id", "label", "fold", "features").write.mode("overwrite").parquet(f"{path}/dev")
     ready = models.balanced(spark.read.parquet(f"{path}/dev"), "label")
     model, best = models.tuned(ready, name, params or {}, method=method, scorer=scorer, seed=seed)
-    ahead = models.out_of_fold(R.stratified_folds(ready, "label", "row_id", k=folds, seed=seed), name, best, k=folds)
-    on_test = model.transform(vectors(test, terms))
+    told = ["row_id", "label", "prediction"]
+    ahead = written(models.out_of_fold(ready, name, best, k=folds).select(told), "model-ahead")
+    on_test = written(model.transform(vectors(test, terms)).select(told), "model-on-test")
     out = {"model": model, "params": best, "dev": E.classification_report(ahead, "label", "prediction"), "test": E.classification_report(on_test, "label", "prediction"), "confusion": E.confusion(on_test, "label", "prediction")}
     classes = sorted(r[0] for r in dev.select("label").distinct().collect())
     scores = {part: {s: f(found) for s, f in models.SCORERS.items()} for part, found in (("dev", ahead), ("test", on_test))}
