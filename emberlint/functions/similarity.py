@@ -9,8 +9,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Names that a worker remembers for each list of words.
+#: Names that a worker remembers for each list of words, and pairs of names that it remembers.
 MOST_NAMES = 100_000
+MOST_PAIRS = 1_000_000
+_COMPARED = T.StructType(
+    [T.StructField(n, k) for n, k in (("first", T.StringType()), ("first_score", T.DoubleType()), ("second", T.StringType()), ("second_score", T.DoubleType()), ("near", T.BooleanType()))]
+)
 _SCORED = T.StructType([T.StructField("name", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
@@ -43,8 +47,8 @@ def _best(name: str | None, others, bonus: bool, least: float = 0.0) -> tuple[st
 
 
 @lru_cache(maxsize=64)
-def _remembered(words: tuple[str, ...]) -> dict:
-    """Names to (word, score), kept by a worker from batch to batch."""
+def _remembered(words: tuple[tuple[str, ...], ...]) -> dict:
+    """Names to what is closest in lists of words, kept by a worker from batch to batch."""
     return {}
 
 
@@ -71,20 +75,42 @@ def _matching(least: float):
     return F.pandas_udf(find, _SCORED)
 
 
-def closest(name: Column, words: tuple[str, ...]) -> Column:
-    """(name, score) of the most similar word; of equal ones the first in order. A worker compares each distinct name once, as far as it remembers."""
+@lru_cache(maxsize=MOST_PAIRS)
+def _reaches(name: str, o: str, least: float) -> bool:
+    """Whether two names are as similar as ``least``, a common first letter and a like length counting a little."""
+    from difflib import SequenceMatcher
+
+    extra = _bonus(name, o)
+    return 2.0 * min(len(name), len(o)) / (len(name) + len(o)) + extra >= least and bound(name, o) + extra >= least and SequenceMatcher(None, name, o).ratio() + extra >= least
 
-    def find(a: pd.Series) -> pd.DataFrame:
-        seen = _remembered(words)
-        if len(seen) > MOST_NAMES:
+
+def _facts(name: str, words: tuple[tuple[str, ...], tuple[str, ...]]) -> tuple:
+    """The closest word of each list and its score. A worker compares each name once with each pair of lists, as far as it remembers."""
+    seen = _remembered(words)
+    if name not in seen:
+        if len(seen) >= MOST_NAMES:
             seen.clear()
-        for x in a.dropna().unique():
-            if x not in seen:
-                seen[x] = _best(x, words, False)
-        return pd.DataFrame([seen.get(x, (None, 0.0)) for x in a], columns=["name", "score"])
+        seen[name] = _best(name, words[0], False) + _best(name, words[1], False)
+    return seen[name]
+
+
+def compared(name: Column, candidates: Column, which: Column, words: dict[str, tuple[tuple[str, ...], tuple[str, ...]]], cutoff: float = 0.8) -> Column:
+    """(first, first_score, second, second_score, near): of the two lists that ``which`` names the closest words, of equal ones the
+    first in order, and whether any candidate is as similar as ``cutoff``. Without a name, nothing is close.
+
+    One step of Python answers all of it, and rows without a name cost it next to nothing.
+    """
+
+    def find(a: pd.Series, b: pd.Series, of: pd.Series) -> pd.DataFrame:
+        rows = [(None, 0.0, None, 0.0, False)] * len(a)
+        named = [k for k, x in enumerate(a) if x]
+        for k, x, others, w in zip(named, a.iloc[named], b.iloc[named], of.iloc[named], strict=True):
+            near = others is not None and any(_reaches(x, o, cutoff) for o in others if o)
+            rows[k] = (*_facts(x, words[w]), near)
+        return pd.DataFrame(rows, columns=_COMPARED.names)
 
-    find.__annotations__ = {"a": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(find, _SCORED)(name)
+    find.__annotations__ = {"a": pd.Series, "b": pd.Series, "of": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(find, _COMPARED)(name, candidates, which)
 
 
 def best_match(name: Column, candidates: Column, cutoff: float = 0.8) -> Column:

@@ -75,18 +75,22 @@ def lines(code: Column) -> Column:
     return F.split(code, "\n")
 
 
-def line_window(code: Column, line: Column, radius: int = 1) -> Column:
-    """Lines around a line counted from 1, clipped at the ends of the text."""
+def _around(of: Column, line: Column, radius: int) -> Column:
     i = F.greatest(line - 1, F.lit(0))
     start = F.greatest(i - radius, F.lit(0))
-    many = F.least(F.size(lines(code)), i + radius + 1) - start
-    return F.when(many > 0, F.slice(lines(code), start + 1, F.greatest(many, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    many = F.least(F.size(of), i + radius + 1) - start
+    return F.when(many > 0, F.slice(of, start + 1, F.greatest(many, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+
+
+def line_window(code: Column, line: Column, radius: int = 1) -> Column:
+    """Lines around a line counted from 1, clipped at the ends of the text."""
+    return once(lines(code), lambda of: _around(of, line, radius))
 
 
 def wide_window(code: Column, line: Column, radius: int = 10) -> Column:
     """As ``line_window``, but all lines where the line is missing or isn't in the text."""
-    outside = line.isNull() | (line <= 0) | (line > F.size(lines(code)))
-    return F.when(outside, lines(code)).otherwise(line_window(code, F.coalesce(line, F.lit(1)), radius))
+    outside = lambda of: line.isNull() | (line <= 0) | (line > F.size(of))
+    return once(lines(code), lambda of: F.when(outside(of), of).otherwise(_around(of, F.coalesce(line, F.lit(1)), radius)))
 
 
 def number_lines(code: Column) -> Column:
@@ -127,17 +131,18 @@ def focus_lines(window: Column, op: Column) -> Column:
 def identifier_candidates(code: Column, line: Column, radius: int = 10) -> Column:
     """Distinct identifiers around a line that aren't keywords, in order of appearance."""
     near = F.array_join(wide_window(unescape_source(code), line, radius), "\n")
-    return F.array_except(F.array_distinct(F.regexp_extract_all(near, F.lit(IDENTIFIER), F.lit(0))), _literals(V.KEYWORDS))
+    return _distinct_but(F.regexp_extract_all(near, F.lit(IDENTIFIER), F.lit(0)), V.KEYWORDS)
 
 
 def call_candidates(code: Column, line: Column, known: tuple[str, ...], radius: int = 10) -> Column:
     """Distinct names of called functions around a line, standard ones left out."""
     near = F.array_join(wide_window(unescape_source(code), line, radius), "\n")
-    return F.array_except(F.array_distinct(F.regexp_extract_all(near, F.lit(CALL), F.lit(1))), _literals(known))
+    return _distinct_but(F.regexp_extract_all(near, F.lit(CALL), F.lit(1)), known)
 
 
-def _literals(words) -> Column:
-    return F.array(*map(F.lit, words))
+def _distinct_but(found: Column, known) -> Column:
+    """Distinct texts that aren't known; what is known becomes one set for all rows, which ``array_except`` would make anew for each."""
+    return F.filter(F.array_distinct(found), lambda w: ~w.isin(*known)) if known else F.array_distinct(found)
 
 
 def has_macros(code: Column) -> Column:

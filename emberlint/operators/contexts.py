@@ -90,19 +90,23 @@ def _prefixed(prefix: str, m: Column) -> Column:
     return F.coalesce(F.transform_values(F.transform_keys(m, lambda k, v: F.concat(F.lit(prefix), k)), lambda k, v: v.cast("double")), empty)
 
 
-def context_features(ctx: Column) -> tuple[Column, Column]:
-    """(tokens array<string>, numeric map<string,double>) of a context; both null without one."""
-    core, meta = ctx["core_info"], ctx["cursor_meta"]
+def _categories(ctx: Column) -> Column:
+    """(typedefs, variables): maps of a context's categories to how many."""
+    under = F.transform(_typedefs(ctx), lambda t: F.struct(type_category(t["underlying"]).alias("cat"), F.lit(1).cast("long").alias("n")))
+    typed = F.coalesce(F.map_entries(ctx["decls"]["var_type_counts"]), F.array().cast("array<struct<key:string,value:bigint>>"))
+    variables = F.transform(typed, lambda e: F.struct(type_category(e["key"]).alias("cat"), e["value"].alias("n")))
+    return F.struct(_by_category(under).alias("typedefs"), _by_category(variables).alias("variables"))
+
+
+def _typedefs(ctx: Column) -> Column:
+    return F.coalesce(ctx["aliases_ns"]["typedefs"], F.array().cast("array<struct<name:string,underlying:string,kind:string>>"))
+
+
+def _tokens(ctx: Column, categories: Column) -> Column:
+    core, meta, alias = ctx["core_info"], ctx["cursor_meta"], ctx["aliases_ns"]
     local, parents, includes = _list(ctx["local_tokens_norm"]), _list(ctx["parent_chain"]), _list(ctx["includes"])
-    alias, decls, macros = ctx["aliases_ns"], ctx["decls"], ctx["macros"]
     arguments = _list(meta["arg_types"])
     none = F.array().cast(_TEXTS)
-
-    under = F.coalesce(alias["typedefs"], F.array().cast("array<struct<name:string,underlying:string,kind:string>>"))
-    typedefs = _by_category(F.transform(under, lambda t: F.struct(type_category(t["underlying"]).alias("cat"), F.lit(1).cast("long").alias("n"))))
-    typed = F.coalesce(F.map_entries(decls["var_type_counts"]), F.array().cast("array<struct<key:string,value:bigint>>"))
-    variables = _by_category(F.transform(typed, lambda e: F.struct(type_category(e["key"]).alias("cat"), e["value"].alias("n"))))
-
     of_core = F.when(
         core.isNotNull(),
         F.concat(
@@ -120,7 +124,7 @@ def context_features(ctx: Column) -> tuple[Column, Column]:
         _maybe("F_META__REF_KIND=", meta["ref_kind"]),
         _maybe("F_META__REF_TYPE_CAT=", meta["ref_type"], type_category(meta["ref_type"])),
     )
-    tokens = F.concat(
+    return F.concat(
         _named("F_TOK=", local),
         of_core,
         of_meta,
@@ -128,16 +132,21 @@ def context_features(ctx: Column) -> tuple[Column, Column]:
         _named("F_PARENT__KIND=", F.array_distinct(parents)),
         _named("F_INC__CAT=", F.array_distinct(F.filter(F.transform(includes, header_category), lambda c: c.isNotNull()))),
         _named("F_USING_NS__NS=", F.array_distinct(_list(alias["using_directives"]))),
-        _named("F_TYPEDEF__UNDER_CAT=", F.map_keys(typedefs)),
-        _named("F_DECL__VARS_TYPE_CAT=", F.map_keys(variables)),
+        _named("F_TYPEDEF__UNDER_CAT=", F.map_keys(categories["typedefs"])),
+        _named("F_DECL__VARS_TYPE_CAT=", F.map_keys(categories["variables"])),
     )
 
+
+def _numeric(ctx: Column, categories: Column) -> Column:
+    core, meta, alias = ctx["core_info"], ctx["cursor_meta"], ctx["aliases_ns"]
+    parents, includes, decls, macros = _list(ctx["parent_chain"]), _list(ctx["includes"]), ctx["decls"], ctx["macros"]
+    local = _list(ctx["local_tokens_norm"])
     empty = F.create_map().cast("map<string,double>")
     macro = lambda kind: F.size(F.filter(macros, lambda m: m["kind"] == kind))
     has_core, has_macros = core.isNotNull(), F.coalesce(F.size(macros) > 0, F.lit(False))
     kinds = decls["type_kind_counts"]
     has_kind = lambda k: F.coalesce(F.map_contains_key(kinds, k), F.lit(False))
-    numeric = F.map_concat(
+    return F.map_concat(
         _numbers(N_TOK__LOCAL_TOK_LEN=F.size(local), N_CORE__HAS_CORE_INFO=_flag(has_core)),
         F.when(
             has_core,
@@ -152,21 +161,29 @@ def context_features(ctx: Column) -> tuple[Column, Column]:
         F.when(has_macros, _numbers(N_MACRO__DEF=macro("macro_def"), N_MACRO__USE=macro("macro_use"), N_MACRO__PP_DIRECTIVE=macro("pp_directive"))).otherwise(empty),
         _numbers(
             N_USING__DIRECTIVES=_sizes(_list(alias["using_directives"])), N_USING__DECLS=_sizes(_list(alias["using_decls"])),
-            N_TYPEDEF__TYPEDEFS=F.size(under), N_NS__NAMESPACES=_sizes(_list(alias["namespaces"])),
+            N_TYPEDEF__TYPEDEFS=F.size(_typedefs(ctx)), N_NS__NAMESPACES=_sizes(_list(alias["namespaces"])),
         ),
-        _prefixed("N_TYPEDEF__UNDER__", typedefs),
+        _prefixed("N_TYPEDEF__UNDER__", categories["typedefs"]),
         _prefixed("N_DECL__TYPE_KIND__", kinds),
         _prefixed("N_DECL__VAR_KIND__", decls["var_kind_counts"]),
         _prefixed("N_DECL__FUNC_KIND__", decls["func_kind_counts"]),
         _numbers(N_DECL__TYPES_TOTAL=_total(kinds), N_DECL__VARS_TOTAL=_total(decls["var_kind_counts"]), N_DECL__FUNCS_TOTAL=_total(decls["func_kind_counts"])),
-        _prefixed("N_DECL__VARS_TYPE__", variables),
+        _prefixed("N_DECL__VARS_TYPE__", categories["variables"]),
         *(
             F.when(has_kind(k), F.create_map(F.lit(f"N_DECL__HAS_{name}"), F.lit(1.0))).otherwise(empty)
             for k, name in (("STRUCT_DECL", "STRUCT"), ("CLASS_DECL", "CLASS"), ("ENUM_DECL", "ENUM"), ("CLASS_TEMPLATE", "CLASS_TEMPLATE"))
         ),
     )
-    there = ctx.isNotNull() & (F.to_json(ctx) != "{}")
-    return F.when(there, tokens), F.when(there, numeric)
+
+
+def _of_context(ctx: Column, use) -> Column:
+    """``use`` of a context and its categories, which are worked out once a row; null without a context."""
+    return once(ctx, lambda c: F.when(c.isNotNull() & (F.to_json(c) != "{}"), once(_categories(c), lambda k: use(c, k))))
+
+
+def context_features(ctx: Column) -> tuple[Column, Column]:
+    """(tokens array<string>, numeric map<string,double>) of a context; both null without one."""
+    return _of_context(ctx, _tokens), _of_context(ctx, _numeric)
 
 
 def context_columns(ctx: Column) -> tuple[Column, Column]:
@@ -175,6 +192,13 @@ def context_columns(ctx: Column) -> tuple[Column, Column]:
     return F.to_json(tokens), F.to_json(numeric)
 
 
+def with_context_columns(df: DataFrame, column: str = "ctx") -> DataFrame:
+    """ctx_tokens and ctx_numeric, as by ``context_columns``, instead of the context, which is taken apart once for both."""
+    both = _of_context(F.col(column), lambda c, k: F.struct(_tokens(c, k).alias("tokens"), _numeric(c, k).alias("numeric")))
+    made = df.withColumn("_features", both).withColumns({"ctx_tokens": F.to_json("_features.tokens"), "ctx_numeric": F.to_json("_features.numeric")})
+    return made.drop("_features", column)
+
+
 def tokens_of(x: Column) -> Column:
     return F.from_json(x, "array<string>")
 

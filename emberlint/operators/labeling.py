@@ -10,7 +10,7 @@ from emberlint.functions import predicates as P
 from emberlint.functions import text as X
 from emberlint.functions import types as Y
 from emberlint.functions import values as V
-from emberlint.functions.similarity import best_match, closest
+from emberlint.functions.similarity import compared
 
 CODE, TEXT, SOURCE, LINE = "error_code", "error_text", "source_code", "error_line"
 
@@ -40,42 +40,89 @@ def _identifier_of(code: str | None) -> Column:
     return F.when(F.col(CODE) == code, ident) if code else ident
 
 
-def variable_spelling(only: str | None = None) -> Column:
-    """A misspelt variable or type of a C2065; with ``only`` null for other codes."""
-    label, ident = "FIX_NAME_SPELLING", _identifier_of(only)
-    line = F.array_join(_window(1), "\n")
-    kind, control = closest(ident, V.TYPE_WORDS), closest(ident, V.CONTROL_WORDS)
-    others = F.when(ident.isNotNull(), F.array_remove(X.identifier_candidates(F.col(SOURCE), F.col(LINE)), ident))
-    control_typo = P.keyword_typo(ident, control["name"], control["score"])
-    type_like = X.once(line, lambda x: P.type_like(x, ident))
+def _spelling_words(known: tuple[str, ...] | None = None) -> dict[str, tuple[tuple[str, ...], tuple[str, ...]]]:
+    """The two lists that names of a code are compared with."""
+    return {"C2065": (tuple(V.TYPE_WORDS), tuple(V.CONTROL_WORDS)), "C3861": (tuple(V.LOOP_WORDS), tuple(known or V.std_functions()))}
+
+
+ODD = "[^A-Za-z0-9_]"
+
+
+def _compared_name(ident: Column, known) -> Column:
+    """A name that isn't known and has no odd letters: only such ones need similarities."""
+    return F.when(~ident.rlike(ODD) & ~ident.isin(*known), ident)
+
+
+def _variables_near(name: Column) -> Column:
+    return F.when(name.isNotNull(), F.array_remove(X.identifier_candidates(F.col(SOURCE), F.col(LINE)), name))
+
+
+def _functions_near(name: Column, known: tuple[str, ...]) -> Column:
+    return F.when(name.isNotNull(), F.array_remove(X.call_candidates(F.col(SOURCE), F.col(LINE), known), name))
+
+
+def _judged(ident: Column, found: Column, rules) -> Column:
+    """A label by rules (name, line, closeness of the name), each of which is worked out once a row; null without a name."""
+    line, both = F.array_join(_window(1), "\n"), F.struct(ident.alias("ident"), found.alias("found"))
+    return F.when(ident.isNotNull(), X.once(both, lambda s: X.once(line, lambda of: rules(s["ident"], of, s["found"]))))
+
+
+def _variable_rules(ident: Column, line: Column, found: Column) -> Column:
+    label = "FIX_NAME_SPELLING"
+    control_typo = P.keyword_typo(ident, found["second"], found["second_score"])
+    type_like = P.type_like(line, ident)
     return _chain(
-        (ident.isNull(), None),
-        (ident.rlike("[^A-Za-z0-9_]"), label),
+        (ident.rlike(ODD), label),
         (ident.isin(*V.HEADER_NAMES), None),
-        (type_like & P.keyword_typo(ident, kind["name"], kind["score"]), label),
+        (P.keyword_typo(ident, found["first"], found["first_score"]) & type_like, label),
         (type_like, None),
         (control_typo & P.control_like(line, ident), label),
         (control_typo, None),
-        (best_match(ident, others).isNotNull(), label),
+        (found["near"], label),
     )
 
 
+def _function_rules(known: tuple[str, ...]):
+    def rules(ident: Column, line: Column, found: Column) -> Column:
+        label = "FIX_NAME_SPELLING"
+        loop_typo = P.keyword_typo(ident, found["first"], found["first_score"])
+        return _chain(
+            (ident.rlike(ODD), label),
+            (ident.isin(*known), None),
+            (loop_typo & P.loop_like(line, ident), label),
+            (loop_typo, None),
+            (P.keyword_typo(ident, found["second"], found["second_score"]), label),
+            (found["near"], label),
+        )
+
+    return rules
+
+
+def variable_spelling(only: str | None = None) -> Column:
+    """A misspelt variable or type of a C2065; with ``only`` null for other codes."""
+    ident = _identifier_of(only)
+    name = _compared_name(ident, V.HEADER_NAMES)
+    return _judged(ident, compared(name, _variables_near(name), F.lit("C2065"), _spelling_words()), _variable_rules)
+
+
 def function_spelling(known: tuple[str, ...] | None = None, only: str | None = None) -> Column:
     """A misspelt function of a C3861; with ``only`` null for other codes."""
-    label, ident, known = "FIX_NAME_SPELLING", _identifier_of(only), known or V.std_functions()
-    line = F.array_join(_window(1), "\n")
-    loop, standard = closest(ident, V.LOOP_WORDS), closest(ident, known)
-    others = F.when(ident.isNotNull(), F.array_remove(X.call_candidates(F.col(SOURCE), F.col(LINE), known), ident))
-    loop_typo = P.keyword_typo(ident, loop["name"], loop["score"])
-    return _chain(
-        (ident.isNull(), None),
-        (ident.rlike("[^A-Za-z0-9_]"), label),
-        (ident.isin(*known), None),
-        (loop_typo & P.loop_like(line, ident), label),
-        (loop_typo, None),
-        (P.keyword_typo(ident, standard["name"], standard["score"]), label),
-        (best_match(ident, others).isNotNull(), label),
-    )
+    ident, words = _identifier_of(only), _spelling_words(known)
+    known = words["C3861"][1]
+    name = _compared_name(ident, known)
+    return _judged(ident, compared(name, _functions_near(name, known), F.lit("C3861"), words), _function_rules(known))
+
+
+def _either_spelling(known: tuple[str, ...] | None) -> Column:
+    """``variable_spelling`` of a C2065, ``function_spelling`` of a C3861, by one step of Python."""
+    words = _spelling_words(known)
+    known, code = words["C3861"][1], F.col(CODE)
+    variable, function = _identifier_of("C2065"), _identifier_of("C3861")
+    of_variable, of_function = _compared_name(variable, V.HEADER_NAMES), _compared_name(function, known)
+    name = F.when(code == "C2065", of_variable).when(code == "C3861", of_function)
+    others = F.when(code == "C2065", _variables_near(of_variable)).when(code == "C3861", _functions_near(of_function, known))
+    found = compared(name, others, code, words)
+    return F.when(code == "C2065", _judged(variable, found, _variable_rules)).when(code == "C3861", _judged(function, found, _function_rules(known)))
 
 
 def wrong_construction() -> Column:
@@ -234,6 +281,5 @@ def apply_labels(df: DataFrame, known_functions: tuple[str, ...] | None = None)
     One pass over ``df``; Python, for similarities, gets the names of the two codes that need it and nulls for others.
     """
     was = F.col("label_code") if "label_code" in df.columns else default_label(F.col(CODE))
-    spelt = F.coalesce(function_spelling(known_functions, "C3861"), variable_spelling("C2065"))
-    suggestions = [spelt, header_name("C2065"), header_name("C3861"), wrong_construction(), operator_expression()]
+    suggestions = [_either_spelling(known_functions), header_name("C2065"), header_name("C3861"), wrong_construction(), operator_expression()]
     return df.withColumn("label_code", combined(suggestions, was))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberlint.functions import values as V
 from emberlint.functions.diagnostics import error_tokens
-from emberlint.operators.contexts import context_columns
+from emberlint.operators.contexts import with_context_columns
 from emberlint.operators.labeling import apply_labels
 from emberlint.operators.rows import one_to_one, override
 
@@ -28,9 +28,8 @@ def labelled(df: DataFrame, not_in_train: list[int] = (), overrides: dict[str, l
 
 def with_features(df: DataFrame, contexts: DataFrame) -> DataFrame:
     """Joined one to one with contexts; tokens and numbers as JSON."""
-    joined = one_to_one(df, contexts, "row_id")
-    tokens, numbers = context_columns(F.col("ctx"))
-    return joined.withColumns({"error_text_tokens": F.to_json(error_tokens(F.col("error_text"))), "ctx_tokens": tokens, "ctx_numeric": numbers}).drop("ctx")
+    joined = with_context_columns(one_to_one(df, contexts, "row_id"))
+    return joined.withColumn("error_text_tokens", F.to_json(error_tokens(F.col("error_text"))))
 
 
 def training_rows(df: DataFrame, codes: DataFrame, recommendations: DataFrame) -> DataFrame:
@@ -45,4 +44,12 @@ def training_rows(df: DataFrame, codes: DataFrame, recommendations: DataFrame) -
 
 
 def build(submissions: DataFrame, contexts: DataFrame, codes: DataFrame, recommendations: DataFrame) -> DataFrame:
-    return training_rows(with_features(labelled(kept_submissions(submissions)), contexts), codes, recommendations)
+    """Training rows of submissions.
+
+    Rows move by their key before anything is worked out, in twice the parts that the session names (Spark drops a
+    step into just as many as a join gave): a row takes far more time than its size lets Spark expect, which else deals few large parts. The join with contexts keeps these parts, and labels come last, since
+    Python's step forgets how rows are dealt, and a join behind it would move them again.
+    """
+    parts = 2 * int(submissions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = kept_submissions(submissions).repartition(parts, "row_id")
+    return training_rows(labelled(with_features(kept, contexts)), codes, recommendations)

@@ -174,6 +174,16 @@ def test_training_plan(spark):
     assert [(r.label, json.loads(r.error_text_tokens)) for r in rows] == [(3, ["C2065", "<IDENT>", "x"])]
 
 
+def test_training_rows_move_before_labels(spark):
+    """Rows are dealt evenly by their key, and nothing moves by a key above Python's step, of which there is one."""
+    subs = spark.createDataFrame([(1, "C2065: cout: x", 1, "cout << 1;")], "row_id long, error_text string, error_line int, source_code string")
+    ctx = spark.createDataFrame([(1, "{}")], "row_id long, s string").select("row_id", F.from_json("s", S.CTX_SCHEMA).alias("ctx"))
+    plan = training.build(subs, ctx, S.error_codes(spark), S.recommendations(spark))._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("ArrowEvalPython")
+    assert "hashpartitioning(" not in above
+    assert "REPARTITION_BY_NUM" in below
+
+
 def test_stream(spark, tmp_path):
     df = spark.createDataFrame([(1, 3), (2, 99)], "row_id long, label int")
     df.write.parquet(str(tmp_path / "in"))

@@ -28,6 +28,11 @@ def test_best_by_bounds(name, others, bonus, least):
     assert S._best(name, others, bonus, least) == plain(name, others, bonus, least)
 
 
+@given(NAMES.filter(bool), st.lists(NAMES, max_size=12))
+def test_near_is_a_best_match(name, others):
+    assert any(S._reaches(name, o, 0.8) for o in others if o) == (plain(name, others, True, 0.8)[0] is not None)
+
+
 @given(NAMES, NAMES)
 def test_no_ratio_passes_its_bound(a, b):
     assert SequenceMatcher(None, a, b).ratio() <= S.bound(a, b)
