@@ -9,6 +9,7 @@ from emberlint.operators.positions import OrderIndex
 from emberlint.queries import _view, events, query
 from emberlint.sources.tables import scratch_path
 
+C = F.col
 _OPS = ("+", "*", "<<", "<", "==", "&", "&&", "=")
 _TIGHT = (11, 12, 10, 9, 8, 7, 4, 1)
 _case = lambda x, values: f"CASE {x} " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values)) + " END"
@@ -64,14 +65,17 @@ _FIRST = "(p1 > p2 OR (p1 = p2 AND p1 > 1))"
 )
 def e10_operand_spans(spark, sf):
     key = "event_id"
-    rows = programs(spark, sf)
-    found = P.written(P.nodes(P.statements(P.nested(P.tokens(rows, key), key), key), key), "query-statements")
+    each, members = P.alike(programs(spark, sf), key)
+    found = P.written(P.nodes(P.statements(P.nested(P.tokens(each, key), key), key), key), "query-statements")
     parts = P.expressions(found, P.declarations(found, key), key)
-    ops = P.operators(parts, key).where("line = 10").join(rows.select(key, "source_code"), key)
-    side = lambda n: F.substring("source_code", F.col(f"{n}_lo") + 1, F.col(f"{n}_hi") - F.col(f"{n}_lo") + 1)
-    told = ops.select(key, "op", F.concat(side("lhs"), F.lit(" : "), side("rhs")).alias("sides"), (F.col("hi") - F.col("lo")).alias("size"))
-    one = told.groupBy(key).agg(F.min_by(F.struct("op", "sides"), "size").alias("i"), F.max_by(F.struct("op", "sides"), "size").alias("o"))
-    return one.select(key, F.col("i.op").alias("op"), F.col("i.sides").alias("inner_sides"), F.col("o.op").alias("outer_op"), F.col("o.sides").alias("outer_sides"))
+    told = P.operators(parts, key).where("line = 10").withColumn("size", C("hi") - C("lo"))
+    spans = F.struct("op", "lhs_lo", "lhs_hi", "rhs_lo", "rhs_hi")
+    one = told.groupBy(C(key).alias("of")).agg(F.min_by(spans, "size").alias("i"), F.max_by(spans, "size").alias("o"))
+    # Spans are the same in all programs that are equal up to names: each cuts its sides out of its own text.
+    met = members.join(P.written(one, "query-spans"), "of")
+    side = lambda x: F.substring("source_code", C(f"{x}_lo") + 1, C(f"{x}_hi") - C(f"{x}_lo") + 1)
+    sides = lambda n: F.concat(side(f"{n}.lhs"), F.lit(" : "), side(f"{n}.rhs"))
+    return met.select(key, C("i.op").alias("op"), sides("i").alias("inner_sides"), C("o.op").alias("outer_op"), sides("o").alias("outer_sides"))
 
 
 _ALIASED = "t = 'll' AND error_line = 6"
